@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .jaccard_join import jaccard_components
+from .lm_score import deleted_interpolation_scores
 from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores
@@ -31,11 +32,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation_scores(table(spark, sf_dir, "documents"), order=2, folds=7, held=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {}
