@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .jaccard_join import jaccard_components
 from .lm_score import deleted_interpolation_scores
+from .mixing import mix_sources
 from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
+from .topk_search import topk_search
 from .toxicity import toxicity_scores
 
 
@@ -36,11 +39,28 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation_scores(table(spark, sf_dir, "documents"), order=2, folds=7, held=2)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, mix = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+    # the words of what the shards hold, not of what was planned
+    held = mix.groupBy("doc_id", "k").agg(F.count("*").alias("times"))
+    rows = plan.groupBy("doc_id", "k", "size", "source_size", "target").agg(F.count("*").alias("rows"))
+    mixed = rows.join(held, (rows["doc_id"].eqNullSafe(held["doc_id"])) & (rows["k"] == held["k"]), "left").select(rows["doc_id"], "size", "source_size", "target", F.coalesce(F.col("size") * F.col("times"), F.lit(0)).alias("taken"), "rows")
+    each = mixed.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.expr("taken div rows") + F.when(F.col("nth") == 1, F.col("taken") % F.col("rows")).otherwise(0)).alias("taken"))
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_topk_search": op7_topk_search,
+    "op9_mixing": op9_mixing,
     "op10_lm_score": op10_lm_score,
 }
 
