@@ -13,6 +13,7 @@ from .jaccard_join import jaccard_components
 from .lm_score import deleted_interpolation_scores
 from .mixing import mix_sources
 from .packing import pack_documents
+from .perplexity_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 from .topk_search import topk_search
 from .toxicity import toxicity_scores
@@ -54,9 +55,14 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
 
 
+def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_perplexity_rules": op4_perplexity_rules,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_topk_search": op7_topk_search,
