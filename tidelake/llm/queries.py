@@ -14,6 +14,9 @@ from .lm_score import deleted_interpolation_scores
 from .mixing import mix_sources
 from .packing import pack_documents
 from .perplexity_rules import quality_rules
+from .revisits import ORACLE as REVISITS_SQL
+from .revisits import captures_of_pages, header_text, resolve_revisits
+from .site_quality import site_quality
 from .suffix_dedup import suffix_dedup
 from .topk_search import topk_search
 from .toxicity import toxicity_scores
@@ -59,15 +62,26 @@ def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the documents' sources, paths their languages within a source."""
+    return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve_revisits(captures_of_pages(table(spark, sf_dir, "pages"))).withColumn("headers", header_text(F.col("headers")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_site_quality": op3_site_quality,
     "op4_perplexity_rules": op4_perplexity_rules,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_topk_search": op7_topk_search,
+    "op8_revisits": op8_revisits,
     "op9_mixing": op9_mixing,
     "op10_lm_score": op10_lm_score,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_revisits": REVISITS_SQL}
