@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import byte_column, doc_chunks, lower_ascii, materialize, mix64, prefix_sums, span_hash, word_spans
 from .components import connected_components
 
-#: Cost of a chance meeting of two sets, in index rows.
-PAIR_COST = 20.0
+#: Cost of a chance meeting of two sets, in index rows: a bucket row, and a share of a verification.
+PAIR_COST = 2.0
 #: Share of tokens that two unlinked sets of a band are taken to have in common, for the cost estimate only.
-OVERLAP = 0.2
+OVERLAP = 0.05
 #: Pairs that a bucket sends on in one round for two components.
 NEAREST = 8
 #: A bucket with more classes that are still apart is dealt out again by a second, independent partition.
