@@ -116,10 +116,11 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def word_spans(buf: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts that lie one after the other in buf: start, end and text number of each.
 
     bounds: the texts' n + 1 offsets in buf. Words are runs of bytes that are not white space and never cross texts.
+    cuts: for each byte, whether a word is cut in front of it.
     """
     n = len(buf)
     if not n:
@@ -128,6 +129,8 @@ def word_spans(buf: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE)
     word = ~space[buf]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
+    if cuts is not None:
+        edge[:n] |= cuts
     start = word.copy()
     start[1:] &= ~word[:-1] | edge[1:n]
     end = word.copy()

@@ -9,6 +9,8 @@ patterns. Placing is arithmetic: the n-th remainder of a length takes the n-th s
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -18,71 +20,115 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_chunks, materialize, prefix_sums, span_hash, word_spans
+from .common import byte_column, doc_chunks, lower_ascii, materialize, prefix_sums, span_hash, word_spans
 
 #: Lengths that may be the two free parts of a combination of three.
 COMMON_LENGTHS = 64
 SWEEPS = 40
-_CACHE_WORDS = 300_000
+#: Words whose ids a worker remembers; then it starts anew.
+_CACHE_WORDS = 1_000_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
+_KINDS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+
+
 class WordTokenizer:
-    """A tokenizers file whose tokens never span white space, with its words' ids remembered."""
+    """A tokenizers file whose tokens never span white space, with the ids of words met before remembered."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        # words of plain small letters need no normalizing and are one piece each for the file's pattern
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = "<|endoftext|>"
         self.mark_id = self.encoder.token_to_id(self.mark)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _encoded(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has. Words go through the library together, with a mark between them."""
+        if plain:
+            found = self.letters.encode(" ".join(words), add_special_tokens=False)
+            return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+        if self.mark_id is not None and not any("<|" in w for w in words):
+            ids = np.array(self.encoder.encode(self.mark.join(words), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(words) - 1:
+                edges = np.concatenate([[-1], cuts, [len(ids)]])
+                return np.delete(ids, cuts), np.diff(edges) - 1
+        each = [self.encoder.encode(w, add_special_tokens=False).ids for w in words]
+        return np.array([x for ids in each for x in ids], np.uint32), np.array([len(x) for x in each], np.int64)
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        plain = [i for i, w in enumerate(words) if "<|" not in w]
-        odd = set(range(len(words))) - set(plain)
-        for at in range(0, len(plain), 4000):
-            part = plain[at : at + 4000]
-            ids = np.array(self.encoder.encode(self.mark.join(words[i] for i in part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1:
-                odd.update(part)
-                continue
-            edges = np.concatenate([[-1], cuts, [len(ids)]])
-            for j, i in enumerate(part):
-                self.known[hashes[i]] = ids[edges[j] + 1 : edges[j + 1]].astype(np.uint32)
-        for i in odd:
-            self.known[hashes[i]] = np.array(self.encoder.encode(words[i], add_special_tokens=False).ids, np.uint32)
+        kinds: list[list[int]] = [[], [], []]
+        for i, w in enumerate(words):
+            plain = w.isalpha() and w.islower() and (w.isascii() or (max(w) < "\u0250" and unicodedata.is_normalized("NFC", w)))
+            kinds[0 if plain else 2 if "<|" in w else 1].append(i)
+        parts = [(k == 0, x[at : at + n]) for k, x in enumerate(kinds) for n in [1 if k == 2 else 2000] for at in range(0, len(x), n)]
+        for plain, part in parts:
+            ids, size = self._encoded([words[i] for i in part], plain)
+            first, n = len(self.slot), len(part)
+            while first + n > len(self.start):
+                self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, self.pool])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.start[first : first + n] = self.used + np.cumsum(size) - size
+            self.size[first : first + n] = size
+            self.used += len(ids)
+            self.slot.update(zip((hashes[i] for i in part), range(first, first + n), strict=True))
 
     def __call__(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that lie one after the other in buf, and the n + 1 offsets of each text's ids."""
-        s, e, doc = word_spans(buf, bounds)
+        raw = buf.tobytes()
+        cuts = None
+        if b"<|" not in raw:  # a letter next to a mark other than ' always ends a piece of the file's pattern
+            buf = lower_ascii(buf)
+            raw = buf.tobytes()
+            kind = _KINDS[buf]
+            cuts = np.zeros(len(buf), bool)
+            cuts[1:] = kind[1:] * kind[:-1] == 2
+        s, e, doc = word_spans(buf, bounds, cuts=cuts)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         h = span_hash(prefix_sums(buf), s, e)
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
         names = uniq.tolist()
-        if len(self.known) + len(names) > _CACHE_WORDS:
-            self.known.clear()
-        new = [i for i, x in enumerate(names) if x not in self.known]
+        if len(self.slot) + len(names) > _CACHE_WORDS:
+            self._forget()
+        new = [i for i, x in enumerate(names) if x not in self.slot]
         if new:
-            raw = buf.tobytes()
-            self._learn([names[i] for i in new], [raw[s[first[i]] : e[first[i]]].decode("utf-8", "replace") for i in new])
-        parts = [self.known[x] for x in names]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat, at = np.concatenate(parts), np.cumsum(size) - size
-        each = size[back]
+            at = first[new]
+            self._learn([names[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
+        slot = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[back]
+        each = self.size[slot]
         ends = np.cumsum(each)
-        ids = flat[np.repeat(at[back] - (ends - each), each) + np.arange(ends[-1])]
+        ids = self.pool[np.repeat(self.start[slot] - (ends - each), each) + np.arange(ends[-1])]
         upto = np.searchsorted(doc, np.arange(len(bounds)))
         return ids, np.concatenate([[0], ends])[upto]
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for a worker, whose memory of words serves one task after another."""
+    return WordTokenizer(path)
+
+
 def _tokenize(path: str, window: int, end_id: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(path)
+        encode = tokenizer_of(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(window, np.int64)
         fulls = 0
