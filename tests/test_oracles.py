@@ -1,7 +1,7 @@
 """Every registered query with an oracle, against DuckDB on the same tables."""
 
 import pytest
-from conftest import SF, rows_of, rows_of_sql
+from .conftest import SF, rows_of, rows_of_sql
 
 from tidelake.plans import ORACLES, QUERIES
 
