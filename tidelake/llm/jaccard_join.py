@@ -333,7 +333,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Link texts whose word n-gram sets have den * intersection >= num * union; group what links connect.
 
     Returns per row: id_col, n_shingles (size of its set), component_id (smallest id reachable by links, its own
-    included) and class_id (equal for equal sets). A text with no words, an empty or a null one has no links; rows with
+    included), class_id (equal for equal sets), group_id (equal for what links connect) and row_key (of id and text). A text with no words, an empty or a null one has no links; rows with
     equal texts link whatever their ids; a null id takes part, and is only returned as component_id where it is alone.
     Other columns are not read. An empty table gives no rows.
     """
@@ -389,4 +389,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all_ = members.join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
     least = all_.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = all_.join(least, "comp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"), F.col("c").alias("class_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"), F.col("c").alias("class_id"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("k")).alias("group_id"), F.col("k").alias("row_key"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, all their columns, less near-duplicates: of what links connect, the row with the smallest id
+    stays (a null id last), once. Rows without words stay, once for each id."""
+    found = jaccard_components(docs, id_col, text_col, words, num, den)
+    stay = found.groupBy("group_id").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "row_key")).alias("m")).select(F.col("m.row_key").alias("_key"))
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

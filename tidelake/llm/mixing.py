@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_column, doc_chunks, materialize, word_spans
@@ -91,7 +91,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null or empty text has size 0 and is taken as its block is. Other columns are not read. An empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(seed, id_col, text_col).alias("k"), F.col(text_col).cast("binary").alias("text"))
     sized = materialize(rows.mapInArrow(_word_counts, f"id {id_type}, source string, k long, size long"), "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
     if by_source.count() > MAX_SOURCES:
@@ -131,6 +131,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return plan.drop("sid", "block"), mix
 
 
+def _key(seed: int, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7, **mix) -> DataFrame:
+    """The mix itself: rows of docs, all their columns, as often as taken, dealt to their shards and shuffled there."""
+    _, taken = mix_sources(docs, id_col, text_col, source_col, shards=shards, seed=seed, **mix)
+    keyed = docs.withColumn("_key", _key(seed, id_col, text_col)).dropDuplicates(["_key"])
+    placed = keyed.join(taken.select(F.col("k").alias("_key"), F.col("shard").alias("_shard"), F.col("position").alias("_position")), "_key")
+    return placed.repartition(shards, "_shard").sortWithinPartitions("_shard", "_position").select(*docs.columns)
+
+
 def _typed(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 

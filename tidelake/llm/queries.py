@@ -27,7 +27,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100).drop("class_id")
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BASE, BYTE_VALUES, CHUNK_BYTES, byte_column, doc_chunks, materialize, mix64, prefix_sums, span_hash
 
@@ -309,6 +310,7 @@ def _windows(size: int):
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id or row, text, spans) to the figures and the bytes that stay."""
     for batch in batches:
         n_bytes, n_removed, n_spans, digests, kept, spans = [], [], [], [], [], []
         for text, marks in zip(batch.column(1), batch.column(2), strict=True):
@@ -344,11 +346,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (array of start and stop). A null or empty text has no bytes; rows with equal id and text count as two texts and
     get the same result; a null id is kept as null; other columns are not read. An empty table gives no rows.
     """
+    out = _deduplicated(docs, F.col(id_col), id_col, text_col, length)
+    return out.withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+    """The rows of docs, all their columns, with what suffix_dedup leaves of their texts; characters cut in two go.
+
+    Rows of which nothing but white space is left, and something was removed, are dropped. A null text stays null.
+    """
+    out = _deduplicated(docs, F.struct(*[F.col(c) for c in docs.columns]), id_col, text_col, length)
+    fields = T.StructType([T.StructField("row", docs.schema), T.StructField("left", T.StringType())])
+    texts = out.select(F.col("id").alias("row"), "kept", (F.col("n_removed") > 0).alias("cut")).mapInArrow(_decode, fields.add("cut", "boolean"))
+    return texts.where(~F.col("cut") | F.col("left").rlike(r"[^\x20\x09-\x0D]")).select(*[(F.when(F.col("row")[c].isNotNull(), F.col("left")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string()), batch.column(2)], ["row", "left", "cut"])
+
+
+def _deduplicated(docs: DataFrame, carried: Column, id_col: str, text_col: str, length: int) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
-    id_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("binary")
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id"), text.alias("text"))
+    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("k"), carried.alias("id"), text.alias("text"))
     dealt = rows.repartition("k")
     anchors = materialize(rows.select("k", "text").mapInArrow(_anchors(length), "a long, s long, k long, at long, w int"), "anchors")
     segments = anchors.groupBy("a", "s").agg(F.count("*").alias("m"), F.min(F.struct("k", "at", "w")).alias("at"))
@@ -365,5 +387,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = anchors.join(marks, ["a", "s"]).select("k", F.explode("ranges").alias("r"), "at").select("k", F.struct((F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi") + length - 1).alias("hi")).alias("span"))
     per_doc = spans.groupBy("k").agg(F.collect_set("span").alias("spans"))
     out = dealt.join(per_doc.hint("shuffle_hash"), "k", "left").select("id", "text", "spans")
-    schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:bigint,stop:bigint>>"
-    return out.mapInArrow(_remove, schema).withColumnRenamed("id", id_col)
+    fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary"), ("spans", "array<struct<start:bigint,stop:bigint>>")]
+    schema = T.StructType([T.StructField("id", out.schema["id"].dataType), *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]])
+    return out.mapInArrow(_remove, schema)
