@@ -31,8 +31,8 @@ from .components import connected_components
 PAIR_COST = 2.0
 #: Share of tokens that two unlinked sets of a band are taken to have in common, for the cost estimate only.
 OVERLAP = 0.05
-#: Pairs that a bucket sends on in one round for two components.
-NEAREST = 8
+#: Untested neighbours of a class that a bucket sends on in the first round; four times as many in each later one.
+NEAREST = 4
 #: A bucket with more classes that are still apart is dealt out again by a second, independent partition.
 RESPLIT = 4096
 
@@ -277,51 +277,69 @@ def _sketches(n: int):
     return run
 
 
-def _plausible(num: int, den: int):
-    """Rows of a bucket (sorted by bucket) to untested pairs across components that may link, nearest first."""
+def _apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the shorter one's size."""
+    x, y, nx, ny = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a), len(b)
+    while nx > ny:
+        nx //= 2
+        x = (x >> 8 * nx) ^ (x & ((1 << 8 * nx) - 1))
+    while ny > nx:
+        ny //= 2
+        y = (y >> 8 * ny) ^ (y & ((1 << 8 * ny) - 1))
+    return (x ^ y).bit_count()
 
-    def settle(c, comp, size, sketches, tested):
-        best: dict[tuple[int, int], list] = {}
-        words = [np.frombuffer(s, np.uint64) for s in sketches]
+
+def _plausible(num: int, den: int, nearest: int):
+    """Rows of a bucket (sorted by bucket) to pairs across components that may link and are untested: each class's
+    nearest ones. A bucket that has more of them is named with its pairs; all others are settled by theirs."""
+
+    def few(rows):
+        for i, (c, comp, n, sk, tested) in enumerate(rows):
+            for d, pcomp, m, other, _ in rows[i + 1 :]:
+                if comp != pcomp and den * min(n, m) >= num * max(n, m) and d not in tested and _apart(sk, other) * (den + num) <= (den - num) * (n + m):
+                    yield c, d
+
+    def many(rows, more):
+        c, comp, size = (np.array([r[k] for r in rows]) for k in range(3))
+        words = [np.frombuffer(r[3], np.uint64) for r in rows]
         width = min(map(len, words))
         flat = np.array([_folded(s, width) for s in words])
-        c, comp, size = np.array(c), np.array(comp), np.array(size)
-        for i in range(len(c) - 1):
-            s, t = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (den * s >= num * t))
+        for i in range(len(rows)):
+            s, t = np.minimum(size[i], size), np.maximum(size[i], size)
+            j = np.flatnonzero((comp != comp[i]) & (den * s >= num * t))
             if not len(j):
                 continue
-            apart = np.bitwise_count(flat[i + 1 :][j] ^ flat[i]).sum(axis=1, dtype=np.int64)
+            apart = np.bitwise_count(flat[j] ^ flat[i]).sum(axis=1, dtype=np.int64)
             ok = apart * (den + num) <= (den - num) * (s + t)[j]
-            for d, x in zip(apart[ok], j[ok] + i + 1, strict=True):
-                if int(c[x]) in tested[i] or int(c[i]) in tested[x]:
-                    continue
-                pair = (min(comp[i], comp[x]), max(comp[i], comp[x]))
-                found = best.setdefault(pair, [])
-                found.append((int(d), int(c[i]), int(c[x])))
-                if len(found) > 16 * NEAREST:
-                    found.sort()
-                    del found[NEAREST:]
-        return [p for found in best.values() for p in sorted(found)[:NEAREST]]
+            j, apart = j[ok], apart[ok]
+            tested, found = rows[i][4], 0
+            for x in j[np.argsort(apart, kind="stable")]:
+                if int(c[x]) not in tested:
+                    if found == nearest:
+                        more.append(i)
+                        break
+                    yield int(c[i]), int(c[x])
+                    found += 1
+
+    def emit(rows, b):
+        more: list[int] = []
+        pairs = list(few(rows) if len(rows) <= 4 else many(rows, more))
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64()), pa.array([b if more else None] * len(pairs), pa.int64())], ["u", "v", "b"])
 
     def run(batches):
         rows: list = []
         now = None
         for batch in batches:
-            for b, *row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if b != now and rows:
-                    yield from emit(rows)
+            b, c, comp, n, sk, tested = (col.to_pylist() for col in batch.columns)
+            for i in range(len(b)):
+                if b[i] != now and rows:
+                    yield from emit(rows, now)
                     rows = []
-                now = b
-                rows.append(row)
+                now = b[i]
+                rows.append((c[i], comp[i], n[i], sk[i], set(tested[i] or ())))
         if rows:
-            yield from emit(rows)
-
-    def emit(rows):
-        c, comp, size, sketches, tested = zip(*rows, strict=True)
-        pairs = settle(c, comp, size, sketches, [set(t or ()) for t in tested])
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.int64())], ["u", "v"])
+            yield from emit(rows, now)
 
     return run
 
@@ -363,7 +381,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = often.groupBy("c").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     tested = verified(stars.select(F.col("lead").alias("u"), F.col("c").alias("v")))
     sketches = None
-    seed = 1
+    seed, nearest = 1, NEAREST
     while True:
         comps = connected_components(tested.where("linked").select("u", "v"))
         named = buckets.select("b", "c").join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
@@ -375,17 +393,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             seed += 1
             buckets = materialize(buckets.where(F.col("size") <= RESPLIT).select("b", "c").unionByName(split.select("b", "c")), "buckets")
             continue
+        if buckets.isEmpty():
+            break
         if sketches is None:
             sketches = materialize(texts.join(buckets.select("c").distinct(), "c").select("c", "text").mapInArrow(_sketches(words), "c long, n long, sketch binary"), "sketches")
         failed = tested.where("not linked").select("u", "v")
         failed = failed.union(failed.select("v", "u")).toDF("c", "o").groupBy("c").agg(F.collect_set("o").alias("tested"))
         rich = buckets.join(sketches, "c").join(failed, "c", "left").select("b", "c", "comp", "n", "sketch", "tested")
-        pairs = rich.repartition("b").sortWithinPartitions("b").mapInArrow(_plausible(num, den), "u long, v long")
-        more = verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        if more.isEmpty():
-            break
-        tested = materialize(tested.unionByName(more), "tested")
-        buckets = buckets.select("b", "c")
+        pairs = materialize(rich.repartition("b").sortWithinPartitions("b").mapInArrow(_plausible(num, den, nearest), "u long, v long, b long"), "pairs")
+        nearest *= 4
+        tested = materialize(tested.unionByName(verified(pairs.select("u", "v").distinct())), "tested")
+        buckets = buckets.select("b", "c").join(pairs.where("b is not null").select("b").distinct(), "b", "left_semi")
     all_ = members.join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
     least = all_.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = all_.join(least, "comp", "left")
