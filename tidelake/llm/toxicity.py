@@ -1,7 +1,7 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 The model is fitted on at most `max_labelled` labelled rows (a documented bound), dealt out in shards: each shard
-runs FTRL over its rows with a rate per coordinate, and the shards' states are averaged after each pass. L1 leaves a
+runs FTRL over its rows with a rate per coordinate, and the shards' states are averaged between rounds. L1 leaves a
 few thousand weights, so what scoring broadcasts is small and never larger than 2**bits entries.
 """
 
@@ -19,7 +19,8 @@ from .common import byte_column, doc_chunks, lower_ascii, materialize, mix64, pr
 BITS = 20
 MAX_LABELLED = 20_000
 SHARDS = 8
-PASSES = 4
+#: Passes of a shard over its rows before the shards' states are averaged, and how often they are.
+PASSES, ROUNDS = 2, 2
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 3.0, 0.1
 THRESHOLD = 0.3
 #: Bytes of a word's beginning that count as its stem.
@@ -49,20 +50,17 @@ def features(buf: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray
     return np.concatenate(docs), (np.concatenate(index) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def _rows(bits: int):
-    """Labelled texts to their distinct features."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = byte_column(batch.column(2))
-            for i, j in doc_chunks(off):
-                doc, index = features(buf[off[i] : off[j]], off[i : j + 1] - off[i], bits)
-                key = np.unique(doc.astype(np.int64) << 32 | index)
-                upto = np.searchsorted(key >> 32, np.arange(j - i + 1))
-                lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], ["order", "label", "x"])
-
-    return run
+def distinct_features(texts, bits: int) -> list[np.ndarray]:
+    """Each text's distinct feature indices."""
+    buf, off = byte_column(texts)
+    out = []
+    for i, j in doc_chunks(off):
+        doc, index = features(buf[off[i] : off[j]], off[i : j + 1] - off[i], bits)
+        key = np.unique(doc.astype(np.int64) << 32 | index)
+        upto = np.searchsorted(key >> 32, np.arange(j - i + 1))
+        own = (key & 0xFFFFFFFF).astype(np.int32)
+        out += [own[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+    return out
 
 
 def ftrl_pass(rows, labels, z: np.ndarray, n: np.ndarray, alpha: float, beta: float, l1: float, l2: float) -> None:
@@ -87,31 +85,34 @@ def weights_of(z: np.ndarray, n: np.ndarray, alpha: float, beta: float, l1: floa
     return np.where(np.abs(z) <= penalty, 0.0, (np.sign(z) * penalty - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def _train(state, size: int):
+def _train(state, size: int, bits: int):
+    """A shard's labelled texts to its state after PASSES passes, from the common state."""
+
     def run(key, rows):
         z, n = np.zeros(size), np.zeros(size)
         if state is not None:
-            at, z0, n0 = state
+            at, z0, n0 = state.value
             z[at], n[at] = z0, n0
         rows = rows.sort_by("order")
-        lists = rows["x"].combine_chunks()
-        flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
-        ftrl_pass([flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)], rows["label"].to_numpy(), z, n, ALPHA, BETA, L1, L2)
+        x, y = distinct_features(rows["text"], bits), rows["label"].to_numpy()
+        for _ in range(PASSES):
+            ftrl_pass(x, y, z, n, ALPHA, BETA, L1, L2)
         at = np.flatnonzero(n > 0)
         return pa.table({"i": at.astype(np.int32), "z": z[at], "n": n[at]})
 
     return run
 
 
-def fit_ftrl(labelled: DataFrame, bits: int = BITS, shards: int = SHARDS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_ftrl(labelled: DataFrame, bits: int = BITS, shards: int = SHARDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on rows (order long, label int, text binary): indices and weights that are not zero, and the intercept."""
     size = (1 << bits) + 1
-    rows = materialize(labelled.mapInArrow(_rows(bits), "order long, label int, x array<int>"), "features").withColumn("shard", F.pmod("order", F.lit(shards)))
+    rows = materialize(labelled, "labelled").withColumn("shard", F.pmod("order", F.lit(shards)))
     state = None
-    for _ in range(passes):
-        mixed = rows.groupBy("shard").applyInArrow(_train(state, size), "i int, z double, n double")
+    for _ in range(rounds):
+        shared = labelled.sparkSession.sparkContext.broadcast(state) if state is not None else None
+        mixed = rows.groupBy("shard").applyInArrow(_train(shared, size, bits), "i int, z double, n double")
         # as many rows as the model has coordinates, at most 2**bits + 1
-        got = mixed.groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("c")).toArrow()
+        got = mixed.groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
         state = got["i"].to_numpy(), got["z"].to_numpy() / shards, got["n"].to_numpy() / shards
     z, n = np.zeros(size), np.zeros(size)
     z[state[0]], n[state[0]] = state[1], state[2]
