@@ -102,7 +102,7 @@ def test_topk_brute_force(spark, seed, monkeypatch):
     """Few values, so that ties are common; some shards small; huge values, which leave doubles."""
     from tidelake.llm import topk_search as module
 
-    monkeypatch.setattr(module, "SHARD_ROWS", 150)
+    monkeypatch.setattr(module, "SHARD_VALUES", 150 * 8)
     rng = np.random.default_rng(seed)
     v = rng.integers(-3, 4, (500, 8)) / 16 * (1e7 if seed == 2 else 1)
     rows = [(i, [float(x) for x in v[i]]) for i in range(500)]

@@ -2,8 +2,8 @@
 
 Vectors are quantised to integers. Index rows are dealt into shards by id; a shard's index keeps, for each dimension,
 its vectors in order of their impact in segments of equal size, from both ends, since a query's component may have
-either sign. For a query the segments of all dimensions are processed by descending contribution, each adding its
-scores to accumulators and lowering what its dimension can still add. The walk stops only on proof: when no vector
+either sign. For a small block of queries the segments of all dimensions are processed by descending contribution, each
+adding its scores to accumulators and lowering what its dimension can still add. The walk stops only on proof: when no vector
 outside the possible members can reach the k-th best lower bound. The possible members are then scored exactly.
 Queries travel to shards in blocks, and the shards' best k are merged by query.
 """
@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SHARD_ROWS = 4096
+#: Components that a shard holds; its index takes some 20 bytes for each.
+SHARD_VALUES = 1 << 20
 QUERY_BLOCK = 512
-SEGMENT = 128
-#: Segments between two tests of the stopping rule.
-STEP = 64
+QUERIES_AT_ONCE = 32
+#: Segments of a dimension, and tests of the stopping rule in a walk.
+SEGMENTS = 8
+TESTS = 8
+#: The walk stops once no more than one vector in so many can be a member; those are scored exactly.
+RESCORED = 8
 
 
 class ImpactIndex:
@@ -29,53 +33,68 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")  # by dimension, ascending
-        self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
-        n = len(ids)
-        self.cuts = np.append(np.arange(0, n, SEGMENT), n)
+        n, dims = vectors.shape
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T).astype(np.int32)  # by dimension, ascending
+        # sums below 2**52 are exact as doubles, which are faster
+        self.exact = float(np.abs(vectors).max(initial=0)) ** 2 * dims * 4 < 2**52
+        self.impact = np.ascontiguousarray(np.take_along_axis(vectors.T, self.order.astype(np.int64), 1)).astype(np.float64 if self.exact else np.int64)
+        self.cuts = np.unique(np.append(np.linspace(0, n, SEGMENTS + 1).astype(np.int64), n))
         # impact at each segment's upper and lower end, for either direction of the walk
-        self.top = np.take_along_axis(vectors, self.order, 0)[self.cuts[1:] - 1]
-        self.bottom = np.take_along_axis(vectors, self.order, 0)[self.cuts[:-1]]
+        self.top, self.bottom = self.impact[:, self.cuts[1:] - 1], self.impact[:, self.cuts[:-1]]
+        self.low, self.high = self.impact[:, 0], self.impact[:, -1]
 
-    def search(self, q: np.ndarray, k: int, skip: int) -> list[tuple[int, int]]:
-        """The k highest (score, id) but for the id `skip`; ties go to smaller ids."""
+    def search(self, queries: np.ndarray, k: int, skip: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each query of a small block, the k highest (score, id) but for its own id in `skip`; ties to smaller ids.
+
+        The block walks the segments by the best that they can add to any of its queries; bounds and proofs are each
+        query's own.
+        """
         n, dims = self.vectors.shape
-        segments = len(self.cuts) - 1
-        # what a dimension adds at least and at most; accumulators hold what is added above the least
-        least = np.minimum(q * self.low, q * self.high)
-        up = q >= 0
-        # best contribution within each segment, minus the least: the walk's order
-        gain = np.where(up, q * self.top, q * self.bottom) - least
-        walk = np.argsort(-gain.ravel(), kind="stable")
-        bound = np.maximum(q * self.low, q * self.high) - least
-        done = np.zeros(dims, np.int64)
-        acc = np.zeros(n, np.int64)
-        alive = self.ids != skip
-        want = min(k, int(alive.sum()))
-        if not want:
-            return []
-        order, vectors, cuts = self.order, self.vectors, self.cuts
-        for at in range(0, len(walk), STEP):
-            for x in walk[at : at + STEP]:
-                s, d = divmod(int(x), dims)
-                rows = order[cuts[s] : cuts[s + 1], d]
-                acc[rows] += vectors[rows, d] * q[d] - least[d]
-                done[d] += 1
-                if done[d] == segments:
-                    bound[d] = 0
-                else:
-                    t = segments - 1 - done[d] if up[d] else done[d]
-                    bound[d] = gain[t, d]
-            # a vector not yet met in a dimension gains there no more than the next segment's best
-            floor = np.partition(acc[alive], len(acc[alive]) - want)[len(acc[alive]) - want]
-            rest = int(bound.sum())
-            possible = alive & (acc + rest >= floor)
-            if rest == 0 or possible.sum() <= 4 * k:
+        m, segments = len(queries), len(self.cuts) - 1
+        kind = self.impact.dtype if float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * dims * 4 < 2**52 else np.dtype(np.int64)
+        q = np.ascontiguousarray(queries.T).astype(kind)  # by dimension
+        least = np.minimum(q * self.low[:, None], q * self.high[:, None])
+        # the most that a posting of a segment adds to a query, above the least of its dimension
+        gain = np.maximum(q[:, None, :] * self.top[:, :, None], q[:, None, :] * self.bottom[:, :, None]) - least[:, None, :]
+        walk = np.argsort(-gain.max(axis=2).ravel(), kind="stable")
+        impact = self.impact.astype(kind, copy=False)
+        base = least.sum(axis=0)
+        own = self.ids[:, None] == skip[None, :]
+        want = np.minimum(k, n - own.sum(axis=0))
+        acc = np.zeros((n, m), kind)
+        step = max(1, len(walk) // TESTS)
+        possible = ~own
+        for at in range(0, len(walk), step):
+            for x in walk[at : at + step].tolist():
+                d, s = divmod(x, segments)
+                lo, hi = self.cuts[s], self.cuts[s + 1]
+                add = impact[d, lo:hi, None] * q[d]
+                add -= least[d]
+                acc[self.order[d, lo:hi]] += add
+                gain[d, s] = 0
+            if at < len(walk) // 4:
+                continue
+            # a vector not yet met in a dimension gains there no more than the best segment left
+            rest = gain.max(axis=1).sum(axis=0) + base
+            few = np.argpartition(np.where(own, -1, acc), max(0, n - k - 28), axis=0)[max(0, n - k - 28) :]
+            floor = np.full(m, -(2**62) if kind == np.int64 else -(2.0**62), kind)
+            for j in np.flatnonzero(want):
+                # the k-th best of some exact scores: no member of the answer is below it
+                rows = few[:, j][~own[few[:, j], j]]
+                if len(rows) >= want[j]:
+                    floor[j] = np.sort(self.vectors[rows] @ queries[j])[-want[j]]
+            possible = ~own & (acc >= floor - rest)
+            if possible.sum(axis=0).max() <= max(4 * k, n // RESCORED):
                 break
-        rows = np.flatnonzero(possible)
-        score = self.vectors[rows] @ q
-        best = sorted(zip((-score).tolist(), self.ids[rows].tolist(), strict=True))[:k]
-        return [(-s, i) for s, i in best]
+        out = []
+        for j in range(m):
+            rows = np.flatnonzero(possible[:, j])
+            score = self.vectors[rows] @ queries[j]
+            if len(rows) > want[j] > 0:
+                edge = np.partition(score, len(rows) - want[j])[len(rows) - want[j]]
+                rows, score = rows[score >= edge], score[score >= edge]
+            out.append([(-s, i) for s, i in sorted(zip((-score).tolist(), self.ids[rows].tolist(), strict=True))[: want[j]]])
+        return out
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -104,8 +123,11 @@ def _search(k: int):
             index = ImpactIndex(ids, np.frombuffer(shard["values"][0].as_py(), "<i8").reshape(len(ids), dims))
             for row in queries.to_pylist():
                 qs = np.frombuffer(row["ids"], "<i8")
-                for q, v in zip(qs, np.frombuffer(row["values"], "<i8").reshape(len(qs), dims), strict=True):
-                    found += [(int(q), i, s) for s, i in index.search(v, k, int(q))]
+                vs = np.frombuffer(row["values"], "<i8").reshape(len(qs), dims)
+                for at in range(0, len(qs), QUERIES_AT_ONCE):
+                    part = qs[at : at + QUERIES_AT_ONCE]
+                    for query, best in zip(part, index.search(vs[at : at + QUERIES_AT_ONCE], k, part), strict=True):
+                        found += [(int(query), i, s) for s, i in best]
         return pa.table([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], schema=out)
 
     return run
@@ -122,13 +144,16 @@ def topk_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     asked = quantised(queries, id_col, vector_col, scale).withColumn("dims", F.size("v")).where("dims > 0")
     schema = "block int, dims int, ids binary, values binary"
 
+    longest = data.agg(F.max("dims")).first()[0] or 1
+    per_shard = max(64, SHARD_VALUES // longest)
+
     def packed(rows: DataFrame, per: int) -> DataFrame:
-        # by id hash: shards of about `per` rows, however many rows there are
+        # by id hash: blocks of about `per` rows, however many rows there are
         blocks = max(1, -(-rows.count() // per))
         return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dims").applyInArrow(_pack, schema)
 
-    shards = materialize(packed(data, SHARD_ROWS), "shards")
-    blocks = packed(asked, QUERY_BLOCK).toDF("query_block", "dims", "ids", "values")
+    shards = materialize(packed(data, per_shard), "shards")
+    blocks = packed(asked, min(QUERY_BLOCK, per_shard)).toDF("query_block", "dims", "ids", "values")
     # every query block goes to every shard of its length: the stated queries against all rows, in blocks
     sent = blocks.join(shards.select(F.col("block").alias("shard"), "dims"), "dims").select("shard", F.col("dims").alias("length"), "ids", "values")
     best = shards.groupBy("block", "dims").cogroup(sent.groupBy("shard", "length")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
