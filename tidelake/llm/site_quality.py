@@ -23,6 +23,8 @@ MAX_LABELLED = 20_000
 #: Fewest and most pseudo-observations of a parent's rate.
 PRIOR = (2.0, 1000.0)
 THRESHOLD = 0.5
+#: Sites up to which their figures are broadcast; beyond, they are joined by shuffles that split hot hosts.
+BROADCAST_SITES = 50_000
 
 _SHAPES = np.zeros(256, np.uint8)
 _SHAPES[:] = 5
@@ -133,6 +135,8 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     paths = by_path.join(by_host, by_path["host"].eqNullSafe(F.col("h"))).drop("h")
     path_strength = prior_strength(paths, "good", "n", "host_rate")
     paths = paths.select(F.col("host").alias("ph"), F.col("path").alias("pp"), shrunk(F.col("good"), F.col("n"), F.col("host_rate"), path_strength).alias("path_rate"))
+    if by_path.count() <= BROADCAST_SITES:
+        by_host, paths = F.broadcast(by_host), F.broadcast(paths)
     joined = scored.join(by_host, scored["host"].eqNullSafe(F.col("h")), "left").join(paths, scored["host"].eqNullSafe(F.col("ph")) & scored["path"].eqNullSafe(F.col("pp")), "left")
     hosts = F.coalesce("host_rate", F.lit(rate))
     sites = F.least(F.greatest(F.coalesce("path_rate", hosts), F.lit(0.001)), F.lit(0.999))
