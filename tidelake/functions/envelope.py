@@ -26,12 +26,12 @@ def probe(value: Column) -> Column:
     """
     raw = value.cast("binary")
 
-    def attempt(skip: int) -> Column:
-        text = (F.substring(raw, skip + 1, 1 << 30) if skip else raw).cast("string")
+    def attempt(text: Column) -> Column:
         v = F.when(text.startswith("{"), F.try_parse_json(text))
         return F.when(get(v, "$.op").isNotNull(), v)
 
-    return F.coalesce(*[attempt(k) for k in range(MOST_SKIPPED + 1)])
+    later = F.transform(F.sequence(F.lit(2), F.lit(MOST_SKIPPED + 1)), lambda at: attempt(raw.substr(at, F.lit(1 << 30)).cast("string")))
+    return F.coalesce(attempt(raw.cast("string")), F.get(F.filter(later, lambda v: v.isNotNull()), F.lit(0)))
 
 
 def op_normalize(op: Column) -> Column:
