@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import byte_column, doc_chunks, lower_ascii, materialize, mix64, prefix_sums, span_hash, word_spans
 from .components import connected_components
 
-#: Cost of a chance meeting of two sets, in index rows: a bucket row, and a share of a verification.
-PAIR_COST = 2.0
+#: Costs in index rows: of a row in a bucket where sets meet by chance, and of a comparison of two such sets' sketches.
+MET_COST, PAIR_COST = 3.0, 0.02
 #: Share of tokens that two unlinked sets of a band are taken to have in common, for the cost estimate only.
 OVERLAP = 0.05
 #: Untested neighbours of a class that a bucket sends on in the first round; four times as many in each later one.
@@ -116,25 +116,20 @@ class Bands:
     def _allocate(self, k: int, sets: int) -> tuple[int, int]:
         """Exact and one-deletion segments, the cheapest mix that covers the difference."""
         need, size = self.difference(k) + 1, (self.low[k] + self.low[k + 1]) / 2
-        best = None
-        for one in range(0, need // 2 + 1):
-            exact = need - 2 * one
-            if exact + one == 0:
-                continue
+
+        def cost(exact: int, one: int) -> float:
+            # unlinked sets meet in a segment where neither has tokens of its own, or, with one deletion, one token
             c = size / (exact + one)
-            apart = 2 * c * (1 - OVERLAP)
-            met = sets * (exact * math.exp(-apart) + one * math.exp(-apart) * (1 + apart))
-            cost = exact + one * (1 + c) + PAIR_COST * met
-            if best is None or cost < best[0]:
-                best = (cost, exact, one)
-        if need % 2 and best and best[1] == 1:  # an odd rest may be covered by one more one-deletion segment
-            one = need // 2 + 1
-            c = size / one
-            apart = 2 * c * (1 - OVERLAP)
-            cost = one * (1 + c) + PAIR_COST * sets * one * math.exp(-apart) * (1 + apart)
-            if cost < best[0]:
-                best = (cost, 0, one)
-        return best[1], best[2]
+            own = c * (1 - OVERLAP)
+            alone, pair = math.exp(-own), math.exp(-2 * own)
+            met = exact * min(alone, sets * pair) + one * min(alone * (1 + own), sets * pair * (1 + 2 * own))
+            pairs = sets * pair * (exact + one * (1 + 2 * own))
+            return exact + one * (1 + c) + MET_COST * met + PAIR_COST * pairs
+
+        plans = [(need - 2 * one, one) for one in range(need // 2 + 1)]
+        if need % 2:  # an odd rest may be covered by one more one-deletion segment
+            plans.append((0, need // 2 + 1))
+        return min(plans, key=lambda p: cost(*p))
 
 
 def signatures(x: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
@@ -404,9 +399,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         nearest *= 4
         tested = materialize(tested.unionByName(verified(pairs.select("u", "v").distinct())), "tested")
         buckets = buckets.select("b", "c").join(pairs.where("b is not null").select("b").distinct(), "b", "left_semi")
-    all_ = members.join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
-    least = all_.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    out = all_.join(least, "comp", "left")
+    # tables of a row per class, written so that joins with them have nothing but shuffles below and Spark can split a
+    # component or class that holds a large share of the rows
+    named = members.where("n > 0").groupBy("c").agg(F.min("id").alias("own")).join(comps.withColumnRenamed("node", "c"), "c", "left")
+    named = materialize(named.select("c", "own", F.coalesce("component", "c").alias("comp")), "classes")
+    least = materialize(named.groupBy("comp").agg(F.min("own").alias("least")), "least")
+    found = materialize(named.select("c", "comp").join(least, "comp"), "components")
+    out = members.join(found, "c", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"), F.col("c").alias("class_id"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("k")).alias("group_id"), F.col("k").alias("row_key"))
 
 
