@@ -149,3 +149,26 @@ def test_bands_cover(num, den):
             assert t <= bands.partners(k)
             both = -(-num * (s + t) // (den + num))
             assert exact + 2 * one > s + t - 2 * min(both, s)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components(spark, seed):
+    """Random links, a path, a star, a loop and repeats, against union-find; and no links at all."""
+    from tidelake.llm.components import connected_components
+
+    rng = random.Random(seed)
+    links = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] * 2 + [(i, i + 1) for i in range(1000, 1030)] + [(5000, i) for i in range(4000, 4040)] + [(7, 7)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = connected_components(spark.createDataFrame(links, "u long, v long"))
+    assert {r[0]: r[1] for r in got.collect()} == {x: root(x) for x in list(parent) if root(x) != x}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
