@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session sets none (Spark's own is 64 MB).
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back, so lost executors cost no rerun."""
     spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "1b") == "1b":  # not set
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ from .common import byte_column, doc_chunks, lower_ascii, materialize, prefix_su
 COMMON_LENGTHS = 64
 SWEEPS = 40
 #: Words whose ids a worker remembers; then it starts anew.
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 250_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -44,10 +44,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(path)
+        self.steps = self.encoder.normalizer, self.encoder.pre_tokenizer
         # words of plain small letters need no normalizing and are one piece each for the file's pattern
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.short = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = "<|endoftext|>"
         self.mark_id = self.encoder.token_to_id(self.mark)
         self._forget()
@@ -60,7 +59,9 @@ class WordTokenizer:
     def _encoded(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has. Words go through the library together, with a mark between them."""
         if plain:
-            found = self.letters.encode(" ".join(words), add_special_tokens=False)
+            self.encoder.normalizer, self.encoder.pre_tokenizer = self.short
+            found = self.encoder.encode(" ".join(words), add_special_tokens=False)
+            self.encoder.normalizer, self.encoder.pre_tokenizer = self.steps
             return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
         if self.mark_id is not None and not any("<|" in w for w in words):
             ids = np.array(self.encoder.encode(self.mark.join(words), add_special_tokens=False).ids, np.uint32)
