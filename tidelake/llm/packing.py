@@ -26,7 +26,7 @@ from .common import byte_column, doc_chunks, lower_ascii, materialize, prefix_su
 COMMON_LENGTHS = 64
 SWEEPS = 40
 #: Words whose ids a worker remembers; then it starts anew.
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 400_000
 
 
 # ---------------------------------------------------------------- tokens
