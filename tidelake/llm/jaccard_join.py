@@ -33,6 +33,8 @@ MET_COST, PAIR_COST = 3.0, 0.02
 OVERLAP = 0.05
 #: Untested neighbours of a class that a bucket sends on in the first round; four times as many in each later one.
 NEAREST = 4
+#: Index keys keep 48 bits: the zero bytes compress, and keys that meet by chance are verified like any other.
+KEY_MASK = np.uint64((1 << 48) - 1)
 #: A bucket with more classes that are still apart is dealt out again by a second, independent partition.
 RESPLIT = 4096
 
@@ -170,15 +172,15 @@ def _index(n: int, bands: Bands, seed: int):
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(c)
-                sig = signatures(x, bands, seed)
+                sig = signatures(x, bands, seed) & KEY_MASK
                 keys.append(sig)
                 classes.append(np.full(len(sig), c, np.int64))
                 held += len(sig)
                 if held > 250_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], ["b", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(classes)), pa.array(np.concatenate(keys).view(np.int64))], ["c", "b"])
                     keys, classes, held = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], ["b", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(classes)), pa.array(np.concatenate(keys).view(np.int64))], ["c", "b"])
 
     return run
 
@@ -202,7 +204,7 @@ def _reindex(n: int, bands: Bands, seed: int):
 
 def _meetings(batches):
     """Rows of whole buckets (any order, all of a bucket in this task) to those where classes meet, with the smallest."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    parts = [(b.column("b").to_numpy(), b.column("c").to_numpy()) for b in batches if b.num_rows]
     if not parts:
         return
     b, c = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
@@ -361,7 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     per_band = by_size.groupBy(F.expr(f"size(filter(array({','.join(map(str, edges))}), x -> x <= n)) - 1").cast("int").alias("band")).agg(F.sum("sets").alias("sets"))
     bands = Bands(num, den, largest, {r["band"]: r["sets"] for r in per_band.collect()})
 
-    index = rows.select("text").mapInArrow(_index(words, bands, 0), "b long, c long")
+    index = rows.select("text").mapInArrow(_index(words, bands, 0), "c long, b long")
     meet = "b long, c long, lead long"
     buckets = materialize(index.repartition("b").mapInArrow(_meetings, meet), "buckets")
     met = buckets.select("c").distinct()
