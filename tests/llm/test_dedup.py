@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from ..conftest import SF
 
@@ -116,10 +117,10 @@ def made_up(seed):
     return rows
 
 
-@pytest.mark.parametrize(("n", "num", "den", "crowd"), [(4, 85, 100, 4096), (5, 80, 100, 3)])
+@pytest.mark.parametrize(("n", "num", "den", "crowd"), [(4, 85, 100, 2048), (5, 80, 100, 3)])
 def test_jaccard_brute_force(spark, monkeypatch, n, num, den, crowd):
-    """Also with buckets so small that they are dealt out again."""
-    monkeypatch.setattr(jaccard_join, "RESPLIT", crowd)
+    """Also with buckets so small that they are dealt out again, and cut into pairs of blocks."""
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     monkeypatch.setattr(jaccard_join, "NEAREST", 1)
     docs = [(r[0] + 100_000, r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300").select("doc_id", "text").collect()]
     rows = docs + made_up(n)
@@ -137,6 +138,41 @@ def test_jaccard_odd(odd_docs, no_docs):
     assert sorted((r["doc_id"] for r in one.collect()), key=repr) == sorted([1, 3, 4, 5, 6, 8, 9, None, None], key=repr)
 
 
+def test_meetings_stream():
+    """However the sorted rows are cut into batches, the same rows come out."""
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(12), rng.randrange(9)) for _ in range(90)) + [(99, 4)] * 7
+    by = defaultdict(set)
+    for b, c in rows:
+        by[b].add(c)
+    want = sorted((b, c, min(s)) for b, s in by.items() if len(s) > 1 for c in s)
+    for size in (1, 2, 7, 1000):
+        batches = [pa.record_batch({"b": [r[0] for r in rows[i : i + size]], "c": [r[1] for r in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+        assert sorted(tuple(r.values()) for x in jaccard_join._meetings(iter(batches)) for r in x.to_pylist()) == want
+
+
+def test_unlinked_crowd(spark, monkeypatch):
+    """Many sets that meet everywhere and hardly link: block pairs and several rounds of nearest neighbours."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 8)
+    monkeypatch.setattr(jaccard_join, "NEAREST", 1)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for p in rng.sample(range(40), rng.choice([1, 2, 3])):
+            own[p] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(own)))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=1, num=90, den=100)
+    assert sorted((r[0], r[1], r[2]) for r in got.collect()) == sorted(linked(rows, 1, 90, 100))
+
+
+@pytest.mark.parametrize("clash", ["_key", "k", "row", "stay", "b", "component"])
+def test_clashing_columns(spark, clash):
+    docs = spark.createDataFrame([(1, "one two three four five six", "own"), (2, "one two three four five six", "other"), (3, "else", None)], f"doc_id long, text string, {clash} string")
+    assert sorted(tuple(r) for r in one_of_each_group(docs).collect()) == [(1, "one two three four five six", "own"), (3, "else", None)]
+
+
 @pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (1, 2)])
 def test_bands_cover(num, den):
     """Every linked pair of sizes shares a band, whose segments cover its difference."""

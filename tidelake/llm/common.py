@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 import zlib
@@ -9,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
 #: Bytes of an Arrow batch between Spark and a Python worker, where the session sets none (Spark's own is 64 MB).
@@ -20,13 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_dir(app: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidelake-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the session's spark.checkpoint.dir; one is made only where it is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidelake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder that all executors see: the session's spark.checkpoint.dir. Where it is unset, a session on one machine
+    gets a folder of its own, and a cluster's is refused."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir(context.applicationId)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that none can clash with a column that an operator adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

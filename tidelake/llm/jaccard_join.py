@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_chunks, lower_ascii, materialize, mix64, prefix_sums, span_hash, word_spans
+from .common import byte_column, doc_chunks, lower_ascii, materialize, mix64, prefix_sums, span_hash, whole_row, word_spans
 from .components import connected_components
 
 #: Costs in index rows: of a row in a bucket where sets meet by chance, and of a comparison of two such sets' sketches.
@@ -35,8 +35,9 @@ OVERLAP = 0.05
 NEAREST = 4
 #: Index keys keep 48 bits: the zero bytes compress, and keys that meet by chance are verified like any other.
 KEY_MASK = np.uint64((1 << 48) - 1)
-#: A bucket with more classes that are still apart is dealt out again by a second, independent partition.
-RESPLIT = 4096
+#: A bucket with more classes that are still apart is dealt out again by independent partitions, DEALS - 1 times at most;
+#: what is crowded then, as its sets are alike throughout, is cut into blocks, and each pair of blocks is a bucket.
+CROWD, DEALS = 2048, 4
 
 
 # ---------------------------------------------------------------- sets
@@ -203,34 +204,28 @@ def _reindex(n: int, bands: Bands, seed: int):
 
 
 def _meetings(batches):
-    """Rows of whole buckets (any order, all of a bucket in this task) to those where classes meet, with the smallest."""
-    parts = [(b.column("b").to_numpy(), b.column("c").to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    b, c = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-    del parts
-    order = np.argsort(b, kind="stable")
-    b, c = b[order], c[order]
-    del order
-    shared = np.zeros(len(b), bool)
-    same = b[1:] == b[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    b, c = b[shared], c[shared]
-    order = np.lexsort((c, b))
-    b, c = b[order], c[order]
-    new = np.ones(len(b), bool)
-    new[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-    b, c = b[new], c[new]
-    head = np.ones(len(b), bool)
-    head[1:] = b[1:] != b[:-1]
-    at = np.flatnonzero(head)
-    size = np.diff(np.append(at, len(b)))
-    keep = np.repeat(size > 1, size)
-    lead = np.repeat(c[at], size)
-    b, c, lead = b[keep], c[keep], lead[keep]
-    for i in range(0, len(b), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(b[i : i + 100_000]), pa.array(c[i : i + 100_000]), pa.array(lead[i : i + 100_000])], ["b", "c", "lead"])
+    """Rows sorted by bucket and class, all of a bucket in this task, to a row per class of the buckets where classes
+    meet, with the bucket's smallest class. Two rows at most are carried from batch to batch."""
+    b = c = np.zeros(0, np.int64)  # carried: the last bucket's smallest class and, once they are sent, its largest
+    for batch in batches:
+        sent = len(b) if len(b) > 1 else 0
+        b, c = np.concatenate([b, batch.column(0).to_numpy()]), np.concatenate([c, batch.column(1).to_numpy()])
+        if not len(b):
+            continue
+        new = np.ones(len(b), bool)
+        new[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        b, c = b[new], c[new]
+        head = np.ones(len(b), bool)
+        head[1:] = b[1:] != b[:-1]
+        at = np.flatnonzero(head)
+        size = np.diff(np.append(at, len(b)))
+        meet = np.repeat(size > 1, size)
+        meet[:sent] = False
+        lead = np.repeat(c[at], size)
+        if meet.any():
+            yield pa.RecordBatch.from_arrays([pa.array(b[meet]), pa.array(c[meet]), pa.array(lead[meet])], ["b", "c", "lead"])
+        keep = [at[-1], len(b) - 1] if size[-1] > 1 else [at[-1]]
+        b, c = b[keep], c[keep]
 
 
 # ---------------------------------------------------------------- verification
@@ -287,60 +282,75 @@ def _apart(a: bytes, b: bytes) -> int:
 
 
 def _plausible(num: int, den: int, nearest: int):
-    """Rows of a bucket (sorted by bucket) to pairs across components that may link and are untested: each class's
-    nearest ones. A bucket that has more of them is named with its pairs; all others are settled by theirs."""
+    """Rows of a bucket (sorted by bucket) to pairs across components that may link: each class's next nearest ones.
+
+    A row says how far down its neighbours (by bits apart, then by class) its class has come; nearer pairs have been
+    tested. Pairs come back without a bucket. A bucket that has more of them comes back with all its rows and how far
+    each is now; all others are settled by their pairs.
+    """
 
     def few(rows):
-        for i, (c, comp, n, sk, tested) in enumerate(rows):
-            for d, pcomp, m, other, _ in rows[i + 1 :]:
-                if comp != pcomp and den * min(n, m) >= num * max(n, m) and d not in tested and _apart(sk, other) * (den + num) <= (den - num) * (n + m):
-                    yield c, d
+        for i, (c, comp, n, sk, *_) in enumerate(rows):
+            for d, pcomp, m, other, *_ in rows[i + 1 :]:
+                if comp != pcomp and den * min(n, m) >= num * max(n, m) and _apart(sk, other) * (den + num) <= (den - num) * (n + m):
+                    yield min(c, d), max(c, d), None, 0
 
-    def many(rows, more):
+    def many(rows, b):
         c, comp, size = (np.array([r[k] for r in rows]) for k in range(3))
         words = [np.frombuffer(r[3], np.uint64) for r in rows]
         width = min(map(len, words))
         flat = np.array([_folded(s, width) for s in words])
-        for i in range(len(rows)):
+        more, reached = False, []
+        for i, (own, _, _, _, far, last) in enumerate(rows):
             s, t = np.minimum(size[i], size), np.maximum(size[i], size)
             j = np.flatnonzero((comp != comp[i]) & (den * s >= num * t))
-            if not len(j):
-                continue
             apart = np.bitwise_count(flat[j] ^ flat[i]).sum(axis=1, dtype=np.int64)
-            ok = apart * (den + num) <= (den - num) * (s + t)[j]
+            ok = (apart * (den + num) <= (den - num) * (s + t)[j]) & ((apart > far) | ((apart == far) & (c[j] > last)))
             j, apart = j[ok], apart[ok]
-            tested, found = rows[i][4], 0
-            for x in j[np.argsort(apart, kind="stable")]:
-                if int(c[x]) not in tested:
-                    if found == nearest:
-                        more.append(i)
-                        break
-                    yield int(c[i]), int(c[x])
-                    found += 1
-
-    def emit(rows, b):
-        more: list[int] = []
-        pairs = list(few(rows) if len(rows) <= 4 else many(rows, more))
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64()), pa.array([b if more else None] * len(pairs), pa.int64())], ["u", "v", "b"])
+            order = np.lexsort((c[j], apart))
+            for x in order[:nearest]:
+                yield min(own, int(c[j[x]])), max(own, int(c[j[x]])), None, 0
+                far, last = int(apart[x]), int(c[j[x]])
+            more |= len(order) > nearest
+            reached.append((own, last, b, far))
+        if more:
+            yield from reached
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["u", "v", "b", "far"])
 
     def run(batches):
         rows: list = []
+        found: list = []
         now = None
         for batch in batches:
-            b, c, comp, n, sk, tested = (col.to_pylist() for col in batch.columns)
-            for i in range(len(b)):
-                if b[i] != now and rows:
-                    yield from emit(rows, now)
+            b, *cols = (col.to_pylist() for col in batch.columns)
+            for bucket, *row in zip(b, *cols, strict=True):
+                if bucket != now and rows:
+                    found += few(rows) if len(rows) <= 4 else many(rows, now)
                     rows = []
-                now = b[i]
-                rows.append((c[i], comp[i], n[i], sk[i], set(tested[i] or ())))
+                    if len(found) > 10_000:
+                        yield out(found)
+                        found = []
+                now = bucket
+                rows.append(row)
         if rows:
-            yield from emit(rows, now)
+            found += few(rows) if len(rows) <= 4 else many(rows, now)
+        if found:
+            yield out(found)
 
     return run
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Buckets (b, c, size) cut into blocks of classes by hash, to a bucket for each pair of blocks: every two classes
+    of a bucket meet in one at least, and none holds much more than half of CROWD."""
+    blocks = F.ceil(F.col("size") * 4 / CROWD).cast("int")
+    own = F.pmod(F.xxhash64("c"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.xxhash64(F.col("b"), F.least(own, x.cast("long")), F.greatest(own, x.cast("long"))))
+    return rows.select(F.explode(pairs).alias("b"), "c")
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -365,7 +375,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     index = rows.select("text").mapInArrow(_index(words, bands, 0), "c long, b long")
     meet = "b long, c long, lead long"
-    buckets = materialize(index.repartition("b").mapInArrow(_meetings, meet), "buckets")
+    buckets = materialize(index.select("b", "c").repartition("b").sortWithinPartitions("b", "c").mapInArrow(_meetings, meet), "buckets")
     met = buckets.select("c").distinct()
     reps = members.groupBy("c").agg(F.min("k").alias("k")).join(met, "c")
     texts = materialize(rows.select("k", "text").join(reps, "k").select("c", "text").dropDuplicates(["c"]), "texts")
@@ -377,30 +387,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = buckets.where("c <> lead").groupBy("c", "lead").count()
     stars = often.groupBy("c").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     tested = verified(stars.select(F.col("lead").alias("u"), F.col("c").alias("v")))
+    start = [F.lit(-1).cast("long").alias("far"), F.lit(0).cast("long").alias("last")]
+    still = buckets.select("b", "c", *start)
     sketches = None
-    seed, nearest = 1, NEAREST
+    deals, nearest = 1, NEAREST
     while True:
         comps = connected_components(tested.where("linked").select("u", "v"))
-        named = buckets.select("b", "c").join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+        named = still.join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
         apart = named.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        buckets = materialize(named.join(apart.select("b", "size"), "b"), "apart")
-        crowded = buckets.where(F.col("size") > RESPLIT)
-        if seed < 4 and not crowded.isEmpty():
-            split = crowded.select("b", "c").join(texts, "c").select("b", "c", "text").mapInArrow(_reindex(words, bands, seed), "b long, c long").repartition("b").mapInArrow(_meetings, meet)
-            seed += 1
-            buckets = materialize(buckets.where(F.col("size") <= RESPLIT).select("b", "c").unionByName(split.select("b", "c")), "buckets")
+        still = materialize(named.join(apart.select("b", "size"), "b"), "apart")
+        crowded = still.where(F.col("size") > CROWD)
+        if deals <= DEALS and not crowded.isEmpty():
+            if deals < DEALS:
+                again = crowded.select("b", "c").join(texts, "c").select("b", "c", "text").mapInArrow(_reindex(words, bands, deals), "b long, c long")
+                again = again.repartition("b").sortWithinPartitions("b", "c").mapInArrow(_meetings, meet)
+            else:
+                again = _block_pairs(crowded)
+            deals += 1
+            still = materialize(still.where(F.col("size") <= CROWD).select("b", "c", "far", "last").unionByName(again.select("b", "c", *start)), "buckets")
             continue
-        if buckets.isEmpty():
+        if still.isEmpty():
             break
         if sketches is None:
-            sketches = materialize(texts.join(buckets.select("c").distinct(), "c").select("c", "text").mapInArrow(_sketches(words), "c long, n long, sketch binary"), "sketches")
-        failed = tested.where("not linked").select("u", "v")
-        failed = failed.union(failed.select("v", "u")).toDF("c", "o").groupBy("c").agg(F.collect_set("o").alias("tested"))
-        rich = buckets.join(sketches, "c").join(failed, "c", "left").select("b", "c", "comp", "n", "sketch", "tested")
-        pairs = materialize(rich.repartition("b").sortWithinPartitions("b").mapInArrow(_plausible(num, den, nearest), "u long, v long, b long"), "pairs")
+            sketches = materialize(texts.join(still.select("c").distinct(), "c").select("c", "text").mapInArrow(_sketches(words), "c long, n long, sketch binary"), "sketches")
+        rich = still.join(sketches, "c").select("b", "c", "comp", "n", "sketch", "far", "last")
+        found = materialize(rich.repartition("b").sortWithinPartitions("b").mapInArrow(_plausible(num, den, nearest), "u long, v long, b long, far long"), "pairs")
         nearest *= 4
-        tested = materialize(tested.unionByName(verified(pairs.select("u", "v").distinct())), "tested")
-        buckets = buckets.select("b", "c").join(pairs.where("b is not null").select("b").distinct(), "b", "left_semi")
+        pairs = found.where("b is null").select("u", "v").distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti")
+        tested = tested.unionByName(verified(pairs))
+        still = found.where("b is not null").select("b", F.col("u").alias("c"), "far", F.col("v").alias("last"))
     # tables of a row per class, written so that joins with them have nothing but shuffles below and Spark can split a
     # component or class that holds a large share of the rows
     named = members.where("n > 0").groupBy("c").agg(F.min("id").alias("own")).join(comps.withColumnRenamed("node", "c"), "c", "left")
@@ -415,6 +430,6 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs, all their columns, less near-duplicates: of what links connect, the row with the smallest id
     stays (a null id last), once. Rows without words stay, once for each id."""
     found = jaccard_components(docs, id_col, text_col, words, num, den)
-    stay = found.groupBy("group_id").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "row_key")).alias("m")).select(F.col("m.row_key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    stay = found.groupBy("group_id").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "row_key")).alias("m")).select(F.col("m.row_key").alias("k"))
+    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), whole_row(docs).alias("row"))
+    return keyed.join(stay, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
