@@ -24,11 +24,16 @@ from .conftest import words
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def test_word_tokenizer_equals_library(spark):
+@pytest.mark.parametrize("store", [16 << 20, 0])
+def test_word_tokenizer_equals_library(spark, monkeypatch, store):
+    """Also where the store of words is full each time, and stays within its bound."""
     import pyarrow as pa
 
+    from tidelake.llm import packing
     from tidelake.llm.common import byte_column
 
+    monkeypatch.setattr(packing, "STORE_BYTES", store)
+
     texts = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).collect()]
     texts += ["x <|endoftext|> y", "a<|startoftext|>b İstanbul ΣΑΣ", "é é ́x", " a b\x0bc\x1cd 1234 don't I'LL", "don,'t a_b x=y É,é A.B-C I'm,\"re's foo—,bar ,'s İ! a1,2b ß ŉ.", "", "  "]
     buf, off = byte_column(pa.array(texts))
@@ -57,38 +62,33 @@ def test_plan_uses_each_remainder_once(counts):
 
 
 def check_pieces(p, docs, window):
+    """Sequences have no gap, and the pieces are those of each row, as often as the row comes."""
     library = Tokenizer.from_file(PATH)
-    assert sorted(p.sequence_id.unique()) == list(range(p.sequence_id.nunique()))
-    for _, g in p.sort_values("offset").groupby("sequence_id"):
-        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= window
-    got = collections.defaultdict(list)
-    for r in p.itertuples():
-        got[repr(r.doc_id)].append((r.start, list(r.ids), r.ids_crc32, r.doc_tokens))
-    want = collections.Counter(tuple([repr(float(i)) if i is not None and p.doc_id.dtype == float else repr(i), *library.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in docs)
-    found = collections.Counter()
-    for name, pieces in got.items():
-        for start, ids, crc, _ in pieces:
-            assert zlib.crc32(np.array(ids, "<u4").tobytes()) == crc
-        byrow = sorted(pieces, key=lambda x: x[0])
-        if len({x[0] for x in byrow}) == len(byrow):
-            whole = [i for x in byrow for i in x[1]]
-            assert len(whole) == byrow[0][3]
-            found[(name, *whole)] += 1
-    return want, found
+    assert sorted({r["sequence_id"] for r in p}) == list(range(len({r["sequence_id"] for r in p})))
+    at = collections.defaultdict(list)
+    for r in p:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in at.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [0, *np.cumsum([n for _, n in pieces])[:-1]] and sum(n for _, n in pieces) <= window
+    want = collections.Counter()
+    for i, t in docs:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), window):
+            own = ids[start : start + window]
+            want[(i, start, tuple(own), len(own), zlib.crc32(np.array(own, "<u4").tobytes()), len(ids))] += 1
+    assert want == collections.Counter((r["doc_id"], r["start"], tuple(r["ids"]), r["length"], r["ids_crc32"], r["doc_tokens"]) for r in p)
 
 
 def test_packing_round_trip(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 250").select("doc_id", "text")
-    p = pack_documents(d, PATH, window=512, keep_ids=True).toPandas()
-    want, found = check_pieces(p, [(r[0], r[1]) for r in d.collect()], 512)
-    assert want == found
-    assert 1 - p.length.sum() / (512 * p.sequence_id.nunique()) < 0.02
+    p = pack_documents(d, PATH, window=512, keep_ids=True).collect()
+    check_pieces(p, [(r[0], r[1]) for r in d.collect()], 512)
+    assert 1 - sum(r["length"] for r in p) / (512 * len({r["sequence_id"] for r in p})) < 0.02
 
 
 def test_packing_odd(odd_docs, no_docs):
-    p = pack_documents(odd_docs, PATH, keep_ids=True).toPandas()
-    check_pieces(p, [(r["doc_id"], r["text"]) for r in odd_docs.collect()], 2048)
-    assert p.length.sum() == sum(len(Tokenizer.from_file(PATH).encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd_docs.collect())
+    check_pieces(pack_documents(odd_docs, PATH, keep_ids=True).collect(), [(r["doc_id"], r["text"]) for r in odd_docs.collect()], 2048)
     assert pack_documents(no_docs, PATH).count() == 0
 
 

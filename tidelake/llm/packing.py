@@ -25,8 +25,8 @@ from .common import byte_column, doc_chunks, lower_ascii, materialize, prefix_su
 #: Lengths that may be the two free parts of a combination of three.
 COMMON_LENGTHS = 64
 SWEEPS = 40
-#: Words whose ids a worker remembers; then it starts anew.
-_CACHE_WORDS = 400_000
+#: Bytes of words' ids that a worker remembers; then it starts anew.
+STORE_BYTES = 16 << 20
 
 
 # ---------------------------------------------------------------- tokens
@@ -52,9 +52,12 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        # sorted hashes of words, and where and how many a word's ids are in the pool
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _held(self) -> int:
+        return self.keys.nbytes + self.start.nbytes + self.size.nbytes + self.pool.nbytes
 
     def _encoded(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has. Words go through the library together, with a mark between them."""
@@ -72,24 +75,31 @@ class WordTokenizer:
         each = [self.encoder.encode(w, add_special_tokens=False).ids for w in words]
         return np.array([x for ids in each for x in ids], np.uint32), np.array([len(x) for x in each], np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         kinds: list[list[int]] = [[], [], []]
         for i, w in enumerate(words):
             plain = w.isalpha() and w.islower() and (w.isascii() or (max(w) < "\u0250" and unicodedata.is_normalized("NFC", w)))
             kinds[0 if plain else 2 if "<|" in w else 1].append(i)
         parts = [(k == 0, x[at : at + n]) for k, x in enumerate(kinds) for n in [1 if k == 2 else 2000] for at in range(0, len(x), n)]
+        pool, sizes = [self.pool], []
         for plain, part in parts:
             ids, size = self._encoded([words[i] for i in part], plain)
-            first, n = len(self.slot), len(part)
-            while first + n > len(self.start):
-                self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, self.pool])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[first : first + n] = self.used + np.cumsum(size) - size
-            self.size[first : first + n] = size
-            self.used += len(ids)
-            self.slot.update(zip((hashes[i] for i in part), range(first, first + n), strict=True))
+            pool.append(ids)
+            sizes.append(size)
+        size = np.concatenate(sizes)
+        keys = np.concatenate([self.keys, hashes[[i for _, part in parts for i in part]]])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])[order]
+        self.size = np.concatenate([self.size, size.astype(np.int32)])[order]
+        self.pool = np.concatenate(pool)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        return at, known
 
     def __call__(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that lie one after the other in buf, and the n + 1 offsets of each text's ids."""
@@ -106,15 +116,16 @@ class WordTokenizer:
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         h = span_hash(prefix_sums(buf), s, e)
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-        names = uniq.tolist()
-        if len(self.slot) + len(names) > _CACHE_WORDS:
-            self._forget()
-        new = [i for i, x in enumerate(names) if x not in self.slot]
-        if new:
-            at = first[new]
-            self._learn([names[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
-        slot = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[back]
-        each = self.size[slot]
+        at, known = self._find(uniq)
+        if not known.all():
+            if self._held() > STORE_BYTES:
+                self._forget()
+                known[:] = False
+            new = np.flatnonzero(~known)
+            self._learn(uniq[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
+            at, _ = self._find(uniq)
+        slot = at[back]
+        each = self.size[slot].astype(np.int64)
         ends = np.cumsum(each)
         ids = self.pool[np.repeat(self.start[slot] - (ends - each), each) + np.arange(ends[-1])]
         upto = np.searchsorted(doc, np.arange(len(bounds)))
@@ -298,7 +309,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     tokens = materialize(rows.mapInArrow(_tokenize(tokenizer, window, end_id, keep_ids), f"id {id_type}, task int, tokens long, rest int, rank long, full_at long, sums array<long>{extra}"), "tokens")
     counts = tokens.groupBy("task", "rest").agg(F.count("*").alias("n"), F.sum(F.expr(f"tokens div {window}")).alias("fulls"))
-    counts = materialize(counts, "counts")
     # at most `window` rows, whatever the corpus
     hist = np.zeros(window, np.int64)
     for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).where("rest > 0").collect():
