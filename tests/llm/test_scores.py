@@ -9,7 +9,8 @@ import pytest
 from ..conftest import SF
 from pyspark.sql import functions as F
 
-from tidelake.llm.lm_score import deleted_interpolation_scores, em_weights
+from tidelake.llm import lm_score
+from tidelake.llm.lm_score import BUCKETS, GRID, deleted_interpolation_scores, em_weights
 from tidelake.llm.perplexity_rules import _discounts, kneser_ney, quality_rules
 from tidelake.llm.site_quality import site_quality
 from tidelake.llm.toxicity import ftrl_pass, toxicity_scores, weights_of
@@ -145,23 +146,81 @@ def test_lm_base_brute_force(spark, odd_docs, no_docs):
     assert deleted_interpolation_scores(no_docs).count() == 0
 
 
-def test_lm_is_a_distribution(spark):
-    """Over all words after one context, known or not, probabilities sum to one."""
-    texts = ["a b", "a c", "a b", "b a", "c"] * 8
-    train = [(i, t) for i, t in enumerate(texts)]
-    vocab = ["a", "b", "c", "zzz"]
-    probe = [(1000 + i, w) for i, w in enumerate(vocab)]
-    probe = [(next(x for x in range(10_000 * (i + 1), 10_000 * (i + 2)) if zlib.crc32(str(x).encode()) % 7 == 2), w) for i, w in probe] + [(next(x for x in range(9_000, 10_000) if zlib.crc32(str(x).encode()) % 7 == 2), "")]
-    got = {r[0]: r["score"] for r in deleted_interpolation_scores(spark.createDataFrame(train + probe, "doc_id long, text string"), blocks=2).collect()}
-    empty = got[probe[-1][0]]  # log10 P(end | start)
-    assert 0 < 10**empty < 1 and all(got[i] < 0 for i, _ in probe)
+def interpolated(rows, order, held=2, folds=7):
+    """The whole model in plain Python: (score of a text, probability of a token after a context)."""
+    fold = lambda i: -1 if i is None else zlib.crc32(str(i).encode()) % folds
+    padded = [(fold(i), [START] * (order - 1) + words(lower(t)) + [END]) for i, t in rows]
+    grams = lambda ws, k: [tuple(ws[j - k : j + 1]) for j in range(order - 1, len(ws))]
+    count = [collections.Counter(g for f, ws in padded if f != held for g in grams(ws, k)) for k in range(order)]
+    tune = [collections.Counter(g for f, ws in padded if f == held + 1 for g in grams(ws, k)) for k in range(order)]
+
+    def parts(gram, c, types):
+        tokens = sum(c[0].values())
+        out = [1 / (types + 1)]
+        out.append(c[0][gram[-1:]] / tokens if tokens else out[0])
+        bucket = 0
+        for k in range(1, order):
+            context = gram[-k - 1 : -1]
+            h = c[0][(END,)] if context == (START,) * k else c[k - 1][context]
+            out.append(c[k][gram[-k - 1 :]] / h if h else out[-1])
+            bucket = bucket * len(BUCKETS) + min(int(np.searchsorted(BUCKETS, h)), len(BUCKETS) - 1)
+        return out, bucket
+
+    types = len(count[0])
+    left = [a - b for a, b in zip(count, tune, strict=True)]
+    left = [collections.Counter(a) for a in left]
+    by = collections.defaultdict(list)
+    for f, ws in padded:
+        if f == held + 1:
+            for g in grams(ws, order - 1):
+                p, bucket = parts(g, left, types)
+                by[bucket].append([p[0], *(2.0 ** (round(math.log2(x) * GRID) / GRID) if x else 0.0 for x in p[1:])])
+
+    def em(ps, prior):
+        w = [1 / (order + 1)] * (order + 1)
+        for _ in range(60):
+            new = list(prior)
+            for p in ps:
+                total = sum(a * b for a, b in zip(w, p, strict=True))
+                for k in range(order + 1):
+                    new[k] += w[k] * p[k] / total
+            w = [x / sum(new) for x in new]
+        return w
+
+    pooled = em([p for ps in by.values() for p in ps], [0.1] * (order + 1))
+    weights = {b: em(ps, [10 * x for x in pooled]) for b, ps in by.items()}
+
+    def prob(gram):
+        p, bucket = parts(gram, count, types)
+        return sum(a * b for a, b in zip(weights.get(bucket, pooled), p, strict=True))
+
+    return [(i, sum(math.log10(prob(g)) for g in grams(ws, order - 1))) for (i, _), (_, ws) in zip(rows, padded, strict=True)], prob, [w[0] for w in count[0]]
+
+
+START, END = "<s>", "</s>"
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_brute_force(spark, monkeypatch, order):
+    """Scores equal those of the plain model, over many blocks, parts and merges; and that model is a distribution."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 3000)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    rng = np.random.default_rng(2)
+    vocab = np.array([f"w{i}" for i in range(60)])
+    rows = [(i, " ".join(vocab[(rng.zipf(1.4, rng.integers(0, 30)) * (i % 3 + 1)) % 60])) for i in range(400)] + [(7, "W1 w1"), (7, "W1 w1"), (None, "w1 w2"), (401, None)]
+    want, prob, known = interpolated(rows, order)
+    got = deleted_interpolation_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order).collect()
+    assert sorted((repr(r[0]), round(r["score"], 6)) for r in got) == sorted((repr(i), round(x, 6)) for i, x in want)
+    for context in [(START,) * (order - 1), (*((START,) * (order - 2)), "w1"), ("w2", "w1")[-order + 1 :], ("never", "seen")[-order + 1 :]]:
+        assert abs(sum(prob((*context, w)) for w in [*known, "unknown"]) - 1) < 1e-9
 
 
 def test_em_recovers_weights():
     rng = np.random.default_rng(5)
-    parts = np.stack([np.full(4000, 0.01), rng.choice([0.0, 0.5], 4000)])
-    pick = rng.random(4000) < 0.3
-    keep = rng.random(4000) < np.where(pick, parts[1], parts[0]) / 0.5
-    cells = collections.Counter((0, round(math.log2(p[0]) * 4), None if p[1] == 0 else round(math.log2(p[1]) * 4)) for p in parts.T[keep])
-    w = em_weights(dict(cells), 2)[0]
-    assert abs(w.sum() - 1) < 1e-9 and w[1] > 0.2
+    token = np.where(rng.random(20_000) < 0.3, rng.integers(0, 2, 20_000), rng.integers(0, 100, 20_000))  # two frequent ones
+    steps, n = np.unique(np.where(token < 2, round(math.log2(0.5) * GRID), 1), return_counts=True)
+    w = em_weights(np.vstack([np.zeros(len(n), int), steps]), n, 99)
+    assert all(abs(x.sum() - 1) < 1e-9 for x in w.values())
+    assert abs(w[0][1] - 0.3) < 0.05
+    assert em_weights(np.zeros((3, 0), int), np.zeros(0), 9)[-1].tolist() == [1 / 3] * 3
