@@ -63,6 +63,19 @@ def test_suffix_dedup_brute_force(spark, monkeypatch, most):
     assert got == want
 
 
+def test_suffix_dedup_equal_rows(spark, monkeypatch):
+    """Many rows that are equal in id and text cost no more than others, on either path."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(None, base)] * 3000 + [(1, base[:420] + "x" * 50), (2, "y" * 399), (2, "y" * 399)]
+    for most in (2000, 1):
+        monkeypatch.setattr(suffix_dedup, "INDEX_SEGMENTS", most)
+        got = sorted((tuple(r[:5]) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+        few = [(i, t.encode()) for i, t in rows[2998:]]
+        want = [(i, *r) for (i, _), r in zip(few, repeats([t for _, t in few], 400), strict=True)]
+        assert got == sorted(want[:1] * 2998 + want, key=repr)
+
+
 def test_suffix_dedup_odd(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     want = sorted(repeats([(t or "").encode() for _, t in rows], 400))

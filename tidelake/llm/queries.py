@@ -23,7 +23,8 @@ from .toxicity import toxicity_scores
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), length=400).drop("kept", "spans")
+    """The figures, and the text that stays (bytes of characters cut in two as replacement characters)."""
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept", "spans")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ which also starts at another position of the corpus, in the same text or another
 
 How the work is dealt out: a window's anchor is its position with the smallest k-gram hash, so equal windows have equal
 anchors at equal distances. Consecutive windows with one anchor make a segment (some 600 bytes). Segments meet by
-anchor hash; only those whose anchor occurs elsewhere go on, and identical ones are counted and kept once. For the
-segments of many anchors at a time, a task builds a run-compressed Burrows-Wheeler transform with suffix samples at run
-ends, streams matching statistics along the text, and marks windows whose match is n bytes or longer. Bytes decide,
-never the hash. An anchor with more distinct segments than one index takes is settled window by window by
-distributed counts instead, which is exact too.
+anchor hash; only those whose anchor occurs elsewhere go on, and identical ones (by a 64-bit hash) are counted and kept
+once. For the segments of many anchors at a time, a task builds a run-compressed Burrows-Wheeler transform with suffix
+samples at run ends. All that is kept of the suffix order are those samples: the match of any other position follows
+from the nearest sample before it (phi), so matching statistics are streamed along the text, and windows whose match
+is n bytes or longer are marked. Segments of one anchor that are more than an index takes get longer anchors: the whole
+window is its own anchor then, so that equal segments are all that can meet, and counting them over the cluster decides.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, BYTE_VALUES, CHUNK_BYTES, byte_column, doc_chunks, materialize, mix64, prefix_sums, span_hash
+from .common import BASE, BYTE_VALUES, CHUNK_BYTES, byte_column, doc_chunks, materialize, mix64, prefix_sums, span_hash, whole_row
 
 GRAM = 32
-#: An anchor with more distinct segments than this is settled by window counts over the cluster.
+#: Distinct segments of an anchor that one index takes; beyond, each window is its own anchor.
 INDEX_SEGMENTS = 2000
 #: Text of one index; a task's memory is about 60 times this.
 INDEX_BYTES = 1 << 20
@@ -53,7 +54,7 @@ class RunLengthIndex:
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         n = self.n = len(self.buf)
         self._words = self._eight_bytes()
-        sa = self._order()
+        sa = self._order()  # not kept
         before = np.empty(n, np.int16)
         before[0] = -1
         before[1:] = self.buf[:-1]
@@ -71,6 +72,7 @@ class RunLengthIndex:
         self.head_match[1:] = self._common(sa[heads[1:] - 1], sa[heads[1:]])
         self.tail_match = np.zeros(len(heads), np.int32)
         self.tail_match[:-1] = self.head_match[1:]
+        del self._words
 
     def _eight_bytes(self) -> np.ndarray:
         padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
@@ -233,14 +235,20 @@ def _anchors(size: int):
 
 
 def _cut(size: int):
-    """Texts with the places of segments to fetch, to the segments' bytes."""
+    """Texts with the places of segments to fetch, to the segments' bytes; equal rows are cut once or a few times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "s", "m", "hot", "bytes"]
+        seen: set[int] = set()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             held = 0
-            for text, segs in zip(batch.column(0), batch.column(1), strict=True):
+            for k, text, segs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if k in seen:
+                    continue
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add(k)
                 raw = text.as_buffer()
                 for x in segs.as_py():
                     piece = raw[x["at"] : x["at"] + x["w"] + size - 1]
@@ -260,7 +268,8 @@ _RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _index(size: int):
-    """Segments sorted by anchor, to the ranges of windows that repeat; whole anchors go into an index together."""
+    """Segments sorted by anchor and hash, to the ranges of windows that repeat; whole anchors go into an index together,
+    and a segment that comes again does not."""
 
     def settle(keys: list, owns: list, counts: list, texts: list) -> pa.RecordBatch:
         marks = RunLengthIndex(texts, size).repeated_windows(np.array(counts))
@@ -275,6 +284,8 @@ def _index(size: int):
         held = 0
         for batch in batches:
             for a, s, m, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if keys and a == keys[-1] and s == owns[-1]:
+                    continue
                 if held >= INDEX_BYTES and a != keys[-1]:
                     yield settle(keys, owns, counts, texts)
                     keys, owns, counts, texts, held = [], [], [], [], 0
@@ -355,7 +366,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows of which nothing but white space is left, and something was removed, are dropped. A null text stays null.
     """
-    out = _deduplicated(docs, F.struct(*[F.col(c) for c in docs.columns]), id_col, text_col, length)
+    out = _deduplicated(docs, whole_row(docs), id_col, text_col, length)
     fields = T.StructType([T.StructField("row", docs.schema), T.StructField("left", T.StringType())])
     texts = out.select(F.col("id").alias("row"), "kept", (F.col("n_removed") > 0).alias("cut")).mapInArrow(_decode, fields.add("cut", "boolean"))
     return texts.where(~F.col("cut") | F.col("left").rlike(r"[^\x20\x09-\x0D]")).select(*[(F.when(F.col("row")[c].isNotNull(), F.col("left")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
@@ -371,22 +382,21 @@ def _deduplicated(docs: DataFrame, carried: Column, id_col: str, text_col: str,
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("k"), carried.alias("id"), text.alias("text"))
-    dealt = rows.repartition("k")
     anchors = materialize(rows.select("k", "text").mapInArrow(_anchors(length), "a long, s long, k long, at long, w int"), "anchors")
     segments = anchors.groupBy("a", "s").agg(F.count("*").alias("m"), F.min(F.struct("k", "at", "w")).alias("at"))
     groups = segments.groupBy("a").agg(F.sum("m").alias("total"), F.count("*").alias("distinct")).where("total > 1")
     wanted = segments.join(groups, "a").select(F.col("at.k").alias("k"), F.struct("a", "s", "m", (F.col("distinct") > INDEX_SEGMENTS).alias("hot"), F.col("at.at").alias("at"), F.col("at.w").alias("w")).alias("seg"))
     by_doc = wanted.groupBy("k").agg(F.collect_list("seg").alias("segs"))
-    fetched = materialize(dealt.join(by_doc.hint("shuffle_hash"), "k").select("text", "segs").mapInArrow(_cut(length), "a long, s long, m long, hot boolean, bytes binary"), "segments")
+    fetched = materialize(rows.select("k", "text").join(by_doc.hint("shuffle_hash"), "k").select("k", "text", "segs").mapInArrow(_cut(length), "a long, s long, m long, hot boolean, bytes binary"), "segments")
     ranges = "a long, s long, ranges array<struct<lo:int,hi:int>>"
-    cold = fetched.where("not hot").select("a", "s", "m", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(_index(length), ranges)
-    windows = fetched.where("hot").select("a", "s", "m", "bytes").mapInArrow(_windows(length), "a long, s long, m long, w int, h long")
+    cold = fetched.where("not hot").select("a", "s", "m", "bytes").repartition("a").sortWithinPartitions("a", "s").mapInArrow(_index(length), ranges)
+    windows = fetched.where("hot").select("a", "s", "m", "bytes").dropDuplicates(["a", "s"]).mapInArrow(_windows(length), "a long, s long, m long, w int, h long")
     again = windows.groupBy("a", "h").agg(F.sum("m").alias("c")).where("c > 1").select("a", "h")
     hot = windows.join(again, ["a", "h"]).groupBy("a", "s").agg(F.collect_list(F.struct(F.col("w").alias("lo"), (F.col("w") + 1).alias("hi"))).alias("ranges"))
     marks = cold.unionByName(hot)
     spans = anchors.join(marks, ["a", "s"]).select("k", F.explode("ranges").alias("r"), "at").select("k", F.struct((F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi") + length - 1).alias("hi")).alias("span"))
     per_doc = spans.groupBy("k").agg(F.collect_set("span").alias("spans"))
-    out = dealt.join(per_doc.hint("shuffle_hash"), "k", "left").select("id", "text", "spans")
+    out = rows.join(per_doc.hint("shuffle_hash"), "k", "left").select("id", "text", "spans")
     fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary"), ("spans", "array<struct<start:bigint,stop:bigint>>")]
     schema = T.StructType([T.StructField("id", out.schema["id"].dataType), *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]])
     return out.mapInArrow(_remove, schema)
