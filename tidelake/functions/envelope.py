@@ -19,19 +19,27 @@ def get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def probe(value: Column) -> Column:
-    """VARIANT of a bus value: the first parse, after 0 to 32 skipped bytes, that is an object with an `op`; else null.
+def decode(value: Column) -> Column:
+    """(v, event_id) of a bus value: the first parse, after 0 to 32 skipped bytes, that is an envelope; null if none is.
 
-    Values that parse at once never see the other attempts; those try only offsets at which an object begins.
+    An envelope is an object with an `op`, or a CloudEvent whose data is one; that event's id is kept. Values that parse
+    at once never see the other attempts; those try only offsets at which an object begins.
     """
     raw = value.cast("binary")
 
     def attempt(text: Column) -> Column:
         v = F.when(text.startswith("{"), F.try_parse_json(text))
-        return F.when(get(v, "$.op").isNotNull(), v)
+        inner = F.when(get(v, "$.specversion").isNotNull(), F.try_variant_get(v, "$.data", "variant"))
+        plain = F.struct(v.alias("v"), F.lit(None).cast("string").alias("event_id"))
+        return F.when(get(v, "$.op").isNotNull(), plain).when(get(inner, "$.op").isNotNull(), F.struct(inner.alias("v"), get(v, "$.id").alias("event_id")))
 
     later = F.transform(F.sequence(F.lit(2), F.lit(MOST_SKIPPED + 1)), lambda at: attempt(raw.substr(at, F.lit(1 << 30)).cast("string")))
-    return F.coalesce(attempt(raw.cast("string")), F.get(F.filter(later, lambda v: v.isNotNull()), F.lit(0)))
+    return F.coalesce(attempt(raw.cast("string")), F.get(F.filter(later, lambda d: d.isNotNull()), F.lit(0)))
+
+
+def probe(value: Column) -> Column:
+    """VARIANT of the envelope in a bus value, wrapped or not; null if there is none."""
+    return decode(value)["v"]
 
 
 def op_normalize(op: Column) -> Column:
@@ -130,7 +138,7 @@ def sanitize(name: Column, most: int = 63) -> Column:
 
 def lake_name(engine: Column, database: Column, schema: Column, table: Column) -> Column:
     """(schema, table) in the lake."""
-    return F.struct(F.when(engine == "mssql", sanitize(F.concat(database, F.lit("_"), schema))).when(engine == "mongodb", sanitize(database)).otherwise(schema).alias("lake_schema"), F.when(engine == "mariadb", table).otherwise(sanitize(table)).alias("lake_table"))
+    return F.struct(F.when(engine == "mssql", sanitize(F.concat(database, F.lit("_"), schema))).when(engine == "mongodb", sanitize(database)).otherwise(schema).alias("lake_schema"), F.when(engine.isin("mssql", "mongodb"), sanitize(table)).otherwise(table).alias("lake_table"))
 
 
 def disambiguate(names: DataFrame, scope: str, raw: str, most: int = 63) -> DataFrame:
@@ -157,13 +165,81 @@ def split_columns(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, ","), lambda c: F.trim(c)), lambda c: c != "")
 
 
-def parse(messages: DataFrame, default_engine: str = "mariadb") -> DataFrame:
-    """Bus messages (topic, part, pos, value) to changes: op, engine, names, position, time and the row's image."""
-    v = messages.where("value is not null").withColumn("v", probe(F.col("value"))).where("v is not null")
-    e = lambda path, kind="string": get(F.col("v"), path, kind)
-    engine = F.coalesce(e("$.db_engine"), e("$.source.db_engine"), F.lit(default_engine))
+def json_map(v: Column, path: str) -> Column:
+    """Fields of a VARIANT object as a map of JSON texts; null where it isn't an object."""
+    return F.transform_values(F.try_variant_get(v, path, "map<string,variant>"), lambda _, x: F.to_json(x))
+
+
+def json_object(fields: Column) -> Column:
+    """Object text of a map of JSON texts, by name."""
+    names = F.array_sort(F.map_keys(fields))
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    return F.concat(F.lit("{"), F.concat_ws(",", F.transform(names, lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(fields[k], F.lit("null"))))), F.lit("}"))
+
+
+def key_json(x: Column) -> Column:
+    """JSON text of a key: a string of digits and dashes that is a number becomes one."""
+    text = F.when(x.startswith('"'), get(F.try_parse_json(x), "$"))
+    number = F.when(text.rlike("^[0-9-]+$"), text.try_cast("long"))
+    return F.coalesce(number.cast("string"), x)
+
+
+def names_from_event_id(x: Column, default_engine: Column) -> Column:
+    """(schema, table) in the lake that an event id tells: the engine by its position's prefix, else the given one."""
+    at, dotted = F.substring_index(x, "|", 1), F.when(F.size(F.split(x, r"\|")) > 2, F.split(x, r"\|")[1])
+    whole = dotted.rlike(r"^[^.]+\..+$")
+    engine = F.when(at.startswith("mssql:"), "mssql").when(at.startswith("mongo:"), "mongodb").otherwise(default_engine)
+    database = F.when(at.rlike("^(mssql|mongo):[^:]*:"), F.split(at, ":")[1]).otherwise("")
+    return F.when(whole, lake_name(engine, database, F.substring_index(dotted, ".", 1), F.regexp_replace(dotted, r"^[^.]+\.", "")))
+
+
+def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str = "mariadb", fill_nulls: bool = False) -> DataFrame:
+    """Bus messages (topic, part, pos, value and, if there is one, the bus timestamp `time`) to changes of lake tables.
+
+    Returns topic, part, pos, op, engine, catalog_id (0 if not told), schema_name and table_name in the lake, gtid (LSN
+    or resume token where the engine has these), event_id, ts_ms and row: the image as JSON, with what an update lacks
+    from its before image and keys normalised. Names come from the envelope, from its source, or from the event id;
+    messages that are no envelope, or whose table stays unknown, are dropped. An event that came wrapped keeps its id.
+    """
+    decoded = messages.where("value is not null").select("*", F.explode(F.filter(F.array(decode(F.col("value"))), lambda d: d.isNotNull())).alias("d"))
+    e = lambda path, kind="string": get(F.col("d.v"), path, kind)
+    filled = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
+    raw = lambda path: F.nullif(F.to_json(F.try_variant_get(F.col("d.v"), path, "variant")), F.lit("null"))
+    source = lambda name: e(f"$.source.{name}")
+    engine = F.coalesce(e("$.db_engine"), source("db_engine"), F.lit(default_engine))
+    mssql, mongo = engine == "mssql", engine == "mongodb"
+    database = F.coalesce(e("$.source_database"), source("database"), F.lit(""))
     op = op_normalize(e("$.op"))
-    return v.select("topic", "part", "pos", op.alias("op"), engine.alias("engine"), e("$.source_schema").alias("schema_name"), e("$.source_table").alias("table_name"), F.coalesce(e("$.source.gtid"), e("$.gtid")).alias("gtid"), F.coalesce(e("$.ts_ms", "long"), e("$.source.ts_ms", "long")).alias("ts_ms"), row_image(op, F.to_json(F.try_variant_get(F.col("v"), "$.before", "variant")), F.to_json(F.try_variant_get(F.col("v"), "$.after", "variant"))).alias("row"))
+    gtid = F.coalesce(source("gtid"), e("$.gtid"))
+    token = raw("$.source.resume_token")
+    facts = decoded.select(
+        "topic", "part", "pos", op.alias("op"), engine.alias("engine"), F.coalesce(e("$.catalog_id", "long"), F.lit(0)).alias("catalog_id"), database.alias("db"),
+        F.when(mssql, filled(e("$.source_schema"), source("db"))).when(mongo, database).otherwise(filled(e("$.source_schema"), e("$.schema"), source("db"))).alias("s"),
+        F.when(mssql, filled(e("$.source_table"), source("table"))).when(mongo, filled(e("$.source_table"), source("collection"))).otherwise(filled(e("$.source_table"), e("$.table"), source("table"))).alias("t"),
+        F.when(mssql, F.coalesce(source("lsn"), gtid)).when(mongo, F.coalesce(token, gtid)).otherwise(gtid).alias("gtid"),
+        F.when(mssql, F.coalesce(source("lsn"), gtid)).when(mongo, F.coalesce(source("gtid"), token, e("$.gtid"))).otherwise(gtid).alias("at"),
+        source("file").alias("file"), e("$.source.pos", "long").alias("file_pos"), source("seqval").alias("seq"),
+        F.coalesce(e("$.source_schema"), source("db"), F.lit("")).alias("own_s"), F.coalesce(e("$.source_table"), source("table"), F.lit("")).alias("own_t"),
+        F.coalesce(e("$.ts_ms", "long"), e("$.source.ts_ms", "long"), F.col("time").cast("long") if "time" in messages.columns else F.lit(None).cast("long")).alias("ts_ms"),
+        F.coalesce(F.when(op == "d", json_map(F.col("d.v"), "$.before")).otherwise(json_map(F.col("d.v"), "$.after")), F.from_json(F.lit("{}"), "map<string,string>")).alias("row"),
+        json_map(F.col("d.v"), "$.before").alias("before"), F.to_json("d.v").alias("whole"), F.col("d.event_id").alias("wrapped_id"),
+    )
+    none = lambda m: F.transform_values(m, lambda _, x: F.nullif(x, F.lit("null")))
+    row = fill_before(F.col("op"), none(F.col("row")), none(F.col("before")), fill_nulls)
+    ids = F.transform_values(row, lambda k, x: F.when((k == "mongo_id") & x.isNotNull(), object_id_json(x)).otherwise(x))
+    facts = facts.withColumn("row", F.transform_values(ids, lambda k, x: F.when(k.isin(*keys), key_json(x)).otherwise(x)) if keys else ids)
+    pairs = [(k, F.when(F.array_contains(F.map_keys("row"), k), F.coalesce(F.col("row")[k], F.lit("null")))) for k in keys]
+    built = event_id(F.col("engine"), F.col("db"), F.col("at"), F.col("file"), F.col("file_pos"), F.col("seq"), F.col("own_s"), F.col("own_t"), F.col("op"), pairs, F.col("whole"))
+    known = (F.col("s") != "") & (F.col("t") != "")
+    named = facts.withColumn("event_id", F.coalesce("wrapped_id", built))
+    named = named.withColumn("n", F.when(known, lake_name(F.col("engine"), F.col("db"), F.col("s"), F.col("t"))).otherwise(names_from_event_id(F.col("event_id"), F.col("engine"))))
+    out = named.select("topic", "part", "pos", "op", "engine", "catalog_id", F.col("n.lake_schema").alias("schema_name"), F.col("n.lake_table").alias("table_name"), "gtid", "event_id", "ts_ms", json_object(F.col("row")).alias("row"))
+    return out.where((F.col("schema_name") != "") & (F.col("table_name") != ""))
+
+
+def object_id_json(x: Column) -> Column:
+    """JSON text of an identifier's text, whatever form it has."""
+    return F.regexp_replace(F.to_json(F.array(object_id(x))), r"^\[|\]$", "")
 
 
 def build(op: Column, engine: Column, schema: Column, table: Column, before: Column, after: Column, source: Column) -> Column:

@@ -12,6 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.scratch import materialize, scratch_path
 
 PLACE = ("part", "pos")
 
@@ -20,9 +23,28 @@ def place() -> Column:
     return F.struct(*PLACE)
 
 
-def dedup(changes: DataFrame, ledger: DataFrame, keys: tuple[str, ...] = ("catalog_id", "event_id")) -> DataFrame:
-    """Changes that the ledger of applied ones doesn't hold, each once."""
-    return changes.join(ledger.select(*keys).distinct(), list(keys), "left_anti").dropDuplicates(list(keys))
+IDENTITY = ("catalog_id", "event_id", "digest")
+
+
+def digest(changes: DataFrame) -> Column:
+    """Hash of what a change says, wherever and whenever it was delivered."""
+    return F.xxhash64(*[F.col(c) for c in sorted(changes.columns) if c not in ("topic", "ts_ms", "digest", "batch", *PLACE)])
+
+
+def ledger_rows(changes: DataFrame) -> DataFrame:
+    """What a ledger keeps of applied changes."""
+    return changes.select("catalog_id", "event_id", digest(changes).alias("digest"))
+
+
+def dedup(changes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Changes that the ledger of applied ones doesn't hold, each once, where it came first.
+
+    A message that is delivered or sent again has the same event id and says the same. Two changes that share an id, as
+    those of one log event named by file and position do, say different things and both stay.
+    """
+    rest = [c for c in changes.columns if c not in IDENTITY]
+    new = changes.withColumn("digest", digest(changes)).join(ledger.select(*IDENTITY), list(IDENTITY), "left_anti")
+    return new.groupBy(*IDENTITY).agg(F.min_by(F.struct(*rest), F.struct("topic", *PLACE)).alias("c")).select("catalog_id", "event_id", "c.*").select(*changes.columns)
 
 
 def missing_key(changes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -157,23 +179,28 @@ def audit(changes: DataFrame, batch_id: str) -> DataFrame:
     return changes.select("catalog_id", "event_id", "op", "topic", "part", "pos", F.lit(batch_id).alias("batch_id"))
 
 
-def table_levels(tables: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
+def table_levels(tables: DataFrame, edges: DataFrame) -> DataFrame:
     """Tables with their level, parents first; those in or behind a cycle get null. edges: child, parent.
 
-    Each round settles the tables whose parents are all settled, by joins; rounds are as many as the longest chain.
+    Each round takes the edges of parents that the last one settled away; tables without an edge left are settled. What
+    a round finds is written, so plans stay short; rounds are as many as the longest chain has tables.
     """
-    left = edges.where("child <> parent").distinct()
-    levels = tables.select("name").distinct().join(left.select(F.col("child").alias("name")).distinct(), "name", "left_anti").withColumn("level", F.lit(0))
-    waiting = left
-    for n in range(1, most):
-        known = levels.select(F.col("name").alias("parent"), F.lit(True).alias("known"))
-        state = waiting.join(known, "parent", "left").groupBy("child").agg(F.every(F.coalesce("known", F.lit(False))).alias("ready"))
-        ready = state.where("ready").select(F.col("child").alias("name"), F.lit(n).alias("level"))
+    names = tables.select("name").distinct()
+    out = scratch_path(tables.sparkSession, "levels")
+    waiting = materialize(edges.where("child <> parent").distinct(), "edges")
+    ready = names.join(waiting.select(F.col("child").alias("name")), "name", "left_anti")
+    n = 0
+    while True:
+        ready.write.parquet(f"{out}/level={n}")
+        ready = tables.sparkSession.read.schema(names.schema).parquet(f"{out}/level={n}")
         if ready.isEmpty():
             break
-        levels = levels.unionByName(ready)
-        waiting = waiting.join(ready.select(F.col("name").alias("child")), "child", "left_anti")
-    return tables.select("name").distinct().join(levels, "name", "left")
+        left = materialize(waiting.join(ready.select(F.col("name").alias("parent")), "parent", "left_anti"), "edges")
+        ready = waiting.select(F.col("child").alias("name")).distinct().join(left.select(F.col("child").alias("name")), "name", "left_anti")
+        waiting = left
+        n += 1
+    levels = tables.sparkSession.read.schema(T.StructType([*names.schema.fields, T.StructField("level", T.IntegerType())])).parquet(out)
+    return names.join(levels, "name", "left")
 
 
 def newest_version(mirror: DataFrame, keys: list[str], time: str) -> DataFrame:

@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.envelope import sanitize
 
 
-def flatten(docs: DataFrame, id_col: str, doc: str, depth: int = 4) -> DataFrame:
+def nesting(doc: Column) -> Column:
+    """How many objects a VARIANT has inside each other at most."""
+    bare = F.regexp_replace(F.to_json(doc), r'"([^"\\\\]|\\\\.)*"', "")
+    braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
+    count = lambda acc, c: F.struct((acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(acc["most"], acc["now"] + F.when(c == "{", 1).otherwise(0)).alias("most"))
+    return F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), count, lambda acc: acc["most"])
+
+
+def flatten(docs: DataFrame, id_col: str, doc: str) -> DataFrame:
     """(id, name, value) of each leaf of a VARIANT column: names joined by `_`, arrays kept whole as JSON.
 
-    The top-level `_id` becomes `mongo_id`. `depth` rounds open nested objects; deeper ones stay JSON.
+    `_id` becomes `mongo_id`, the text of its `$oid` if it has one; only the outermost counts. Objects are opened however
+    deep they lie, in one chain that carries leaves along; one row tells how long it must be. Of different paths that
+    come to one name, all but the first get a suffix from the path's hash, the same in every document. Empty objects
+    and documents that are no objects have no leaves.
     """
-    name = lambda parent, key: F.when(parent == "", F.when(key == "_id", "mongo_id").otherwise(sanitize(key))).otherwise(F.concat(parent, F.lit("_"), sanitize(key)))
     is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
-    open_ = docs.select(F.col(id_col), F.lit("").alias("name"), F.col(doc).alias("v"))
-    done = None
+    own_id = lambda v: F.coalesce(F.try_variant_get(v, "$['$oid']", "string"), F.try_variant_get(v, "$", "string"), F.to_json(v))
+    depth = docs.agg(F.max(nesting(F.col(doc)))).first()[0] or 0
+    rows = docs.where(is_object(F.col(doc))).select(F.col(id_col), F.lit("").alias("path"), F.lit("").alias("name"), F.lit(None).cast("string").alias("id"), F.try_variant_get(doc, "$._id", "variant").isNotNull().alias("named"), F.col(doc).alias("v"))
     for _ in range(depth):
-        rows = _exploded(open_, id_col, name)
-        leaves = rows.where(~is_object(F.col("v")))
-        done = leaves if done is None else done.unionByName(leaves)
-        open_ = rows.where(is_object(F.col("v")))
-    done = done.unionByName(open_)
-    return done.select(id_col, "name", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
-
-
-def _exploded(rows: DataFrame, id_col: str, name) -> DataFrame:
-    entries = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())).select(id_col, F.col("name").alias("parent"), "key", F.col("value").alias("v"))
-    return entries.select(id_col, name(F.col("parent"), F.col("key")).alias("name"), "v")
+        opened = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.when(F.col("id").isNull() & is_object(F.col("v")), F.col("v")).outer()))
+        new, top = F.col("key").isNotNull(), F.col("path") == ""
+        path = F.when(new, F.concat("path", F.lit("\x01"), "key")).otherwise(F.col("path"))
+        joined = F.when(top, F.col("key")).otherwise(F.concat("name", F.lit("_"), F.when(F.col("key") == "_id", "mongo_id").otherwise(F.col("key"))))
+        name = F.when(~new, F.col("name")).when(top & (F.col("key") == "_id"), "mongo_id").otherwise(sanitize(joined))
+        inner_id = new & (F.col("key") == "_id")
+        rows = opened.where(~(inner_id & ~top & F.col("named")) | ~new).select(id_col, path.alias("path"), name.alias("name"), F.when(inner_id, own_id(F.col("value"))).otherwise(F.col("id")).alias("id"), "named", F.when(new, F.col("value")).otherwise(F.col("v")).alias("v"))
+    leaves = rows.where(F.col("id").isNotNull() | ~is_object(F.col("v")))
+    # as many rows as there are different paths
+    first = Window.partitionBy("name").orderBy("path")
+    paths = leaves.select("path", "name").distinct().withColumn("nth", F.row_number().over(first)).where("nth > 1")
+    other = paths.select("path", F.concat(F.substring("name", 1, 54), F.lit("_"), F.substring(F.md5(F.col("path").cast("binary")), 1, 8)).alias("other"))
+    return leaves.join(other, "path", "left").select(id_col, F.coalesce("other", "name").alias("name"), F.coalesce("id", F.try_variant_get("v", "$", "string"), F.when(~F.is_variant_null("v"), F.to_json("v"))).alias("value"))
 
 
 def merge_schema(known: DataFrame, batch: DataFrame) -> DataFrame:

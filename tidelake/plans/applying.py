@@ -7,10 +7,12 @@ from ..operators import history as h
 from .registry import derive, query
 
 derive("batch", "SELECT * FROM changes WHERE pos % 3 <> 1")
-derive("mirror0", "SELECT c_custkey AS user_id, 'seed' AS event_type, c_custkey * 10 AS cents FROM customer WHERE c_custkey < 200")
+derive("mirror0", "SELECT c_custkey AS user_id, 'seed' AS event_type, c_custkey * 10 AS cents FROM customer")
 derive("last_change", "SELECT topic, part, pos, event_id, op, catalog_id, user_id, event_type, cents, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY part DESC, pos DESC) AS nth FROM changes) x WHERE nth = 1")
 derive("upserts", "SELECT user_id, CASE WHEN pos % 2 = 0 THEN NULL ELSE event_type END AS event_type, CASE WHEN pos % 3 = 0 THEN NULL ELSE cents END AS cents FROM last_change")
-derive("fk_edges", "SELECT 't' || CAST(n_nationkey AS STRING) AS child, 't' || CAST(n_nationkey % 7 AS STRING) AS parent FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 't20', 't' || CAST(21 + r_regionkey AS STRING) FROM region WHERE r_regionkey < 2")
+#: Chains of 36 through all customers' tables, and a cycle of two.
+derive("fk_edges", "SELECT 't' || CAST(c_custkey AS STRING) AS child, 't' || CAST(c_custkey - 1 AS STRING) AS parent FROM customer WHERE c_custkey % 36 <> 0 UNION ALL SELECT 'ta', 'tb' FROM region UNION ALL SELECT 'tb', 'ta' FROM region")
+derive("fk_tables", "SELECT 't' || CAST(c_custkey AS STRING) AS name FROM customer UNION ALL SELECT 'ta' FROM region UNION ALL SELECT 'tb' FROM region")
 KEY, DATA = ["user_id"], ["event_type", "cents"]
 
 
@@ -18,9 +20,13 @@ def twice(t):
     return t.changes.unionByName(t.batch)
 
 
-@query("apply_dedup", "SELECT DISTINCT catalog_id, event_id, pos FROM changes WHERE pos % 5 <> 0")
+#: The log, part of it delivered again elsewhere, and second changes under the ids of first ones.
+derive("redelivered", "SELECT topic, part, pos, event_id, op, catalog_id, user_id, event_type, cents, ts_ms FROM changes UNION ALL SELECT topic, part, pos + 10000000, event_id, op, catalog_id, user_id, event_type, cents, ts_ms + 5 FROM changes WHERE pos % 3 = 0 UNION ALL SELECT topic, part, pos + 20000000, event_id, op, catalog_id, user_id, event_type, cents + 1, ts_ms FROM changes WHERE pos % 7 = 0")
+
+
+@query("apply_dedup", "SELECT catalog_id, event_id, pos, cents FROM changes WHERE pos % 5 <> 0 UNION ALL SELECT catalog_id, event_id, pos + 20000000, cents + 1 FROM changes WHERE pos % 7 = 0")
 def _(t):
-    return a.dedup(twice(t), t.changes.where("pos % 5 = 0")).select("catalog_id", "event_id", "pos")
+    return a.dedup(t.redelivered, a.ledger_rows(t.changes.where("pos % 5 = 0"))).select("catalog_id", "event_id", "pos", "cents")
 
 
 @query("apply_missing_pk", "SELECT catalog_id, count(*) FILTER (user_id % 7 = 0 AND op = 'd') AS lost_deletes, count(*) FILTER (user_id % 7 = 0 AND op <> 'd') AS lost_upserts, count(*) FILTER (user_id % 7 <> 0) AS kept FROM changes GROUP BY 1")
@@ -147,10 +153,9 @@ def _(t):
     return a.audit(t.changes, "b1")
 
 
-@query("table_fk_levels", "SELECT DISTINCT 't' || n_nationkey AS name, CASE WHEN n_nationkey % 4 = 0 AND n_nationkey <> 20 OR n_nationkey % 7 = n_nationkey THEN 0 WHEN n_nationkey = 20 THEN 2 ELSE 1 END AS level FROM nation WHERE n_nationkey <> 22 OR true")
+@query("table_fk_levels", "SELECT 't' || c_custkey AS name, CAST(c_custkey % 36 AS INT) AS level FROM customer UNION ALL SELECT DISTINCT x, CAST(NULL AS INT) FROM region, (VALUES ('ta'), ('tb')) v(x)")
 def _(t):
-    tables = t.nation.select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("name"))
-    return a.table_levels(tables, t.fk_edges)
+    return a.table_levels(t.fk_tables, t.fk_edges)
 
 
 @query("mirror_dedupe", "SELECT user_id, event_type, cents, ts_ms FROM changes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, event_type DESC, cents DESC) = 1")

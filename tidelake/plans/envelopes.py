@@ -16,9 +16,43 @@ derive("clocks", "SELECT e, CASE e % 6 WHEN 0 THEN '10:1' || CAST(e % 10 AS STRI
 derive("messages", "SELECT topic, part, pos, CASE WHEN pos % 11 = 0 THEN NULL WHEN pos % 13 = 0 THEN 'garbage' ELSE (CASE WHEN pos % 5 = 0 THEN 'xyzzy' ELSE '' END) || '{\"op\":\"' || (CASE WHEN pos % 3 = 0 THEN (CASE op WHEN 'c' THEN 'INSERT' WHEN 'u' THEN 'UPDATE' ELSE 'DELETE' END) ELSE op END) || '\",\"source_schema\":\"s\",\"source_table\":\"t' || CAST(catalog_id AS STRING) || '\",\"source\":{\"gtid\":\"g' || CAST(pos AS STRING) || '\",\"ts_ms\":' || CAST(ts_ms AS STRING) || '},\"before\":{\"id\":' || CAST(user_id AS STRING) || '},\"after\":{\"id\":' || CAST(user_id AS STRING) || ',\"c\":' || CAST(cents AS STRING) || '}}' END AS value FROM changes")
 
 
-@query("env_parse", "SELECT topic, part, pos, op, 'mariadb' AS engine, 's' AS schema_name, 't' || catalog_id AS table_name, 'g' || pos AS gtid, ts_ms, CASE WHEN op = 'd' THEN '{\"id\":' || user_id || '}' ELSE '{\"c\":' || cents || ',\"id\":' || user_id || '}' END AS row FROM changes WHERE pos % 11 <> 0 AND pos % 13 <> 0")
-def _(t):
-    return v.parse(t.messages)
+#: Bus values of all engines and shapes by pos % 12: 0 null, 1 no JSON, 2 MariaDB behind other bytes, 3 names in the source
+#: and a file position, 4 SQL Server, 5 MongoDB with names in the source, 6 and 7 wrapped, 7 with names in its id only,
+#: 8 without names, 9 an update with a before image and a key as text, 10 a number among the names' places, 11 a delete.
+_ROW = "'{\"id\":' || CAST(user_id AS STRING) || ',\"c\":' || CAST(cents AS STRING) || '}'"
+_OP = "'{\"op\":\"' || CASE WHEN pos % 2 = 0 THEN 'INSERT' ELSE 'c' END || '\",'"
+_TS = "'\"ts_ms\":' || CAST(ts_ms AS STRING)"
+_WRAP = "'{\"specversion\":\"1.0\",\"id\":\"mssql:db:9|dbo.T-' || CAST(catalog_id AS STRING) || '|c|id=1\",\"data\":'"
+derive("wire", f"""SELECT topic, part, pos, ts_ms + 1 AS time, CASE pos % 12
+  WHEN 0 THEN NULL WHEN 1 THEN 'garbage {{'
+  WHEN 2 THEN 'xyzzy' || {_OP} || '\"catalog_id\":' || CAST(catalog_id AS STRING) || ',\"source_schema\":\"s\",\"source_table\":\"t\",\"source\":{{\"gtid\":\"g\",' || {_TS} || '}},\"after\":' || {_ROW} || '}}'
+  WHEN 3 THEN {_OP} || '\"source\":{{\"db\":\"S\",\"table\":\"T-1\",\"file\":\"f.1\",\"pos\":' || CAST(pos AS STRING) || '}},' || {_TS} || ',\"after\":' || {_ROW} || '}}'
+  WHEN 4 THEN {_OP} || '\"db_engine\":\"mssql\",\"source_database\":\"Db\",\"source_schema\":\"dbo\",\"source_table\":\"Cust-1\",\"source\":{{\"lsn\":\"0a\",\"seqval\":\"7\"}},\"after\":' || {_ROW} || '}}'
+  WHEN 5 THEN {_OP} || '\"source\":{{\"db_engine\":\"mongodb\",\"database\":\"My-Db\",\"collection\":\"C.1\",\"resume_token\":{{\"_data\":\"k\"}}}},\"after\":{{\"mongo_id\":{{\"$oid\":\"o1\"}},\"id\":' || CAST(user_id AS STRING) || '}}}}'
+  WHEN 6 THEN {_WRAP} || {_OP} || '\"schema\":\"s\",\"table\":\"t\",\"gtid\":\"g\",' || {_TS} || ',\"after\":' || {_ROW} || '}}}}'
+  WHEN 7 THEN {_WRAP} || {_OP} || {_TS} || ',\"after\":' || {_ROW} || '}}}}'
+  WHEN 8 THEN {_OP} || {_TS} || ',\"after\":' || {_ROW} || '}}'
+  WHEN 9 THEN '{{\"op\":\"u\",\"source_schema\":\"s\",\"source_table\":\"t\",\"gtid\":\"g\",' || {_TS} || ',\"before\":{{\"c\":1,\"z\":\"old\",\"id\":5}},\"after\":{{\"id\":\"00' || CAST(user_id AS STRING) || '\",\"c\":null}}}}'
+  WHEN 10 THEN {_OP} || '\"source_schema\":7,\"source_table\":\"\",\"source\":{{\"table\":\"t\"}},' || {_TS} || '}}'
+  ELSE '{{\"op\":\"DELETE\",\"source_schema\":\"s\",\"source_table\":\"t\",\"gtid\":\"g\",' || {_TS} || ',\"before\":' || {_ROW} || ',\"after\":null}}' END AS value,
+  op, catalog_id, user_id, cents, ts_ms FROM changes""")
+PARSED = """SELECT topic, part, pos, CASE pos % 12 WHEN 9 THEN 'u' WHEN 11 THEN 'd' ELSE 'c' END AS op, CASE pos % 12 WHEN 4 THEN 'mssql' WHEN 5 THEN 'mongodb' ELSE 'mariadb' END AS engine,
+  CASE WHEN pos % 12 = 2 THEN catalog_id ELSE 0 END AS catalog_id,
+  CASE pos % 12 WHEN 3 THEN 'S' WHEN 4 THEN 'db_dbo' WHEN 5 THEN 'my_db' WHEN 7 THEN 'db_dbo' WHEN 10 THEN '7' ELSE 's' END AS schema_name,
+  CASE pos % 12 WHEN 3 THEN 'T-1' WHEN 4 THEN 'cust_1' WHEN 5 THEN 'c_1' WHEN 7 THEN 't_' || catalog_id ELSE 't' END AS table_name,
+  CASE pos % 12 WHEN 3 THEN NULL WHEN 4 THEN '0a' WHEN 5 THEN '{"_data":"k"}' WHEN 7 THEN NULL WHEN 10 THEN NULL ELSE 'g' END AS gtid,
+  CASE pos % 12 WHEN 2 THEN 'g|s.t|c|id=' || user_id WHEN 3 THEN 'f.1:' || pos || '|S.T-1|c|id=' || user_id WHEN 4 THEN 'mssql:Db:0a:7|dbo.Cust-1|c|id=' || user_id
+    WHEN 5 THEN 'mongo:My-Db:{"_data":"k"}|.|c|id=' || user_id WHEN 9 THEN 'g|s.t|u|id=' || user_id WHEN 11 THEN 'g|s.t|d|id=' || user_id
+    WHEN 10 THEN ':0|7.|c|' || '{"op":"' || CASE WHEN pos % 2 = 0 THEN 'INSERT' ELSE 'c' END || '","source":{"table":"t"},"source_schema":7,"source_table":"","ts_ms":' || ts_ms || '}'
+    ELSE 'mssql:db:9|dbo.T-' || catalog_id || '|c|id=1' END AS event_id,
+  CASE WHEN pos % 12 IN (4, 5) THEN ts_ms + 1 ELSE ts_ms END AS ts_ms,
+  CASE pos % 12 WHEN 5 THEN '{"id":' || user_id || ',"mongo_id":"o1"}' WHEN 9 THEN '{"c":null,"id":' || user_id || ',"z":"old"}' WHEN 10 THEN '{}' ELSE '{"c":' || cents || ',"id":' || user_id || '}' END AS row
+  FROM wire WHERE pos % 12 NOT IN (0, 1, 8)"""
+
+
+@query("env_parse", PARSED)
+def _(t):
+    return v.parse(t.wire.select("topic", "part", "pos", "time", "value"), keys=("id",))
 
 
 @query("env_probe", "SELECT pos, pos % 11 <> 0 AND pos % 13 <> 0 AS decoded FROM changes")

@@ -1,12 +1,11 @@
 """Sources, sinks, documents, and streams that are run over the whole log and read back."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import documents as dc
 from ..sources import changelog as s
 from ..sources.lake import LakeTable
+from ..sources.scratch import scratch_path
 from ..streaming import jobs
 from .applying import DATA, KEY, MIRROR
 from .registry import derive, query
@@ -16,14 +15,7 @@ SCHEMA = "user_id long, event_type string, cents long"
 
 def scratch(t, name: str) -> str:
     """A new folder that the executors share."""
-    import tempfile
-
-    spark = t.spark
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, name)
 
 
 def log_stream(t, rows, files: int = 3):
@@ -66,13 +58,15 @@ def _(t):
     return s.mssql_changes(rows)
 
 
-@query("src_mongo_changes", "SELECT e, CASE e % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'u' WHEN 2 THEN 'd' END AS op, CAST(u AS STRING) AS id, CASE WHEN e % 4 IN (0, 1) THEN '{\"t\":\"' || t || '\"}' END AS doc, CASE WHEN e % 2 = 0 THEN e ELSE ms END AS at FROM ev WHERE e % 4 <> 3")
+MONGO_KINDS = "CASE e % 5 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' WHEN 3 THEN 'replace' ELSE 'drop' END"
+MONGO_TIME = "CASE e % 3 WHEN 0 THEN '\"clusterTime\":{\"i\":1,\"t\":' || CAST(e AS STRING) || '}' WHEN 1 THEN '\"wallTime\":' || CAST(ms AS STRING) ELSE '\"x\":1' END"
+derive("stream_docs", f"SELECT e, '{{\"_id\":{{\"_data\":\"tok' || CAST(e AS STRING) || '\"}},\"operationType\":\"' || {MONGO_KINDS} || '\",\"documentKey\":{{\"_id\":{{\"$oid\":\"o' || CAST(u AS STRING) || '\"}}}},\"fullDocument\":{{\"_id\":{{\"$oid\":\"o' || CAST(u AS STRING) || '\"}},\"A\":{{\"t\":\"' || t || '\"}}}},' || {MONGO_TIME} || '}}' AS text FROM ev")
+
+
+@query("src_mongo_changes", "SELECT e, CASE e % 5 WHEN 1 THEN 'u' WHEN 2 THEN 'd' ELSE 'c' END AS op, 'o' || u AS id, 'o' || u AS mongo_id, CASE WHEN e % 5 <> 2 THEN t END AS a_t, CASE e % 3 WHEN 0 THEN '{\"i\":1,\"t\":' || e || '}' WHEN 1 THEN CAST(ms AS STRING) ELSE '{\"_data\":\"tok' || e || '\"}' END AS at FROM ev WHERE e % 5 <> 4")
 def _(t):
-    e = F.col("e").cast("string")
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("insert", "update", "delete", "drop")]), (F.col("e") % 4 + 1).cast("int"))
-    time = F.when(F.col("e") % 2 == 0, F.concat(F.lit('"clusterTime":{"t":'), e, F.lit("}"))).otherwise(F.concat(F.lit('"wallTime":'), F.col("ms").cast("string")))
-    text = F.concat(F.lit('{"operationType":"'), kind, F.lit('","documentKey":{"_id":"'), F.col("u").cast("string"), F.lit('"},"fullDocument":{"t":"'), F.col("t"), F.lit('"},'), time, F.lit("}"))
-    return t.ev.select("e", s.mongo_changes(F.parse_json(text)).alias("x")).select("e", "x.*").where("op is not null")
+    rows = s.flat_changes(t.stream_docs.select("e", F.parse_json("text").alias("doc")), "e", "doc")
+    return rows.select("e", "op", "id", F.col("row")["mongo_id"].alias("mongo_id"), F.try_element_at("row", F.lit("a_t")).alias("a_t"), "at")
 
 
 @query("src_row_events", "SELECT pos, op, CASE WHEN op <> 'd' THEN user_id END AS id_after, CASE WHEN op <> 'c' THEN user_id + 1 END AS id_before FROM changes")
@@ -126,10 +120,10 @@ def _(t):
 
 # ---------------------------------------------------------------- documents
 
-derive("docs_json", "SELECT e, '{\"_id\":' || CAST(e AS STRING) || ',\"User Name\":{\"Id\":' || CAST(u AS STRING) || ',\"x\":{\"t\":\"' || t || '\"}},\"tags\":[1,2]}' AS text FROM ev")
+derive("docs_json", "SELECT e, '{\"_id\":' || CASE WHEN e % 3 = 0 THEN '{\"$oid\":\"o' || CAST(e AS STRING) || '\"}' WHEN e % 3 = 1 THEN '\"s' || CAST(e AS STRING) || '\"' ELSE CAST(e AS STRING) END || ',\"User Name\":{\"Id\":' || CAST(u AS STRING) || ',\"_id\":7,\"x\":{\"t\":\"' || t || '\"}},\"tags\":[1,{\"a\":{}}],\"A-b\":1,\"A_b\":2,\"none\":{},\"nil\":null,\"1x\":\"}{\",\"a\":{\"b\":{\"c\":{\"d\":{\"e\":{\"f\":{\"g\":' || CAST(u AS STRING) || '}}}}}}}}' AS text FROM ev")
 
 
-@query("doc_flatten", "SELECT e, 'mongo_id' AS name, CAST(e AS STRING) AS value FROM ev UNION ALL SELECT e, 'user_name_id', CAST(u AS STRING) FROM ev UNION ALL SELECT e, 'user_name_x_t', t FROM ev UNION ALL SELECT e, 'tags', '[1,2]' FROM ev")
+@query("doc_flatten", "SELECT e, 'mongo_id' AS name, CASE e % 3 WHEN 0 THEN 'o' WHEN 1 THEN 's' ELSE '' END || e AS value FROM ev UNION ALL SELECT e, 'user_name_id', CAST(u AS STRING) FROM ev UNION ALL SELECT e, 'user_name_x_t', t FROM ev UNION ALL SELECT e, 'tags', '[1,{\"a\":{}}]' FROM ev UNION ALL SELECT e, 'a_b', '1' FROM ev UNION ALL SELECT e, 'a_b_' || substr(md5(chr(1) || 'A_b'), 1, 8), '2' FROM ev UNION ALL SELECT e, 'nil', NULL FROM ev UNION ALL SELECT e, 't_1x', '}{' FROM ev UNION ALL SELECT e, 'a_b_c_d_e_f_g', CAST(u AS STRING) FROM ev")
 def _(t):
     return dc.flatten(t.docs_json.select("e", F.parse_json("text").alias("doc")), "e", "doc")
 
@@ -229,11 +223,10 @@ def _(t):
     from .applying import HDATA
 
     path = scratch(t, "history")
-    record = lambda rows: h.record(rows.withColumn("band", F.col("cents") % 3), ["user_id"], HDATA)
-    finish(jobs.stream_history(log_stream(t, t.changes, 2), path, record, scratch(t, "checkpoint")))
-    last = LakeTable(t.spark, path, KEY, SCHEMA)
-    done = [n for n in range(10) if last._exists(f"{path}/log/batch={n}")]
-    return t.spark.read.parquet(f"{path}/history/v{max(done) % 2}")
+    record = lambda rows: h.record(rows.withColumn("band", F.col("cents") % 3), KEY, HDATA)
+    table = LakeTable(t.spark, path, KEY, "user_id long, event_type string, band long, valid_from long, valid_to long, is_current boolean, is_deleted boolean", buckets=4)
+    finish(jobs.stream_history(log_stream(t, t.changes, 12), scratch(t, "changelog"), table, record, scratch(t, "checkpoint")))
+    return table.read()
 
 
 @query("stream_quarantine", "SELECT user_id, event_type, cents, 'mirror' AS side FROM (SELECT * FROM changes WHERE catalog_id <> 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY part DESC, pos DESC) = 1) WHERE op <> 'd' UNION ALL SELECT user_id, event_type, cents, 'held' FROM changes WHERE catalog_id = 2")

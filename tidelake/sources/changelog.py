@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.envelope import get
+from ..functions.envelope import get, object_id
+from ..operators.documents import flatten
 
-MESSAGE = T.StructType([T.StructField("topic", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
+MESSAGE = T.StructType([T.StructField("topic", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("time", T.LongType())])
 
 
 def read_messages(spark: SparkSession, path: str, streaming: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Messages of a change log kept as Parquet."""
+    """Messages of a change log kept as Parquet; time, the bus timestamp in milliseconds, may be missing there."""
     if not streaming:
         return spark.read.schema(MESSAGE).parquet(path)
     reader = spark.readStream.schema(MESSAGE)
@@ -24,7 +25,7 @@ def read_bus(spark: SparkSession, servers: str, topics: str, starting: str = "ea
     reader = (spark.readStream if streaming else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribePattern", topics).option("startingOffsets", starting)
     if most and streaming:
         reader = reader.option("maxOffsetsPerTrigger", most)
-    return reader.load().select("topic", F.col("partition").alias("part"), F.col("offset").alias("pos"), F.col("key").cast("string"), F.col("value").cast("string"))
+    return reader.load().select("topic", F.col("partition").alias("part"), F.col("offset").alias("pos"), F.col("key").cast("string"), F.col("value").cast("string"), F.unix_millis("timestamp").alias("time"))
 
 
 def read_table(spark: SparkSession, url: str, table: str, predicates: list[str], **options: str) -> DataFrame:
@@ -54,10 +55,23 @@ def mssql_changes(rows: DataFrame) -> DataFrame:
 
 def mongo_changes(docs: Column) -> Column:
     """A change-stream document (VARIANT) to (op, id, doc, at): inserts and replaces are c, updates u, deletes d; other
-    kinds give a null op. The time is the cluster's, else the wall's."""
+    kinds give a null op. The position is the cluster's time, else the wall's, else the resume token, as JSON. The
+    document is whole; flat_changes opens it."""
     kind = get(docs, "$.operationType")
     op = F.when(kind.isin("insert", "replace"), "c").when(kind == "update", "u").when(kind == "delete", "d")
-    return F.struct(op.alias("op"), F.coalesce(get(docs, "$.documentKey._id['$oid']"), get(docs, "$.documentKey._id")).alias("id"), F.when(op != "d", F.to_json(F.try_variant_get(docs, "$.fullDocument", "variant"))).alias("doc"), F.coalesce(get(docs, "$.clusterTime.t", "long"), get(docs, "$.wallTime", "long")).alias("at"))
+    part = lambda path: F.to_json(F.try_variant_get(docs, path, "variant"))
+    at = F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(docs, "$.clusterTime", "variant")).startswith("OBJECT"), part("$.clusterTime")), part("$.wallTime"), part("$._id"))
+    return F.struct(op.alias("op"), object_id(part("$.documentKey._id")).alias("id"), F.when(op != "d", F.try_variant_get(docs, "$.fullDocument", "variant")).alias("doc"), at.alias("at"))
+
+
+def flat_changes(rows: DataFrame, id_col: str, docs: str) -> DataFrame:
+    """Change-stream documents to changes (id_col, op, id, at, row): row is the flattened document as a map, or for a
+    delete its key alone; documents of other kinds are dropped."""
+    found = rows.select(id_col, mongo_changes(F.col(docs)).alias("x")).where("x.op is not null").select(id_col, "x.*")
+    cells = flatten(found.where("doc is not null").select(id_col, "doc"), id_col, "doc")
+    flat = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("row"))  # one document's leaves
+    key = F.when(F.col("op") == "d", F.create_map(F.lit("mongo_id"), F.col("id")))
+    return found.drop("doc").join(flat, id_col, "left").select(id_col, "op", "id", "at", F.coalesce(key, "row").alias("row"))
 
 
 def row_events(rows: DataFrame) -> DataFrame:

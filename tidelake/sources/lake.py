@@ -7,38 +7,44 @@ replayed finds its manifest and does nothing. Manifests are read and written by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import apply
 
 
+#: Rows of the first batch for each bucket, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 16
+MANIFEST = "version long, bucket int, folder long, buckets int"
+
+
 class LakeTable:
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 16):
-        self.spark, self.path, self.keys, self.schema, self.buckets = spark, path.rstrip("/"), keys, schema, buckets
+    """keys: key columns; schema: all columns; buckets: how many, else by the size of the first batch."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int | None = None):
+        self.spark, self.path, self.keys, self.schema, self.wanted = spark, path.rstrip("/"), keys, schema, buckets
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    def bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
 
-    def _exists(self, path: str) -> bool:
+    def exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def manifest(self) -> dict[int, int]:
-        """Folder number of each bucket, from the newest manifest; as many rows as buckets."""
+    def manifest(self) -> tuple[int, int, dict[int, int]]:
+        """(version, number of buckets, folder of each bucket) of the newest manifest; as many rows as buckets."""
         root = f"{self.path}/manifests"
-        if not self._exists(root):
-            return {}
-        rows = self.spark.read.schema("version long, bucket int, folder long").parquet(root)
+        if not self.exists(root):
+            return -1, 0, {}
+        rows = self.spark.read.schema(MANIFEST).parquet(root)
         last = rows.agg(F.max("version")).first()[0]
-        return {r["bucket"]: r["folder"] for r in rows.where(F.col("version") == last).collect()} if last is not None else {}
+        if last is None:
+            return -1, 0, {}
+        found = rows.where(F.col("version") == last).collect()
+        return last, found[0]["buckets"], {r["bucket"]: r["folder"] for r in found}
 
     def version(self) -> int:
-        root = f"{self.path}/manifests"
-        if not self._exists(root):
-            return -1
-        v = self.spark.read.schema("version long, bucket int, folder long").parquet(root).agg(F.max("version")).first()[0]
-        return -1 if v is None else v
+        return self.manifest()[0]
 
     def _folders(self, held: dict[int, int], only: list[int] | None = None) -> DataFrame:
         paths = [f"{self.path}/data/v{v}/_bucket={b}" for b, v in held.items() if v >= 0 and (only is None or b in only)]
@@ -46,20 +52,33 @@ class LakeTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def read(self) -> DataFrame:
-        return self._folders(self.manifest())
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets."""
+        return self._folders(self.manifest()[2], only)
 
-    def merge(self, changes: DataFrame, data: list[str], version: int) -> bool:
-        """Apply a batch of changes as `version`; False if that version or a later one is there already."""
-        if version <= self.version():
-            return False
-        touched = [r[0] for r in changes.select(self._bucket().alias("b")).distinct().collect()]  # at most `buckets` rows
-        held = self.manifest()
-        rows = apply.apply_batch(self._folders(held, touched), changes, self.keys, data)
+    def touched(self, rows: DataFrame) -> tuple[int, list[int]]:
+        """(number of buckets, those that the rows' keys fall into)."""
+        _, buckets, _ = self.manifest()
+        if not buckets:
+            buckets = self.wanted or max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
+        return buckets, [r[0] for r in rows.select(self.bucket(buckets).alias("b")).distinct().collect()]  # at most `buckets` rows
+
+    def replace(self, rows: DataFrame, buckets: int, touched: list[int], version: int) -> None:
+        """Write rows as the whole new content of the touched buckets, then the manifest. Large buckets are several files."""
+        _, _, held = self.manifest()
         out = f"{self.path}/data/v{version}"
-        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(out)
+        rows.withColumn("_bucket", self.bucket(buckets)).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(out)
         for b in touched:
-            held[b] = version if self._exists(f"{out}/_bucket={b}") else -1
-        plan = self.spark.createDataFrame([(version, b, v) for b, v in held.items()] or [(version, 0, -1)], "version long, bucket int, folder long")
+            held[b] = version if self.exists(f"{out}/_bucket={b}") else -1
+        plan = self.spark.createDataFrame([(version, b, v, buckets) for b, v in held.items()] or [(version, 0, -1, buckets)], MANIFEST)
         plan.coalesce(1).write.mode("append").parquet(f"{self.path}/manifests")
+
+    def merge(self, changes: DataFrame, data: list[str], version: int) -> bool:
+        """Apply a batch of changes as `version`; False if that version or a later one is there already. The batch is
+        read twice: for its buckets and for the merge."""
+        at, _, held = self.manifest()
+        if version <= at:
+            return False
+        buckets, touched = self.touched(changes)
+        self.replace(apply.apply_batch(self._folders(held, touched), changes, self.keys, data), buckets, touched, version)
         return True

@@ -1,40 +1,58 @@
 """Structured Streaming jobs over change logs.
 
-Each micro-batch is applied by foreachBatch: the lake's merge first, then the ledger. A batch's number is the lake's
-version, so a batch that Spark runs again after a failure finds it done.
+Each micro-batch is evaluated once, then applied by foreachBatch: the lake's merge first, then the ledger. A batch's
+number is the lake's version and names the folders that it writes, so a batch that Spark runs again after a failure
+finds done what is done, and writes what is missing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import apply as a
-from ..sources.changelog import append
 from ..sources.lake import LakeTable
 
 
-def _ledger(batch: DataFrame, path: str, table: LakeTable) -> DataFrame:
-    spark = batch.sparkSession
-    return spark.read.schema("catalog_id long, event_id string, batch long").parquet(path) if table._exists(path) else spark.createDataFrame([], "catalog_id long, event_id string, batch long")
+LEDGER = "catalog_id long, event_id string, digest long, batch long"
+
+
+@contextmanager
+def once_read(batch: DataFrame):
+    """The batch, held while it is used several times."""
+    held = batch.persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
+def _before(table: LakeTable, path: str, schema: str, number: int) -> DataFrame:
+    """What batches before this one have written."""
+    spark = table.spark
+    rows = spark.read.schema(schema).parquet(path) if table.exists(path) else spark.createDataFrame([], schema)
+    return rows.where(F.col("batch") < number)
 
 
 def stream_apply(changes: DataFrame, table: LakeTable, data: list[str], checkpoint: str, ledger: str | None = None, once: bool = True) -> StreamingQuery:
     """Apply a stream of changes to a lake table; with a ledger, events that it holds are passed over.
 
-    The ledger is appended after the lake's merge; if it is lost in between, the merge is keyed and can be repeated.
+    The ledger has a folder for each batch, written after the lake's merge whether or not the merge was done before: a
+    batch that stopped in between finds the same rows new again and completes it.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if ledger:
-            rows = a.dedup(batch, _ledger(batch, ledger, table).where(F.col("batch") < number))
-        if table.merge(rows, data, number) and ledger:
-            append(rows.select("catalog_id", "event_id", F.lit(number).cast("long").alias("batch")), ledger)
+        rows = a.dedup(batch, _before(table, ledger, LEDGER, number)) if ledger else batch
+        with once_read(rows) as new:
+            table.merge(new, data, number)
+            if ledger:
+                a.ledger_rows(new).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -94,23 +112,42 @@ def transactions(markers: DataFrame) -> DataFrame:
     return markers.groupBy("tx").agg(F.count_if(F.col("kind") == "data").alias("events"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.bool_or(F.col("kind") == "commit").alias("done")).where("done").drop("done")
 
 
-def stream_history(changes: DataFrame, path: str, record: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Keep a change log and lay its history out anew for each batch; versions of a key never depend on batch bounds."""
+def stream_history(changes: DataFrame, path: str, history: LakeTable, record: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Keep a change log at path, by buckets of the key, and lay out anew the history of the keys that a batch touches.
+
+    Only the log and the history of touched buckets are read, and of those only touched keys are laid out; versions of a
+    key never depend on where batches end.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
-        log = batch.sparkSession.read.parquet(f"{path}/log").drop("batch")
-        record(log).write.mode("overwrite").parquet(f"{path}/history/v{number % 2}")
+        with once_read(batch) as new:
+            buckets, touched = history.touched(new)
+            if not touched:
+                return
+            new.withColumn("_bucket", history.bucket(buckets)).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/batch={number}")
+            if number <= history.version():
+                return
+            keys = new.select(*history.keys).distinct()
+            schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType()), T.StructField("_bucket", T.IntegerType())])
+            log = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("_bucket").isin(touched) & (F.col("batch") <= number)).drop("batch", "_bucket")
+            fresh = record(log.join(keys, history.keys, "left_semi"))
+            others = history.read(touched).join(keys, history.keys, "left_anti")
+            history.replace(others.unionByName(fresh.select(*others.columns)), buckets, touched, number)
 
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
 
 
 def stream_quarantine(changes: DataFrame, table: LakeTable, data: list[str], bad: Callable[[DataFrame], DataFrame], held: str, checkpoint: str) -> StreamingQuery:
-    """Apply a stream, but keep back the changes of failing tables: bad gives the tables that a batch fails for."""
+    """Apply a stream, but keep back the changes of failing tables: bad gives the tables that a batch fails for.
+
+    A table that was held in an earlier batch stays held, so no later change passes those that wait.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        failing = bad(batch).select("catalog_id").distinct()
-        table.merge(batch.join(failing, "catalog_id", "left_anti"), data, number)
-        batch.join(failing, "catalog_id", "left_semi").write.mode("overwrite").parquet(f"{held}/batch={number}")
+        with once_read(batch) as new:
+            before = _before(table, held, "catalog_id long, batch long", number).select("catalog_id")
+            with once_read(bad(new).select("catalog_id").union(before).distinct()) as failing:  # a row for each held table
+                table.merge(new.join(failing, "catalog_id", "left_anti"), data, number)
+                new.join(failing, "catalog_id", "left_semi").write.mode("overwrite").parquet(f"{held}/batch={number}")
 
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
