@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelake.llm.mixing import mix_sources, mixed_documents, split_tree, water_fill
+from tidelake.llm.mixing import by_inversion, hypergeometric, mix_sources, mixed_documents, split_tree, water_fill
 from tidelake.llm.packing import Placement, WordTokenizer, pack_documents, plan_patterns
 from tidelake.llm.queries import ORACLES, QUERIES
 from tidelake.llm.revisits import canonical_url, resolve_revisits
@@ -80,6 +80,67 @@ def check_pieces(p, docs, window):
     assert want == collections.Counter((r["doc_id"], r["start"], tuple(r["ids"]), r["length"], r["ids_crc32"], r["doc_tokens"]) for r in p)
 
 
+def test_draw_by_inversion():
+    """The same law as the generator's, on sizes that both take; and sizes that only it takes."""
+    draw = np.random.Generator(np.random.PCG64(3))
+    got = np.array([by_inversion(draw, 30, 50, 20) for _ in range(20_000)])
+    want = draw.hypergeometric(30, 50, 20, 20_000)
+    assert abs(got.mean() - 7.5) < 0.05 and abs(got.var() / want.var() - 1) < 0.05
+    assert abs(np.bincount(got, minlength=21) - np.bincount(want, minlength=21)).max() < 400
+    large = [hypergeometric(draw, 2 * 10**9, 3 * 10**9, 10**6) for _ in range(50)]
+    assert abs(np.mean(large) - 4e5) < 500 and 100 < np.std(large) < 1000
+    assert hypergeometric(draw, 2 * 10**9, 5, 2 * 10**9) >= 2 * 10**9 - 5
+
+
+@pytest.mark.parametrize("clash", ["_key", "_shard", "_position", "k", "row", "copy"])
+def test_mixed_documents_clashing_columns(spark, clash):
+    docs = spark.createDataFrame([(i, f"word {i}", "s", f"own {i}") for i in range(6)], f"doc_id long, text string, source string, {clash} string")
+    got = mixed_documents(docs)
+    assert got.columns == docs.columns and all(r[3] == f"own {r[0]}" for r in got.collect()) and got.count() == 6
+
+
+def test_op9_brute_force(spark, tmp_path):
+    """The registered query over equal rows, against a plain count of the words that the shards hold."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), " ".join(["w"] * int(n)), s) for i, n, s in zip(range(900), rng.integers(0, 40, 900), rng.choice(["a", "b", "c", "dd"], 900, p=[0.6, 0.2, 0.15, 0.05]), strict=True)]
+    rows += [(5000, "x y z", "a")] * 7 + [(None, "x y", None), (None, None, None), (5001, "", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_mixing"](spark, str(tmp_path)).collect()
+    size = lambda t: len(words(t))
+    assert sorted((repr(r["doc_id"]), r["size"]) for r in got) == sorted((repr(i), size(t)) for i, t, _ in rows)
+    names = sorted({s for _, _, s in rows if s is not None}) + [None]
+    sizes = [sum(size(t) for _, t, x in rows if x == s) for s in names]
+    left, target, full = float(sum(sizes)), {}, set()
+    while True:  # shares by weight 1, 2, 3, those beyond three times the size cut off and dealt to the others
+        open_ = [i for i in range(len(names)) if i not in full]
+        share = {i: left * (i % 3 + 1) / sum(j % 3 + 1 for j in open_) for i in open_}
+        over = [i for i in open_ if share[i] > 3 * sizes[i]]
+        if not over:
+            target |= share
+            break
+        for i in over:
+            target[i], left = 3.0 * sizes[i], left - 3 * sizes[i]
+            full.add(i)
+    of = {(repr(i), size(t)): s for i, t, s in rows}
+    taken = collections.Counter()
+    for r in got:
+        s = names.index(of[(repr(r["doc_id"]), r["size"])])
+        assert r["source_size"] == sizes[s] and abs(r["target"] - target[s]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    for s in range(len(names)):
+        assert abs(taken[s] - target[s]) <= 40
+    _, mix = mix_sources(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    own = {repr(i): size(t) for i, t, _ in rows if i is not None}
+    held = collections.Counter()
+    for r in mix.where("doc_id is not null").collect():
+        held[repr(r["doc_id"])] += own[repr(r["doc_id"])]
+    by_id = collections.Counter()
+    for r in got:
+        if r["doc_id"] is not None:
+            by_id[repr(r["doc_id"])] += r["taken"]
+    assert +held == +by_id
+
+
 def test_packing_round_trip(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 250").select("doc_id", "text")
     p = pack_documents(d, PATH, window=512, keep_ids=True).collect()

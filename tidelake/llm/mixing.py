@@ -10,6 +10,7 @@ its documents locally. Only counts by source reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_chunks, materialize, word_spans
+from .common import byte_column, doc_chunks, materialize, whole_row, word_spans
 
 #: Documents that a block holds on average, and the most blocks of a source.
 BLOCK_DOCS = 64
 MAX_BLOCKS = 1 << 16
-MAX_SOURCES = 100_000
+#: Documents of a shard on average, and the fewest shards.
+SHARD_DOCS, LEAST_SHARDS = 20_000, 16
+#: Sources up to which their figures are broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -47,6 +51,40 @@ def water_fill(sizes: list[int], weights: list[float], total: float, most: float
     return target
 
 
+def hypergeometric(draw, good: int, bad: int, take: int) -> int:
+    """How many good ones are among `take` of good and bad. The generator draws from less than 10**9; beyond, by inversion."""
+    return int(draw.hypergeometric(good, bad, take)) if good + bad < 10**9 else by_inversion(draw, good, bad, take)
+
+
+def by_inversion(draw, good: int, bad: int, take: int) -> int:
+    """The same draw at any size: weights go outward from the mode, whose own comes from log-gammas."""
+    lo, hi = max(0, take - bad), min(good, take)
+    if lo == hi:
+        return lo
+    log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    mode = min(hi, max(lo, (good + 1) * (take + 1) // (good + bad + 2)))
+    u = draw.random()
+    up = down = math.exp(log_choose(good, mode) + log_choose(bad, take - mode) - log_choose(good + bad, take))
+    u -= up
+    i = j = mode
+    while u > 0 and (i < hi or j > lo):
+        if i < hi:
+            up *= (good - i) / (i + 1) * (take - i) / (bad - take + i + 1)
+            i += 1
+            u -= up
+            if u <= 0:
+                return i
+        if j > lo:
+            down *= j / (good - j + 1) * (bad - take + j) / (take - j + 1)
+            j -= 1
+            u -= down
+            if u <= 0:
+                return j
+        if up + down < 1e-18:
+            break
+    return mode
+
+
 def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Blocks of each source for each shard: rows are shards, columns sources; every column's sum is its count."""
     out = np.zeros((shards, len(counts)), np.int64)
@@ -61,8 +99,7 @@ def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
         left = np.zeros_like(have)
         for i, n in enumerate(have):  # a multivariate draw, one source after the other
             rest -= int(n)
-            # the generator takes counts up to 10**9
-            left[i] = draw.hypergeometric(int(n), rest, take) if take and n and n + rest < 10**9 else min(int(n), take, max(take - rest, round(int(n) * take / max(1, int(n) + rest)))) if take else 0
+            left[i] = hypergeometric(draw, int(n), rest, take)
             take -= int(left[i])
         split(left, lo, mid)
         split(have - left, mid, hi)
@@ -80,7 +117,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], [*batch.schema.names[:-1], "size"])
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, shards: int = 16, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, shards: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Mix documents so that each source's words come near its share. Returns (plan, mix).
 
     plan has a row per document: id_col, size (words), source_size, target, taken (words, repeats counted), passes (how
@@ -94,9 +131,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(seed, id_col, text_col).alias("k"), F.col(text_col).cast("binary").alias("text"))
     sized = materialize(rows.mapInArrow(_word_counts, f"id {id_type}, source string, k long, size long"), "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
-    if by_source.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    # one row for each source, at most MAX_SOURCES
+    # one row for each source
     sources = sorted(by_source.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["size"] for r in sources]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sources))], sum(sizes), most)
@@ -105,7 +140,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [max(0, int(round(t - p * s))) if p < most else 0 for s, t, p in zip(sizes, targets, passes, strict=True)]
     spark = docs.sparkSession
     facts = spark.createDataFrame([(i, r["source"], s, float(t), b, p, q) for i, (r, s, t, b, p, q) in enumerate(zip(sources, sizes, targets, blocks, passes, rest, strict=True))], "sid int, source string, source_size long, target double, blocks int, passes int, rest long")
-    facts = F.broadcast(facts)
+    sent = F.broadcast if len(sources) <= BROADCAST_SOURCES else lambda x: x
+    facts = sent(facts)
     in_block = F.floor(F.shiftrightunsigned("k", 32).cast("double") / F.lit(2.0**32) * F.col("blocks")).cast("int")
     dealt = sized.join(facts, sized["source"].eqNullSafe(facts["source"])).drop(facts["source"]).withColumn("block", in_block)
     per_block = dealt.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -120,9 +156,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a unit is one block in one pass
     units = materialize(state.join(facts.select("sid", "passes", "blocks"), "sid").select("sid", "block", F.explode(F.sequence(F.lit(0), F.col("passes") + F.when(F.col("state") != 0, 1).otherwise(0))).alias("copy"), "passes", "state").where((F.col("copy") < F.col("passes")) | ((F.col("copy") == F.col("passes")) & (F.col("state") != 0))), "units")
     counts = {r["sid"]: r["n"] for r in units.groupBy("sid").agg(F.count("*").alias("n")).collect()}
+    shards = shards or shard_number(sum(r["docs"] for r in sources))
     quota = split_tree(np.array([counts.get(i, 0) for i in range(len(sources))], np.int64), shards, seed)
     edges = np.cumsum(quota, axis=0)
-    table = F.broadcast(spark.createDataFrame([(i, [int(x) for x in edges[:, i]]) for i in range(len(sources))], "sid int, edges array<long>"))
+    table = sent(spark.createDataFrame([(i, [int(x) for x in edges[:, i]]) for i in range(len(sources))], "sid int, edges array<long>"))
     nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed), "sid", "block", "copy"), "block", "copy")) - 1
     # at most most + 1 times MAX_BLOCKS rows for each source
     to_shard = units.withColumn("nth", nth).join(table, "sid").select("sid", "block", "copy", F.size(F.filter("edges", lambda x: x <= F.col("nth"))).alias("shard"))
@@ -135,12 +172,20 @@ def _key(seed: int, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7, **mix) -> DataFrame:
-    """The mix itself: rows of docs, all their columns, as often as taken, dealt to their shards and shuffled there."""
+def shard_number(docs: int) -> int:
+    return max(LEAST_SHARDS, -(-docs // SHARD_DOCS))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 7, **mix) -> DataFrame:
+    """The mix itself: rows of docs, all their columns, as often as taken, dealt to their shards and shuffled there.
+
+    Without a number of shards there is one for each SHARD_DOCS documents.
+    """
+    shards = shards or shard_number(docs.count())
     _, taken = mix_sources(docs, id_col, text_col, source_col, shards=shards, seed=seed, **mix)
-    keyed = docs.withColumn("_key", _key(seed, id_col, text_col)).dropDuplicates(["_key"])
-    placed = keyed.join(taken.select(F.col("k").alias("_key"), F.col("shard").alias("_shard"), F.col("position").alias("_position")), "_key")
-    return placed.repartition(shards, "_shard").sortWithinPartitions("_shard", "_position").select(*docs.columns)
+    keyed = docs.select(_key(seed, id_col, text_col).alias("k"), whole_row(docs).alias("row")).dropDuplicates(["k"])
+    placed = keyed.join(taken.select("k", "shard", "position"), "k")
+    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "position").select("row.*")
 
 
 def _typed(df: DataFrame) -> str:

@@ -23,6 +23,8 @@ MAX_LABELLED = 20_000
 #: Fewest and most pseudo-observations of a parent's rate.
 PRIOR = (2.0, 1000.0)
 THRESHOLD = 0.5
+#: Texts' worth of smoothing for a feature's counts.
+RARE = 5.0
 #: Sites up to which their figures are broadcast; beyond, they are joined by shuffles that split hot hosts.
 BROADCAST_SITES = 50_000
 
@@ -120,8 +122,9 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     total = [int(x[at == -1].sum()) for x in (n0, n1)]
     weights = np.zeros(1 << BITS)
     own = at >= 0
-    enough = own & (n0 + n1 >= 5)
-    weights[at[enough]] = np.log((n1[enough] + 1) / (total[1] + 2)) - np.log((n0[enough] + 1) / (total[0] + 2))
+    # rare features are smoothed toward what chance gives, with RARE texts' worth of the labels' own shares
+    share = (total[1] + 1) / (sum(total) + 2)
+    weights[at[own]] = np.log((n1[own] + RARE * share) / (total[1] + RARE * share)) - np.log((n0[own] + RARE * (1 - share)) / (total[0] + RARE * (1 - share)))
     scored = rows.mapInArrow(_evidence(spark.sparkContext.broadcast(weights)), f"id {id_type}, host string, path string, evidence double")
 
     # sites: grouped sums over all labels

@@ -5,7 +5,8 @@ its vectors in order of their impact in segments of equal size, from both ends,
 either sign. For a small block of queries the segments of all dimensions are processed by descending contribution, each
 adding its scores to accumulators and lowering what its dimension can still add. The walk stops only on proof: when no vector
 outside the possible members can reach the k-th best lower bound. The possible members are then scored exactly.
-Queries travel to shards in blocks, and the shards' best k are merged by query.
+A shard and a block of queries are a group of their own, of bounded size, so shards spread over all cores however few
+or many they are; the groups' best k are merged by query.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Components that a shard holds; its index takes some 20 bytes for each.
-SHARD_VALUES = 1 << 20
-QUERY_BLOCK = 512
+#: Components that a shard holds, whose index takes some 20 bytes for each; queries that meet it together.
+SHARD_VALUES = 1 << 18
+QUERY_BLOCK = 2048
 QUERIES_AT_ONCE = 32
 #: Segments of a dimension, and tests of the stopping rule in a walk.
 SEGMENTS = 8
 TESTS = 8
 #: The walk stops once no more than one vector in so many can be a member; those are scored exactly.
 RESCORED = 8
+MOST_PARTITIONS = 20_000
 
 
 class ImpactIndex:
@@ -118,7 +120,7 @@ def _search(k: int):
     def run(key, shard, queries):
         found: list[tuple[int, int, int]] = []
         if shard.num_rows and queries.num_rows:
-            dims = key[1].as_py()
+            dims = key[2].as_py()
             ids = np.frombuffer(shard["ids"][0].as_py(), "<i8")
             index = ImpactIndex(ids, np.frombuffer(shard["values"][0].as_py(), "<i8").reshape(len(ids), dims))
             for row in queries.to_pylist():
@@ -142,20 +144,23 @@ def topk_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     """
     data = materialize(quantised(vectors, id_col, vector_col, scale).withColumn("dims", F.size("v")).where("dims > 0"), "vectors")
     asked = quantised(queries, id_col, vector_col, scale).withColumn("dims", F.size("v")).where("dims > 0")
-    schema = "block int, dims int, ids binary, values binary"
-
     longest = data.agg(F.max("dims")).first()[0] or 1
     per_shard = max(64, SHARD_VALUES // longest)
-
-    def packed(rows: DataFrame, per: int) -> DataFrame:
-        # by id hash: blocks of about `per` rows, however many rows there are
-        blocks = max(1, -(-rows.count() // per))
-        return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dims").applyInArrow(_pack, schema)
-
-    shards = materialize(packed(data, per_shard), "shards")
-    blocks = packed(asked, min(QUERY_BLOCK, per_shard)).toDF("query_block", "dims", "ids", "values")
-    # every query block goes to every shard of its length: the stated queries against all rows, in blocks
-    sent = blocks.join(shards.select(F.col("block").alias("shard"), "dims"), "dims").select("shard", F.col("dims").alias("length"), "ids", "values")
-    best = shards.groupBy("block", "dims").cogroup(sent.groupBy("shard", "length")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    shards, held = _packed(data, per_shard)
+    blocks, sent = _packed(asked, min(QUERY_BLOCK, per_shard))
+    # the stated queries against all rows, in blocks; an exact number of partitions, as small ones would be joined to few
+    partitions = min(shards * blocks, MOST_PARTITIONS)
+    keys = ["shard", "asked", "dims"]
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = held.select(F.col("block").alias("shard"), every(blocks, "asked"), "dims", "ids", "values").repartition(partitions, *keys)
+    right = sent.select(every(shards, "shard"), F.col("block").alias("asked"), "dims", "ids", "values").repartition(partitions, *keys)
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _packed(rows: DataFrame, per: int) -> tuple[int, DataFrame]:
+    """Blocks of about `per` rows, by the hash of the id: how many, and a row for each of (block, dims)."""
+    blocks = max(1, -(-rows.count() // per))
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return blocks, materialize(numbered.groupBy("block", "dims").applyInArrow(_pack, "block int, dims int, ids binary, values binary"), "blocks")
