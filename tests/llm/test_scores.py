@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tidelake.llm import lm_score
 from tidelake.llm.lm_score import BUCKETS, GRID, deleted_interpolation_scores, em_weights
-from tidelake.llm.perplexity_rules import _discounts, kneser_ney, quality_rules
+from tidelake.llm.perplexity_rules import BANDS, _discounts, kneser_ney, quality_rules
 from tidelake.llm.site_quality import site_quality
-from tidelake.llm.toxicity import ftrl_pass, toxicity_scores, weights_of
+from tidelake.llm.toxicity import STEMS, distinct_features, ftrl_pass, toxicity_scores, weights_of
 
 from .conftest import lower, words
 
@@ -114,6 +115,139 @@ def test_rules_brute_force(spark, odd_docs, no_docs):
     assert quality_rules(no_docs).count() == 0
 
 
+def plain_kneser_ney(streams, order=4):
+    """log2 probability of each byte string of a language's texts, by dictionaries."""
+    top = collections.Counter(t[max(0, i - order + 1) : i + 1].rjust(order, b"\0") for t in streams for i in range(len(t)))
+    tables = [top]
+    for _ in range(order - 1):
+        tables.append(collections.Counter(g[1:] for g in tables[-1]))
+    p = {}
+    for t in reversed(tables):
+        have = collections.Counter(t.values())
+        n1, n2, n3, n4 = (have[k] for k in (1, 2, 3, 4))
+        d = (0.5, 0.75, 0.9)
+        if n1 and n2:
+            y = n1 / (n1 + 2 * n2)
+            d = tuple(min(max(k - (k + 1) * y * b / max(a, 1), 0.1), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+        total, mass = collections.Counter(), collections.Counter()
+        for g, n in t.items():
+            total[g[:-1]] += n
+            mass[g[:-1]] += d[min(n, 3) - 1]
+        p = {g: (n - d[min(n, 3) - 1] + mass[g[:-1]] * (p[g[1:]] if len(g) > 1 else 1 / 256)) / total[g[:-1]] for g, n in t.items()}
+    return {g: math.log2(x) for g, x in p.items()}
+
+
+def test_kept_brute_force(spark, odd_docs):
+    """Perplexities by a plain model; bands and verdicts by plain quartiles."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 400").select("doc_id", "text", "lang", "source", F.lit(None).cast("long").alias("k")).unionByName(odd_docs)
+    got = collections.defaultdict(list)
+    for r in quality_rules(d).collect():
+        got[repr(r["doc_id"])].append(r)
+    by = collections.defaultdict(list)
+    for r in d.collect():
+        w = words(r["text"])
+        by[r["lang"]].append((r["doc_id"], r["text"], len(w), (" " + " ".join(w) + " ").encode() if w else b""))
+    checked = 0
+    for docs_ in by.values():
+        logs = plain_kneser_ney([s for *_, s in docs_])
+        rows = [(i, t, n, len(s), -sum(logs[s[max(0, j - 3) : j + 1].rjust(4, b"\0")] for j in range(len(s)))) for i, t, n, s in docs_]
+        bands = []
+        for measure, (least, rate) in ((3, BANDS["bits_per_byte"]), (2, BANDS["bits_per_word"])):
+            x = sorted(r[4] / r[measure] for r in rows if r[2] >= 50)
+            q = [x[math.ceil(f * len(x)) - 1] for f in (0.25, 0.5, 0.75)] if x else None
+            bands.append((measure, q and q[1], q and rate * max((q[2] - q[0]) / 1.349, least)))
+        for i, t, n, size, bits in rows:
+            own = [r for r in got[repr(i)] if r["n_words"] == n]
+            edges = [(bits / (size, n)[m == 2], mid, room * math.sqrt(1 + 400 / max(size, 1))) for m, mid, room in bands if n and mid]
+            for r in own:
+                if size > 300:  # one shared hash weighs more in shorter or repetitive ones
+                    assert abs(r["bits_per_byte"] - bits / size) < 0.03 * bits / size
+                if all(abs(abs(x - mid) - room) > 0.05 * room for x, mid, room in edges):  # not at the very edge
+                    assert r["kept"] == (not rules(t)[5] and all(abs(x - mid) <= room for x, mid, room in edges))
+                    checked += 1
+    assert checked > 350
+
+
+def test_site_quality_brute_force(spark):
+    """Posteriors over every row of a small table, against sums by hand."""
+    rng = np.random.default_rng(6)
+    docs_ = [(i, " ".join(rng.choice(["good", "bad", "so", "la", "ti"], 6, p=[0.3, 0.1, 0.2, 0.2, 0.2] if i % 3 else [0.1, 0.4, 0.2, 0.2, 0.1])), f"h{i % 4 if i % 7 else 'rare' + str(i)}", f"p{i % 5}") for i in range(300)] + [(900, None, None, None), (901, "", "h1", None)]
+    labels_ = [(i, int(i % 3 > 0)) for i in range(0, 300, 2)]
+    d = spark.createDataFrame(docs_, "doc_id long, text string, host string, path string")
+    got = {r["doc_id"]: r for r in site_quality(d, spark.createDataFrame(labels_, "doc_id long, quality int"), F.col("host"), F.col("path"), folds=1, held=5).collect()}
+    y = dict(labels_)
+    at = {i: (h, p) for i, _, h, p in docs_}
+    rate = (sum(y.values()) + 1) / (len(y) + 2)
+
+    def sites(key):
+        n, good = collections.Counter(), collections.Counter()
+        for i, v in y.items():
+            n[key(i)] += 1
+            good[key(i)] += v
+        return n, good
+
+    def strength(n, good, mean):
+        ss = sum(n[s] * (good[s] / n[s] - mean(s)) ** 2 for s in n)
+        chance = sum(mean(s) * (1 - mean(s)) for s in n)
+        most = sum(n[s] * mean(s) * (1 - mean(s)) for s in n)
+        total = sum(n.values())
+        between = max((ss - chance) / max(total - len(n), 1), 1e-9)
+        return min(max(most / total / between - 1, 2.0), 1000.0)
+
+    hn, hg = sites(lambda i: at[i][0])
+    a = strength(hn, hg, lambda _: rate)
+    host = lambda h: (hg[h] + a * rate) / (hn[h] + a)
+    pn, pg = sites(lambda i: at[i])
+    b = strength(pn, pg, lambda s: host(s[0]))
+    for i, (h, p) in at.items():
+        want_host = host(h) if hn[h] else rate
+        want_path = (pg[h, p] + b * want_host) / (pn[h, p] + b) if pn[h, p] else want_host
+        r = got[i]
+        assert abs(r["host_rate"] - want_host) < 1e-9 and abs(r["path_rate"] - min(max(want_path, 0.001), 0.999)) < 1e-9
+        odds = math.log(r["path_rate"] / (1 - r["path_rate"])) + r["evidence"]
+        assert abs(r["score"] - 1 / (1 + math.exp(-odds))) < 1e-9 and r["kept"] == (r["score"] >= 0.5)
+    assert got[900]["evidence"] == got[901]["evidence"] == 0
+
+
+def test_ftrl_pass_against_plain():
+    """One pass of the vectorised update, coordinate by coordinate in plain Python."""
+    rng = np.random.default_rng(4)
+    rows = [rng.choice(40, 7, replace=False).astype(np.int32) for _ in range(80)]
+    y = rng.integers(0, 2, 80)
+    z, n = np.zeros(41), np.zeros(41)
+    ftrl_pass(rows, y, z, n, 0.2, 1.0, 0.5, 0.1)
+    pz, pn = [0.0] * 41, [0.0] * 41
+    for x, label in zip(rows, y, strict=True):
+        own, w = [*x.tolist(), 40], {}
+        for i in own:
+            l1 = 0.0 if i == 40 else 0.5
+            w[i] = 0.0 if abs(pz[i]) <= l1 else -(pz[i] - math.copysign(l1, pz[i])) / ((1.0 + math.sqrt(pn[i])) / 0.2 + 0.1)
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in own:
+            sigma = (math.sqrt(pn[i] + g * g) - math.sqrt(pn[i])) / 0.2
+            pz[i] += g - sigma * w[i]
+            pn[i] += g * g
+    assert np.allclose(z, pz) and np.allclose(n, pn)
+
+
+def test_toxicity_features_against_plain():
+    """Which texts share how many distinct features follows from their words, stems and pairs."""
+    import pyarrow as pa
+
+    texts = ["Bad words, here and there", "bad WORDS here", "", "wordsmith wordsworth", "x", "here and there bad words"]
+
+    def plain(t):
+        w = re.findall(r"[a-z0-9\x80-\uffff]+", lower(t))
+        out = {("w", x) for x in w} | {(k, x[:k]) for x in w for k in STEMS if len(x) > k}
+        return out | {("pair", gap, a, b) for gap in (1, 2, 3) for a, b in zip(w, w[gap:], strict=False)}
+
+    got = [set(x.tolist()) for x in distinct_features(pa.array(texts), 30)]
+    want = [plain(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(got[i] & got[j]) == len(want[i] & want[j])
+
+
 def test_kneser_ney_sums_to_one(spark):
     """With all bytes that follow a context, and what backs off, probabilities are proper; counts decide the order."""
     rng = np.random.default_rng(1)
