@@ -20,6 +20,7 @@ from tidelake.llm.revisits import canonical_url, resolve_revisits
 from tidelake.llm.topk_search import topk_search
 
 from .conftest import words
+from .test_dedup import linked
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -256,6 +257,38 @@ def test_mix_odd(odd_docs, no_docs):
     assert mix_sources(no_docs)[0].count() == 0
 
 
+def without_passages(texts, size):
+    """Texts less every byte in a string of `size` bytes that starts twice or more; None where only white space is left."""
+    raw = [(t or "").encode() for t in texts]
+    at = collections.Counter(t[p : p + size] for t in raw for p in range(len(t) - size + 1))
+    out = []
+    for text, t in zip(texts, raw, strict=True):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - size + 1):
+            if at[t[p : p + size]] > 1:
+                gone[p : p + size] = True
+        left = bytes(np.frombuffer(t, np.uint8)[~gone]).decode("utf-8", "ignore")
+        out.append((text is None or not gone.any() or bool(words(left)), left if text is not None else None))
+    return out
+
+
+def test_pipeline_stages_brute_force(spark):
+    """Near-duplicates and repeated passages against plain Python, each on the input that the pipeline gives it."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    sf = SF.replace("sf0.01", "sf0.001")
+    docs = stages["toxicity"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    one = stages["near_duplicates"](spark, docs, sf)
+    left = sorted((r["doc_id"], r["text"]) for r in one.collect())
+    texts = dict(rows)
+    assert [i for i, _ in left] == sorted({least for i, n, least in linked(rows, 5, 80, 100) if n} | {i for i, t in rows if not words(t)})
+    assert all(t == texts[i] for i, t in left)
+    cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in stages["repeated_passages"](spark, one, sf).collect()}
+    want = {i: (t, None if t is None else len(t)) for (i, _), (stays, t) in zip(left, without_passages([t for _, t in left], 240), strict=True) if stays}
+    assert cut == want
+
+
 def test_pipeline(spark):
     """Each stage of the pipeline on the smallest table, and its own rule on its own input."""
     pipeline = importlib.import_module("corpus_pipeline")
