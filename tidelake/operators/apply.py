@@ -92,10 +92,15 @@ def apply_batch(mirror: DataFrame, changes: DataFrame, keys: list[str], data: li
 
 def load_columns(rows: DataFrame, time: str, source: str, snapshot: str, scope: str = "catalog_id") -> DataFrame:
     """Stamp rows: load time in milliseconds (the event's plus the row's number in its table's batch, so unique
-    versions sort), its date, source system and snapshot."""
-    nth = F.row_number().over(Window.partitionBy(scope).orderBy(*PLACE)) - 1
-    ms = F.col(time) + nth
-    return rows.withColumn("_dl_load_ms", ms).withColumns({"_dl_load_date": F.date_format(F.timestamp_millis("_dl_load_ms"), "yyyy-MM-dd"), "_dl_source_system": F.lit(source), "_dl_snapshot_id": F.lit(snapshot)})
+    versions sort), its date, source system and snapshot. Rows are numbered within a table's partition of the bus, behind
+    the rows of the partitions before it, so a hot table is several tasks."""
+    sizes = rows.groupBy(F.col(scope).alias("_scope"), F.col("part").alias("_part")).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("_scope").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition of a table
+    before = sizes.select("_scope", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    numbered = rows.join(before, F.col(scope).eqNullSafe(F.col("_scope")) & F.col("part").eqNullSafe(F.col("_part")))
+    nth = F.row_number().over(Window.partitionBy(scope, "part").orderBy("pos")) - 1
+    ms = F.col(time) + F.col("_before") + nth
+    return numbered.withColumn("_dl_load_ms", ms).drop("_scope", "_part", "_before").withColumns({"_dl_load_date": F.date_format(F.timestamp_millis("_dl_load_ms"), "yyyy-MM-dd"), "_dl_source_system": F.lit(source), "_dl_snapshot_id": F.lit(snapshot)})
 
 
 def new_columns(known: list[str], rows: DataFrame, fields: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def int_slices(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n half-open slices of equal width over an integer key's range; the last takes the rest."""
@@ -15,9 +17,16 @@ def int_slices(rows: DataFrame, key: str, n: int) -> DataFrame:
     return ends.select("lo", "hi", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slice")).select("slice", (F.col("lo") + F.col("slice") * F.col("w")).alias("begin"), F.when(F.col("slice") == n - 1, F.col("hi") + 1).otherwise(F.col("lo") + (F.col("slice") + 1) * F.col("w")).alias("end"))
 
 
-def ranked(rows: DataFrame, keys: list[str], parts: int = 32) -> DataFrame:
-    """Add `rank` from 0 in key order, exactly and without one task seeing all rows: ranges, then each range's count."""
-    spread = rows.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id())
+#: Rows of a range on average, and the fewest ranges.
+RANGE_ROWS, LEAST_RANGES = 1_000_000, 32
+
+
+def ranked(rows: DataFrame, keys: list[str], parts: int = LEAST_RANGES) -> DataFrame:
+    """Add `rank` from 0 in key order, exactly and without one task seeing all rows: ranges, then each range's count.
+
+    Ranges are written, as their bounds come from a sample that another run would draw anew.
+    """
+    spread = materialize(rows.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id()), "ranges")
     inner = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1)
     sizes = spread.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row for each range
@@ -30,7 +39,7 @@ def sampled_boundaries(rows: DataFrame, keys: list[str], workers: int, least: in
     if n < least or workers < 2:
         return rows.select(*keys).limit(0).withColumn("at", F.lit(0).cast("long"))
     offsets = sorted({n * i // workers for i in range(1, workers)} - {0})
-    return ranked(rows.select(*keys), keys).where(F.col("rank").isin(*offsets)).select(*keys, F.col("rank").alias("at"))
+    return ranked(rows.select(*keys), keys, max(LEAST_RANGES, n // RANGE_ROWS)).where(F.col("rank").isin(*offsets)).select(*keys, F.col("rank").alias("at"))
 
 
 def slice_bounds(boundaries: DataFrame, keys: list[str]) -> DataFrame:
