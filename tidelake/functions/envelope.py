@@ -193,6 +193,14 @@ def names_from_event_id(x: Column, default_engine: Column) -> Column:
     return F.when(whole, lake_name(engine, database, F.substring_index(dotted, ".", 1), F.regexp_replace(dotted, r"^[^.]+\.", "")))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once however often later steps use them: the optimizer does not copy what a
+    generator gives into the expressions behind it."""
+    kept = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))).alias("_made")
+    return df.select(*kept, made).select(*kept, "_made.*")
+
+
 def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str = "mariadb", fill_nulls: bool = False) -> DataFrame:
     """Bus messages (topic, part, pos, value and, if there is one, the bus timestamp `time`) to changes of lake tables.
 
@@ -212,8 +220,8 @@ def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str =
     op = op_normalize(e("$.op"))
     gtid = F.coalesce(source("gtid"), e("$.gtid"))
     token = raw("$.source.resume_token")
-    facts = decoded.select(
-        "topic", "part", "pos", op.alias("op"), engine.alias("engine"), F.coalesce(e("$.catalog_id", "long"), F.lit(0)).alias("catalog_id"), database.alias("db"),
+    facts = [
+        op.alias("op"), engine.alias("engine"), F.coalesce(e("$.catalog_id", "long"), F.lit(0)).alias("catalog_id"), database.alias("db"),
         F.when(mssql, filled(e("$.source_schema"), source("db"))).when(mongo, database).otherwise(filled(e("$.source_schema"), e("$.schema"), source("db"))).alias("s"),
         F.when(mssql, filled(e("$.source_table"), source("table"))).when(mongo, filled(e("$.source_table"), source("collection"))).otherwise(filled(e("$.source_table"), e("$.table"), source("table"))).alias("t"),
         F.when(mssql, F.coalesce(source("lsn"), gtid)).when(mongo, F.coalesce(token, gtid)).otherwise(gtid).alias("gtid"),
@@ -223,16 +231,19 @@ def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str =
         F.coalesce(e("$.ts_ms", "long"), e("$.source.ts_ms", "long"), F.col("time").cast("long") if "time" in messages.columns else F.lit(None).cast("long")).alias("ts_ms"),
         F.coalesce(F.when(op == "d", json_map(F.col("d.v"), "$.before")).otherwise(json_map(F.col("d.v"), "$.after")), F.from_json(F.lit("{}"), "map<string,string>")).alias("row"),
         json_map(F.col("d.v"), "$.before").alias("before"), F.to_json("d.v").alias("whole"), F.col("d.event_id").alias("wrapped_id"),
-    )
+    ]
+    made = F.explode(F.array(F.struct(*facts))).alias("f")
+    facts = decoded.select("topic", "part", "pos", made).select("topic", "part", "pos", "f.*")
     none = lambda m: F.transform_values(m, lambda _, x: F.nullif(x, F.lit("null")))
-    row = fill_before(F.col("op"), none(F.col("row")), none(F.col("before")), fill_nulls)
-    ids = F.transform_values(row, lambda k, x: F.when((k == "mongo_id") & x.isNotNull(), object_id_json(x)).otherwise(x))
-    facts = facts.withColumn("row", F.transform_values(ids, lambda k, x: F.when(k.isin(*keys), key_json(x)).otherwise(x)) if keys else ids)
+    facts = computed(facts, row=none(F.col("row")), before=none(F.col("before")))
+    facts = computed(facts, row=fill_before(F.col("op"), F.col("row"), F.col("before"), fill_nulls)).drop("before")
+    ids = F.transform_values(F.col("row"), lambda k, x: F.when((k == "mongo_id") & x.isNotNull(), object_id_json(x)).otherwise(x))
+    facts = computed(facts, row=F.transform_values(ids, lambda k, x: F.when(k.isin(*keys), key_json(x)).otherwise(x)) if keys else ids)
     pairs = [(k, F.when(F.array_contains(F.map_keys("row"), k), F.coalesce(F.col("row")[k], F.lit("null")))) for k in keys]
     built = event_id(F.col("engine"), F.col("db"), F.col("at"), F.col("file"), F.col("file_pos"), F.col("seq"), F.col("own_s"), F.col("own_t"), F.col("op"), pairs, F.col("whole"))
     known = (F.col("s") != "") & (F.col("t") != "")
-    named = facts.withColumn("event_id", F.coalesce("wrapped_id", built))
-    named = named.withColumn("n", F.when(known, lake_name(F.col("engine"), F.col("db"), F.col("s"), F.col("t"))).otherwise(names_from_event_id(F.col("event_id"), F.col("engine"))))
+    named = computed(facts, event_id=F.coalesce("wrapped_id", built))
+    named = computed(named, n=F.when(known, lake_name(F.col("engine"), F.col("db"), F.col("s"), F.col("t"))).otherwise(names_from_event_id(F.col("event_id"), F.col("engine"))))
     out = named.select("topic", "part", "pos", "op", "engine", "catalog_id", F.col("n.lake_schema").alias("schema_name"), F.col("n.lake_table").alias("table_name"), "gtid", "event_id", "ts_ms", json_object(F.col("row")).alias("row"))
     return out.where((F.col("schema_name") != "") & (F.col("table_name") != ""))
 
