@@ -27,16 +27,16 @@ def flatten(docs: DataFrame, id_col: str, doc: str) -> DataFrame:
     is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
     own_id = lambda v: F.coalesce(F.try_variant_get(v, "$['$oid']", "string"), F.try_variant_get(v, "$", "string"), F.to_json(v))
     depth = docs.agg(F.max(nesting(F.col(doc)))).first()[0] or 0
-    rows = docs.where(is_object(F.col(doc))).select(F.col(id_col), F.lit("").alias("path"), F.lit("").alias("name"), F.lit(None).cast("string").alias("id"), F.try_variant_get(doc, "$._id", "variant").isNotNull().alias("named"), F.col(doc).alias("v"))
+    rows = docs.where(is_object(F.col(doc))).select(F.col(id_col), F.lit("").alias("path"), F.lit("").alias("name"), F.lit(None).cast("string").alias("id"), F.try_variant_get(doc, "$._id", "variant").isNotNull().alias("named"), F.col(doc).alias("v"), F.lit(True).alias("open"))
     for _ in range(depth):
-        opened = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.when(F.col("id").isNull() & is_object(F.col("v")), F.col("v")).outer()))
+        opened = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.when(F.col("open"), F.col("v")).outer()))
         new, top = F.col("key").isNotNull(), F.col("path") == ""
         path = F.when(new, F.concat("path", F.lit("\x01"), "key")).otherwise(F.col("path"))
         joined = F.when(top, F.col("key")).otherwise(F.concat("name", F.lit("_"), F.when(F.col("key") == "_id", "mongo_id").otherwise(F.col("key"))))
         name = F.when(~new, F.col("name")).when(top & (F.col("key") == "_id"), "mongo_id").otherwise(sanitize(joined))
         inner_id = new & (F.col("key") == "_id")
-        rows = opened.where(~(inner_id & ~top & F.col("named")) | ~new).select(id_col, path.alias("path"), name.alias("name"), F.when(inner_id, own_id(F.col("value"))).otherwise(F.col("id")).alias("id"), "named", F.when(new, F.col("value")).otherwise(F.col("v")).alias("v"))
-    leaves = rows.where(F.col("id").isNotNull() | ~is_object(F.col("v")))
+        rows = opened.where(~(inner_id & ~top & F.col("named")) | ~new).select(id_col, path.alias("path"), name.alias("name"), F.when(inner_id, own_id(F.col("value"))).otherwise(F.col("id")).alias("id"), "named", F.when(new, F.col("value")).otherwise(F.col("v")).alias("v"), F.when(new, ~inner_id & is_object(F.col("value"))).otherwise(F.col("open")).alias("open"))
+    leaves = rows.where("not open")  # what is open still is empty
     # as many rows as there are different paths
     first = Window.partitionBy("name").orderBy("path")
     paths = leaves.select("path", "name").distinct().withColumn("nth", F.row_number().over(first)).where("nth > 1")
