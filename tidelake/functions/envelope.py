@@ -23,18 +23,20 @@ def decode(value: Column) -> Column:
     """(v, event_id) of a bus value: the first parse, after 0 to 32 skipped bytes, that is an envelope; null if none is.
 
     An envelope is an object with an `op`, or a CloudEvent whose data is one; that event's id is kept. Values that parse
-    at once never see the other attempts; those try only offsets at which an object begins.
+    at once never see the other attempts; those try only offsets at which an object begins. Each attempt is an array's
+    element, so it is parsed once however often it is looked at.
     """
     raw = value.cast("binary")
+    parsed = lambda text: F.when(text.startswith("{"), F.try_parse_json(text))
 
-    def attempt(text: Column) -> Column:
-        v = F.when(text.startswith("{"), F.try_parse_json(text))
+    def envelope(v: Column) -> Column:
         inner = F.when(get(v, "$.specversion").isNotNull(), F.try_variant_get(v, "$.data", "variant"))
         plain = F.struct(v.alias("v"), F.lit(None).cast("string").alias("event_id"))
         return F.when(get(v, "$.op").isNotNull(), plain).when(get(inner, "$.op").isNotNull(), F.struct(inner.alias("v"), get(v, "$.id").alias("event_id")))
 
-    later = F.transform(F.sequence(F.lit(2), F.lit(MOST_SKIPPED + 1)), lambda at: attempt(raw.substr(at, F.lit(1 << 30)).cast("string")))
-    return F.coalesce(attempt(raw.cast("string")), F.get(F.filter(later, lambda d: d.isNotNull()), F.lit(0)))
+    later = F.transform(F.sequence(F.lit(2), F.lit(MOST_SKIPPED + 1)), lambda at: parsed(raw.substr(at, F.lit(1 << 30)).cast("string")))
+    first = lambda tries: F.get(F.filter(F.transform(F.filter(tries, lambda v: v.isNotNull()), envelope), lambda d: d.isNotNull()), F.lit(0))
+    return F.coalesce(first(F.array(parsed(raw.cast("string")))), first(later))
 
 
 def probe(value: Column) -> Column:
@@ -131,9 +133,8 @@ def is_ddl(statement: Column) -> Column:
 
 def sanitize(name: Column, most: int = 63) -> Column:
     """A name as a lake identifier."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9_]", "_"), "^_+", "")
-    s = F.when(s == "", "x").otherwise(s)
-    return F.substring(F.when(s.rlike("^[0-9]"), F.concat(F.lit("t_"), s)).otherwise(s), 1, most)
+    s = F.ltrim(F.regexp_replace(F.lower(name), "[^a-z0-9_]", "_"), F.lit("_"))
+    return F.substring(F.regexp_replace(F.regexp_replace(s, "^$", "x"), "^(?=[0-9])", "t_"), 1, most)
 
 
 def lake_name(engine: Column, database: Column, schema: Column, table: Column) -> Column:
@@ -172,7 +173,7 @@ def json_map(v: Column, path: str) -> Column:
 
 def json_object(fields: Column) -> Column:
     """Object text of a map of JSON texts, by name."""
-    names = F.array_sort(F.map_keys(fields))
+    names = F.sort_array(F.map_keys(fields))
     quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
     return F.concat(F.lit("{"), F.concat_ws(",", F.transform(names, lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(fields[k], F.lit("null"))))), F.lit("}"))
 
@@ -194,8 +195,8 @@ def names_from_event_id(x: Column, default_engine: Column) -> Column:
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are evaluated once however often later steps use them: the optimizer does not copy what a
-    generator gives into the expressions behind it."""
+    """df with columns that are evaluated once even where a filter follows: the optimizer does not copy what a generator
+    gives into the conditions that it pushes down."""
     kept = [c for c in df.columns if c not in columns]
     made = F.explode(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))).alias("_made")
     return df.select(*kept, made).select(*kept, "_made.*")
@@ -214,35 +215,35 @@ def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str =
     filled = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
     raw = lambda path: F.nullif(F.to_json(F.try_variant_get(F.col("d.v"), path, "variant")), F.lit("null"))
     source = lambda name: e(f"$.source.{name}")
-    engine = F.coalesce(e("$.db_engine"), source("db_engine"), F.lit(default_engine))
-    mssql, mongo = engine == "mssql", engine == "mongodb"
-    database = F.coalesce(e("$.source_database"), source("database"), F.lit(""))
-    op = op_normalize(e("$.op"))
-    gtid = F.coalesce(source("gtid"), e("$.gtid"))
-    token = raw("$.source.resume_token")
-    facts = [
-        op.alias("op"), engine.alias("engine"), F.coalesce(e("$.catalog_id", "long"), F.lit(0)).alias("catalog_id"), database.alias("db"),
-        F.when(mssql, filled(e("$.source_schema"), source("db"))).when(mongo, database).otherwise(filled(e("$.source_schema"), e("$.schema"), source("db"))).alias("s"),
-        F.when(mssql, filled(e("$.source_table"), source("table"))).when(mongo, filled(e("$.source_table"), source("collection"))).otherwise(filled(e("$.source_table"), e("$.table"), source("table"))).alias("t"),
-        F.when(mssql, F.coalesce(source("lsn"), gtid)).when(mongo, F.coalesce(token, gtid)).otherwise(gtid).alias("gtid"),
-        F.when(mssql, F.coalesce(source("lsn"), gtid)).when(mongo, F.coalesce(source("gtid"), token, e("$.gtid"))).otherwise(gtid).alias("at"),
+    read = decoded.select(
+        "topic", "part", "pos", *(["time"] if "time" in messages.columns else []), "d",
+        op_normalize(e("$.op")).alias("op"), F.coalesce(e("$.db_engine"), source("db_engine"), F.lit(default_engine)).alias("engine"), F.coalesce(e("$.source_database"), source("database"), F.lit("")).alias("db"),
+        F.coalesce(source("gtid"), e("$.gtid")).alias("gtid"), e("$.source_schema").alias("source_schema"), e("$.source_table").alias("source_table"), source("db").alias("source_db"), source("table").alias("source_t"), source("lsn").alias("lsn"),
+        json_map(F.col("d.v"), "$.before").alias("before"),
+    )
+    mssql, mongo = F.col("engine") == "mssql", F.col("engine") == "mongodb"
+    own_schema, own_table, gtid = F.col("source_schema"), F.col("source_table"), F.col("gtid")
+    token = F.when(mongo, raw("$.source.resume_token"))
+    facts = read.select(
+        "topic", "part", "pos", "op", "engine", "db", "before", F.col("d.v").alias("v"), F.col("d.event_id").alias("wrapped_id"), F.coalesce(e("$.catalog_id", "long"), F.lit(0)).alias("catalog_id"),
+        F.when(mssql, filled(own_schema, F.col("source_db"))).when(mongo, F.col("db")).otherwise(filled(own_schema, e("$.schema"), F.col("source_db"))).alias("s"),
+        F.when(mssql, filled(own_table, F.col("source_t"))).when(mongo, filled(own_table, source("collection"))).otherwise(filled(own_table, e("$.table"), F.col("source_t"))).alias("t"),
+        F.when(mssql, F.coalesce("lsn", gtid)).when(mongo, F.coalesce(token, gtid)).otherwise(gtid).alias("gtid"),
+        F.when(mssql, F.coalesce("lsn", gtid)).when(mongo, F.coalesce(source("gtid"), token, e("$.gtid"))).otherwise(gtid).alias("at"),
         source("file").alias("file"), e("$.source.pos", "long").alias("file_pos"), source("seqval").alias("seq"),
-        F.coalesce(e("$.source_schema"), source("db"), F.lit("")).alias("own_s"), F.coalesce(e("$.source_table"), source("table"), F.lit("")).alias("own_t"),
+        F.coalesce(own_schema, F.col("source_db"), F.lit("")).alias("own_s"), F.coalesce(own_table, F.col("source_t"), F.lit("")).alias("own_t"),
         F.coalesce(e("$.ts_ms", "long"), e("$.source.ts_ms", "long"), F.col("time").cast("long") if "time" in messages.columns else F.lit(None).cast("long")).alias("ts_ms"),
-        F.coalesce(F.when(op == "d", json_map(F.col("d.v"), "$.before")).otherwise(json_map(F.col("d.v"), "$.after")), F.from_json(F.lit("{}"), "map<string,string>")).alias("row"),
-        json_map(F.col("d.v"), "$.before").alias("before"), F.to_json("d.v").alias("whole"), F.col("d.event_id").alias("wrapped_id"),
-    ]
-    made = F.explode(F.array(F.struct(*facts))).alias("f")
-    facts = decoded.select("topic", "part", "pos", made).select("topic", "part", "pos", "f.*")
+        F.coalesce(F.when(F.col("op") == "d", F.col("before")).otherwise(json_map(F.col("d.v"), "$.after")), F.from_json(F.lit("{}"), "map<string,string>")).alias("row"),
+    )
     none = lambda m: F.transform_values(m, lambda _, x: F.nullif(x, F.lit("null")))
-    facts = computed(facts, row=none(F.col("row")), before=none(F.col("before")))
-    facts = computed(facts, row=fill_before(F.col("op"), F.col("row"), F.col("before"), fill_nulls)).drop("before")
+    facts = facts.withColumns({"row": none(F.col("row")), "before": none(F.col("before"))})
+    facts = facts.withColumn("row", fill_before(F.col("op"), F.col("row"), F.col("before"), fill_nulls)).drop("before")
     ids = F.transform_values(F.col("row"), lambda k, x: F.when((k == "mongo_id") & x.isNotNull(), object_id_json(x)).otherwise(x))
-    facts = computed(facts, row=F.transform_values(ids, lambda k, x: F.when(k.isin(*keys), key_json(x)).otherwise(x)) if keys else ids)
+    facts = facts.withColumn("row", F.transform_values(ids, lambda k, x: F.when(k.isin(*keys), key_json(x)).otherwise(x)) if keys else ids)
     pairs = [(k, F.when(F.array_contains(F.map_keys("row"), k), F.coalesce(F.col("row")[k], F.lit("null")))) for k in keys]
-    built = event_id(F.col("engine"), F.col("db"), F.col("at"), F.col("file"), F.col("file_pos"), F.col("seq"), F.col("own_s"), F.col("own_t"), F.col("op"), pairs, F.col("whole"))
+    built = event_id(F.col("engine"), F.col("db"), F.col("at"), F.col("file"), F.col("file_pos"), F.col("seq"), F.col("own_s"), F.col("own_t"), F.col("op"), pairs, F.to_json("v"))
     known = (F.col("s") != "") & (F.col("t") != "")
-    named = computed(facts, event_id=F.coalesce("wrapped_id", built))
+    named = facts.withColumn("event_id", F.coalesce("wrapped_id", built))
     named = computed(named, n=F.when(known, lake_name(F.col("engine"), F.col("db"), F.col("s"), F.col("t"))).otherwise(names_from_event_id(F.col("event_id"), F.col("engine"))))
     out = named.select("topic", "part", "pos", "op", "engine", "catalog_id", F.col("n.lake_schema").alias("schema_name"), F.col("n.lake_table").alias("table_name"), "gtid", "event_id", "ts_ms", json_object(F.col("row")).alias("row"))
     return out.where((F.col("schema_name") != "") & (F.col("table_name") != ""))

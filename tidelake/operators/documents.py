@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.envelope import sanitize
+from ..sources.scratch import materialize
 
 
 def nesting(doc: Column) -> Column:
@@ -36,12 +37,13 @@ def flatten(docs: DataFrame, id_col: str, doc: str) -> DataFrame:
         name = F.when(~new, F.col("name")).when(top & (F.col("key") == "_id"), "mongo_id").otherwise(sanitize(joined))
         inner_id = new & (F.col("key") == "_id")
         rows = opened.where(~(inner_id & ~top & F.col("named")) | ~new).select(id_col, path.alias("path"), name.alias("name"), F.when(inner_id, own_id(F.col("value"))).otherwise(F.col("id")).alias("id"), "named", F.when(new, F.col("value")).otherwise(F.col("v")).alias("v"), F.when(new, ~inner_id & is_object(F.col("value"))).otherwise(F.col("open")).alias("open"))
-    leaves = rows.where("not open")  # what is open still is empty
+    value = F.coalesce("id", F.try_variant_get("v", "$", "string"), F.when(~F.is_variant_null("v"), F.to_json("v")))
+    leaves = materialize(rows.where("not open").select(id_col, "path", "name", value.alias("value")), "leaves")  # what is open still is empty
     # as many rows as there are different paths
     first = Window.partitionBy("name").orderBy("path")
     paths = leaves.select("path", "name").distinct().withColumn("nth", F.row_number().over(first)).where("nth > 1")
     other = paths.select("path", F.concat(F.substring("name", 1, 54), F.lit("_"), F.substring(F.md5(F.col("path").cast("binary")), 1, 8)).alias("other"))
-    return leaves.join(other, "path", "left").select(id_col, F.coalesce("other", "name").alias("name"), F.coalesce("id", F.try_variant_get("v", "$", "string"), F.when(~F.is_variant_null("v"), F.to_json("v"))).alias("value"))
+    return leaves.join(other, "path", "left").select(id_col, F.coalesce("other", "name").alias("name"), "value")
 
 
 def merge_schema(known: DataFrame, batch: DataFrame) -> DataFrame:

@@ -65,12 +65,27 @@ def tuple_compare(columns: list[Column], values: list, op: str) -> Column:
     return reduce(lambda a, b: a | b, terms)
 
 
+def _within(rows: DataFrame, slices: DataFrame, k: Column) -> DataFrame:
+    """rows with `_slice`, the struct of the half-open slice that k lies in; rows outside all slices are dropped.
+
+    The plan, a row per slice, travels as one sorted array that each row searches by halves, so a row costs as many
+    comparisons as the number of slices has bits, not one with every slice.
+    """
+    rest = [c for c in slices.columns if c not in ("begin", "end")]
+    plan = slices.agg(F.sort_array(F.collect_list(F.struct("begin", "end", *rest))).alias("_plan"))  # one row; an open begin comes first
+    halves = F.when(F.size("_plan") > 0, F.transform(F.sequence(F.floor(F.log2(F.size("_plan"))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int")))
+    plan = F.broadcast(plan.withColumn("_halves", halves))
+    begins = lambda i: F.get("_plan", i - 1)["begin"]
+    starts = lambda i: (i <= F.size("_plan")) & (begins(i).isNull() | (begins(i) <= k))
+    last = F.aggregate("_halves", F.lit(0), lambda at, half: F.when(starts(at + half), at + half).otherwise(at))
+    here = F.filter(F.transform(F.array(last), lambda i: F.when(i > 0, F.get("_plan", i - 1))), lambda x: x.isNotNull() & (x["end"].isNull() | (k < x["end"])))
+    return rows.crossJoin(plan).select(*rows.columns, F.explode(here).alias("_slice"))
+
+
 def assign(rows: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row's slice: a range join with the plan, which has a row per slice and is broadcast for that."""
-    k = F.struct(*[F.col(c) for c in keys])
-    s = F.broadcast(slices.withColumnsRenamed({"begin": "_begin", "end": "_end"}))
-    inside = (F.col("_begin").isNull() | (k >= F.col("_begin"))) & (F.col("_end").isNull() | (k < F.col("_end")))
-    return rows.join(s, inside).drop("_begin", "_end")
+    """Each row's slice by a plan of slices that don't overlap; rows outside the plan are dropped."""
+    rest = [F.col(f"_slice.{c}") for c in slices.columns if c not in ("begin", "end")]
+    return _within(rows, slices, F.struct(*keys)).select(*rows.columns, *rest)
 
 
 def contiguous(slices: DataFrame) -> DataFrame:
@@ -84,8 +99,9 @@ def contiguous(slices: DataFrame) -> DataFrame:
 def resume(rows: DataFrame, slices: DataFrame, key: str, catalog_side: DataFrame, lake_side: DataFrame) -> DataFrame:
     """Rows still to copy of an integer-keyed plan: each slice strictly after its last key; the lake's own place wins."""
     last = catalog_side.withColumnRenamed("last_key", "a").join(lake_side.withColumnRenamed("last_key", "b"), "slice", "full").select("slice", F.coalesce("b", "a").alias("last_key"))
-    plan = F.broadcast(slices.join(last, "slice", "left"))
-    return rows.join(plan, (F.col(key) >= F.col("begin")) & (F.col(key) < F.col("end")) & (F.col("last_key").isNull() | (F.col(key) > F.col("last_key")))).select(*rows.columns, "slice")
+    plan = slices.select("begin", "end", "slice").join(last, "slice", "left").where("begin is not null and end is not null")
+    found = _within(rows, plan, F.col(key))
+    return found.where(F.col("_slice.last_key").isNull() | (F.col(key) > F.col("_slice.last_key"))).select(*rows.columns, F.col("_slice.slice").alias("slice"))
 
 
 def merge_incremental(mirror: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
