@@ -18,6 +18,7 @@ from .revisits import ORACLE as REVISITS_SQL
 from .revisits import captures_of_pages, header_text, resolve_revisits
 from .site_quality import site_quality
 from .suffix_dedup import suffix_dedup
+from .token_file import token_file_digest
 from .topk_search import topk_search
 from .toxicity import toxicity_scores
 
@@ -72,6 +73,10 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(captures_of_pages(table(spark, sf_dir, "pages"))).withColumn("headers", header_text(F.col("headers")))
 
 
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_revisits": op8_revisits,
     "op9_mixing": op9_mixing,
     "op10_lm_score": op10_lm_score,
+    "op12_token_file": op12_token_file,
 }
 
 ORACLES: dict[str, str] = {"op8_revisits": REVISITS_SQL}
