@@ -14,9 +14,11 @@ from .lm_score import deleted_interpolation_scores
 from .mixing import mix_sources
 from .packing import pack_documents
 from .perplexity_rules import quality_rules
+from .ranked_search import ranked_search
 from .revisits import ORACLE as REVISITS_SQL
 from .revisits import captures_of_pages, header_text, resolve_revisits
 from .site_quality import site_quality
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_file import token_file_digest
 from .topk_search import topk_search
@@ -73,10 +75,18 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(captures_of_pages(table(spark, sf_dir, "pages"))).withColumn("headers", header_text(F.col("headers")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -88,7 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_revisits": op8_revisits,
     "op9_mixing": op9_mixing,
     "op10_lm_score": op10_lm_score,
+    "op11_ranked_search": op11_ranked_search,
     "op12_token_file": op12_token_file,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {"op8_revisits": REVISITS_SQL}
