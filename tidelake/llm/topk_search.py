@@ -5,8 +5,8 @@ its vectors in order of their impact in segments of equal size, from both ends,
 either sign. For a small block of queries the segments of all dimensions are processed by descending contribution, each
 adding its scores to accumulators and lowering what its dimension can still add. The walk stops only on proof: when no vector
 outside the possible members can reach the k-th best lower bound. The possible members are then scored exactly.
-A shard and a block of queries are a group of their own, of bounded size, so shards spread over all cores however few
-or many they are; the groups' best k are merged by query.
+A shard's index is built once, and the blocks of queries stream past it, so neither grows with the other in memory; the
+shards' best k are merged by query.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ class ImpactIndex:
         self.top, self.bottom = self.impact[:, self.cuts[1:] - 1], self.impact[:, self.cuts[:-1]]
         self.low, self.high = self.impact[:, 0], self.impact[:, -1]
 
-    def search(self, queries: np.ndarray, k: int, skip: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each query of a small block, the k highest (score, id) but for its own id in `skip`; ties to smaller ids.
+    def search(self, queries: np.ndarray, k: int) -> list[list[tuple[int, int, int]]]:
+        """For each query of a small block, the k highest (score, id, place); ties to smaller ids.
 
         The block walks the segments by the best that they can add to any of its queries; bounds and proofs are each
         query's own.
@@ -61,11 +61,10 @@ class ImpactIndex:
         walk = np.argsort(-gain.max(axis=2).ravel(), kind="stable")
         impact = self.impact.astype(kind, copy=False)
         base = least.sum(axis=0)
-        own = self.ids[:, None] == skip[None, :]
-        want = np.minimum(k, n - own.sum(axis=0))
+        want = min(k, n)
         acc = np.zeros((n, m), kind)
         step = max(1, len(walk) // TESTS)
-        possible = ~own
+        possible = np.ones((n, m), bool)
         for at in range(0, len(walk), step):
             for x in walk[at : at + step].tolist():
                 d, s = divmod(x, segments)
@@ -78,24 +77,22 @@ class ImpactIndex:
                 continue
             # a vector not yet met in a dimension gains there no more than the best segment left
             rest = gain.max(axis=1).sum(axis=0) + base
-            few = np.argpartition(np.where(own, -1, acc), max(0, n - k - 28), axis=0)[max(0, n - k - 28) :]
-            floor = np.full(m, -(2**62) if kind == np.int64 else -(2.0**62), kind)
-            for j in np.flatnonzero(want):
+            few = np.argpartition(acc, max(0, n - k - 28), axis=0)[max(0, n - k - 28) :]
+            floor = np.zeros(m, kind)
+            for j in range(m):
                 # the k-th best of some exact scores: no member of the answer is below it
-                rows = few[:, j][~own[few[:, j], j]]
-                if len(rows) >= want[j]:
-                    floor[j] = np.sort(self.vectors[rows] @ queries[j])[-want[j]]
-            possible = ~own & (acc >= floor - rest)
+                floor[j] = np.sort(self.vectors[few[:, j]] @ queries[j])[-want]
+            possible = acc >= floor - rest
             if possible.sum(axis=0).max() <= max(4 * k, n // RESCORED):
                 break
         out = []
         for j in range(m):
             rows = np.flatnonzero(possible[:, j])
             score = self.vectors[rows] @ queries[j]
-            if len(rows) > want[j] > 0:
-                edge = np.partition(score, len(rows) - want[j])[len(rows) - want[j]]
+            if len(rows) > want:
+                edge = np.partition(score, len(rows) - want)[len(rows) - want]
                 rows, score = rows[score >= edge], score[score >= edge]
-            out.append([(-s, i) for s, i in sorted(zip((-score).tolist(), self.ids[rows].tolist(), strict=True))[: want[j]]])
+            out.append([(-s, i, at) for s, i, at in sorted(zip((-score).tolist(), self.ids[rows].tolist(), rows.tolist(), strict=True))[:want]])
         return out
 
 
@@ -106,61 +103,79 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda y: F.floor(y * scale)).alias("v"))
 
 
+_BLOCK = "block int, dims int, keys binary, ids binary, values binary"
+
+
 def _pack(key, table):
-    table = table.sort_by("id")
-    ids = table["id"].to_numpy().astype("<i8")
+    """Rows of one block and length, in order of their ids."""
+    table = table.sort_by([("id", "ascending"), ("key", "ascending")])
     flat = table["v"].combine_chunks()
     values = (flat.values if isinstance(flat, pa.ListArray) else flat.flatten()).to_numpy()
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "dims": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "values": [values.astype("<i8").tobytes()]}, schema=pa.schema([("block", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())]))
+    raw = lambda name: [table[name].to_numpy().astype("<i8").tobytes()]
+    schema = pa.schema([("block", pa.int32()), ("dims", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("values", pa.binary())])
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "dims": pa.array([key[1].as_py()], pa.int32()), "keys": raw("key"), "ids": raw("id"), "values": [values.astype("<i8").tobytes()]}, schema=schema)
+
+
+def _matrix(row: dict, name: str = "values") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, ids, vectors) of a block."""
+    ids = np.frombuffer(row["ids"], "<i8")
+    return np.frombuffer(row["keys"], "<i8"), ids, np.frombuffer(row[name], "<i8").reshape(len(ids), row["dims"])
 
 
 def _search(k: int):
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(key, shard, queries):
-        found: list[tuple[int, int, int]] = []
-        if shard.num_rows and queries.num_rows:
-            dims = key[2].as_py()
-            ids = np.frombuffer(shard["ids"][0].as_py(), "<i8")
-            index = ImpactIndex(ids, np.frombuffer(shard["values"][0].as_py(), "<i8").reshape(len(ids), dims))
-            for row in queries.to_pylist():
-                qs = np.frombuffer(row["ids"], "<i8")
-                vs = np.frombuffer(row["values"], "<i8").reshape(len(qs), dims)
-                for at in range(0, len(qs), QUERIES_AT_ONCE):
-                    part = qs[at : at + QUERIES_AT_ONCE]
-                    for query, best in zip(part, index.search(vs[at : at + QUERIES_AT_ONCE], k, part), strict=True):
-                        found += [(int(query), i, s) for s, i in best]
-        return pa.table([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], schema=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard, and behind it all blocks of queries: the shard's index is built once."""
+        index = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    _, ids, vectors = _matrix(row)
+                    index, shard = ImpactIndex(ids, vectors), (row["shard"], row["dims"])
+                elif index is not None and shard == (row["shard"], row["dims"]):
+                    keys, asked, queries = _matrix(row)
+                    found: list[tuple[int, int, int, int, bool]] = []
+                    for at in range(0, len(keys), QUERIES_AT_ONCE):
+                        part = slice(at, at + QUERIES_AT_ONCE)
+                        # one more than asked for, as the query's own row may be among them
+                        for key, q, v, rows in zip(keys[part].tolist(), asked[part].tolist(), queries[part], index.search(queries[part], k + 1), strict=True):
+                            found += [(key, q, i, s, i == q and bool((index.vectors[place] == v).all())) for s, i, place in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.bool_() if j == 4 else pa.int64()) for j in range(5)], ["key", "query_id", "vec_id", "score", "same"])
 
     return run
 
 
 def topk_search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
-    """The k highest integer inner products of every query with the vectors of other ids: query_id, rank, vec_id, score.
+    """The k highest integer inner products of every query with the vectors but its own: query_id, rank, vec_id, score.
 
-    Components become floor(scale * x). Ties go to the smaller vec_id. Vectors or queries that are null, have a null id,
-    or hold a null or a non-finite component take no part; vectors of another length than the query's are not compared
-    with it; an id that comes twice is two candidates. Fewer than k candidates are all returned. Empty tables give no rows.
+    Components become floor(scale * x). Ties go to the smaller vec_id. A query's own row is one with its id and its
+    components; a row that comes twice is a candidate for its copy, and two equal query rows have k rows each. Vectors
+    or queries that are null, have a null id, or hold a null or a non-finite component take no part; vectors of another
+    length than the query's are not compared with it. Fewer than k candidates are all returned. Empty tables give no rows.
     """
-    data = materialize(quantised(vectors, id_col, vector_col, scale).withColumn("dims", F.size("v")).where("dims > 0"), "vectors")
-    asked = quantised(queries, id_col, vector_col, scale).withColumn("dims", F.size("v")).where("dims > 0")
+    keyed = lambda rows, tag: materialize(quantised(rows, id_col, vector_col, scale).withColumn("dims", F.size("v")).where("dims > 0").withColumn("key", F.monotonically_increasing_id()), tag)
+    data, asked = keyed(vectors, "vectors"), keyed(queries, "queries")
     longest = data.agg(F.max("dims")).first()[0] or 1
     per_shard = max(64, SHARD_VALUES // longest)
     shards, held = _packed(data, per_shard)
-    blocks, sent = _packed(asked, min(QUERY_BLOCK, per_shard))
-    # the stated queries against all rows, in blocks; an exact number of partitions, as small ones would be joined to few
-    partitions = min(shards * blocks, MOST_PARTITIONS)
-    keys = ["shard", "asked", "dims"]
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = held.select(F.col("block").alias("shard"), every(blocks, "asked"), "dims", "ids", "values").repartition(partitions, *keys)
-    right = sent.select(every(shards, "shard"), F.col("block").alias("asked"), "dims", "ids", "values").repartition(partitions, *keys)
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    _, sent = _packed(asked, min(QUERY_BLOCK, per_shard))
+    # the stated queries, in blocks, past every shard; a shard is sent once, and each task has whole shards
+    rest = ["dims", "keys", "ids", "values"]
+    left = held.select(F.col("block").alias("shard"), F.lit(0).alias("kind"), *rest)
+    right = sent.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), *rest)
+    partitions = min(shards, MOST_PARTITIONS)
+    dealt = left.unionByName(right).repartitionById(partitions, F.col("shard") % partitions).sortWithinPartitions("shard", "dims", "kind")
+    best = dealt.mapInArrow(_search(k), "key long, query_id long, vec_id long, score long, same boolean")
+    # k + 1 rows of each shard at most, and of those k + 1
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", F.desc("same")))
+    first = best.withColumn("place", rank).where(F.col("place") <= k + 1)
+    # one row that is the query's own goes, and those behind it move up
+    own = first.withColumn("own", F.min(F.when(F.col("same"), F.col("place"))).over(Window.partitionBy("key")))
+    moved = F.col("place") - F.when(F.col("place") > F.col("own"), 1).otherwise(0)
+    return own.where("own is null or place <> own").withColumn("rank", moved).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _packed(rows: DataFrame, per: int) -> tuple[int, DataFrame]:
-    """Blocks of about `per` rows, by the hash of the id: how many, and a row for each of (block, dims)."""
+    """Blocks of about `per` rows, however often an id comes: how many, and a row for each of (block, dims)."""
     blocks = max(1, -(-rows.count() // per))
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return blocks, materialize(numbered.groupBy("block", "dims").applyInArrow(_pack, "block int, dims int, ids binary, values binary"), "blocks")
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.lit(blocks)).cast("int"))
+    return blocks, materialize(numbered.groupBy("block", "dims").applyInArrow(_pack, _BLOCK), "blocks")
