@@ -308,3 +308,54 @@ def test_pipeline(spark):
     p = pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert p.length.sum() == p[p.start == 0].doc_tokens.sum()
     assert pipeline.STAGES[0][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_topk_repeated_rows(spark):
+    """Two equal query rows have k rows each, and a query leaves out its own row alone."""
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.0]), (2, [0.5, 0.0]), (3, [0.25, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    twice = d.where("vec_id = 0").unionByName(d.where("vec_id = 0"))
+    got = sorted((r["rank"], r["vec_id"]) for r in topk_search(d, twice, k=3).collect())
+    assert got == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 3), (3, 3)]
+    # the copy of the query's row is another row
+    both = d.unionByName(d.where("vec_id = 0"))
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk_search(both, d.where("vec_id = 0"), k=3).collect())
+    assert got == [(1, 0, 65536), (2, 1, 58880), (3, 2, 32768)]
+    # a row of the same id with other components is no copy of the query either
+    other = d.unionByName(spark.createDataFrame([(0, [0.8, 0.0])], d.schema))
+    assert sorted((r["rank"], r["vec_id"]) for r in topk_search(other, d.where("vec_id = 0"), k=3).collect()) == [(1, 1), (2, 0), (3, 2)]
+
+
+def test_mix_rows_that_differ_in_source_alone(spark, tmp_path):
+    rows = [(1, "x y", "a"), (1, "x y", "b"), (2, "z " * 7, "a"), (3, "q " * 12, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_mixing"](spark, str(tmp_path)).collect()
+    mixed = mixed_documents(d).collect()
+    assert len(got) == 4
+    held = collections.Counter((r["doc_id"], r["source"]) for r in mixed)
+    plan, mix = mix_sources(d)
+    assert len(mixed) == mix.count()
+    for i, text, source in rows:
+        size = len(text.split())
+        mine = [r for r in got if r["doc_id"] == i and r["source_size"] == (9 if source == "a" else 14)]
+        assert [r["taken"] for r in mine] == [held[(i, source)] * size]
+
+
+def test_shard_runs_equal_the_tree(spark, monkeypatch):
+    """The driver's part of the tree stays small, and the subtrees of tasks go on with it."""
+    from tidelake.llm import mixing
+
+    counts = np.array([300, 0, 41, 7], np.int64)
+    whole = split_tree(counts, 37, 5)
+    for most in (1 << 16, 16, 1):
+        monkeypatch.setattr(mixing, "TOP_ENTRIES", most)
+        got = np.zeros_like(whole)
+        at = collections.defaultdict(list)
+        for r in mixing.shard_runs(spark, counts, 37, 5).collect():
+            got[r["shard"], r["sid"]] = r["n"]
+            at[r["sid"]].append((r["first"], r["n"]))
+        assert (got == whole).all()
+        for i, runs in at.items():
+            runs.sort()
+            assert [f for f, _ in runs] == [0, *np.cumsum([n for _, n in runs])[:-1]] and sum(n for _, n in runs) == counts[i]

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_column, doc_chunks, materialize, whole_row, word_spans
@@ -25,6 +25,8 @@ BLOCK_DOCS = 64
 MAX_BLOCKS = 1 << 16
 #: Documents of a shard on average, and the fewest shards.
 SHARD_DOCS, LEAST_SHARDS = 20_000, 16
+#: Nodes times sources of the tree's top, which the driver splits; below, tasks do.
+TOP_ENTRIES = 1 << 16
 #: Sources up to which their figures are broadcast.
 BROADCAST_SOURCES = 20_000
 
@@ -85,27 +87,59 @@ def by_inversion(draw, good: int, bad: int, take: int) -> int:
     return mode
 
 
-def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source for each shard: rows are shards, columns sources; every column's sum is its count."""
-    out = np.zeros((shards, len(counts)), np.int64)
-
-    def split(have: np.ndarray, lo: int, hi: int) -> None:
-        if hi - lo == 1:
-            out[lo] = have
-            return
-        mid = (lo + hi) // 2
-        draw = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        take, rest = int(have.sum()) * (mid - lo) // (hi - lo), int(have.sum())
-        left = np.zeros_like(have)
-        for i, n in enumerate(have):  # a multivariate draw, one source after the other
-            rest -= int(n)
-            left[i] = hypergeometric(draw, int(n), rest, take)
-            take -= int(left[i])
-        split(left, lo, mid)
-        split(have - left, mid, hi)
-
-    split(counts.astype(np.int64), 0, shards)
-    return out
+def split_node(have: np.ndarray, lo: int, hi: int, seed: int) -> np.ndarray:
+    """What the left half of the shards lo to hi takes of each source: a multivariate draw, one source after the other."""
+    draw = np.random.Generator(np.random.PCG64([seed, lo, hi]))
+    take, rest = int(have.sum()) * ((lo + hi) // 2 - lo) // (hi - lo), int(have.sum())
+    left = np.zeros_like(have)
+    for i, n in enumerate(have):
+        rest -= int(n)
+        left[i] = hypergeometric(draw, int(n), rest, take)
+        take -= int(left[i])
+    return left
+
+
+def split_tree(counts: np.ndarray, shards: int, seed: int, lo: int = 0) -> np.ndarray:
+    """Blocks of each source for each shard from lo on: rows are shards, columns sources; every column's sum is its count."""
+    return np.array([x for _, _, x in split_down(counts.astype(np.int64), lo, lo + shards, seed, shards)], np.int64).reshape(shards, len(counts))
+
+
+def split_down(have: np.ndarray, lo: int, hi: int, seed: int, nodes: int) -> list[tuple[int, int, np.ndarray]]:
+    """(lo, hi, blocks of each source) of the tree's nodes, in order, at the first level that has `nodes` or is the last."""
+    level = [(lo, hi, have)]
+    while len(level) < nodes and any(b - a > 1 for a, b, _ in level):
+        below = []
+        for a, b, x in level:
+            if b - a == 1:
+                below.append((a, b, x))
+                continue
+            left = split_node(x, a, b, seed)
+            below += [(a, (a + b) // 2, left), ((a + b) // 2, b, x - left)]
+        level = below
+    return level
+
+
+def _subtrees(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A node of the tree to its shards: the run of numbers nth of each source's blocks that a shard takes."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                have, at = np.array(row["have"], np.int64), np.array(row["before"], np.int64)
+                for lo, _, own in split_down(have, row["lo"], row["hi"], seed, row["hi"] - row["lo"]):
+                    some = np.flatnonzero(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), lo), pa.int32()), pa.array(at[some], pa.int64()), pa.array(own[some], pa.int64())], ["sid", "shard", "first", "n"])
+                    at = at + own
+
+    return run
+
+
+def shard_runs(spark: SparkSession, counts: np.ndarray, shards: int, seed: int) -> DataFrame:
+    """(sid, shard, first, n): what split_tree tells, the tree's top made here and the subtrees below it by tasks."""
+    nodes = split_down(counts.astype(np.int64), 0, shards, seed, max(1, TOP_ENTRIES // max(1, len(counts))))
+    before = np.cumsum([np.zeros(len(counts), np.int64), *[x for _, _, x in nodes[:-1]]], axis=0)
+    rows = [(lo, hi, x.tolist(), b.tolist()) for (lo, hi, x), b in zip(nodes, before, strict=True)]
+    top = spark.createDataFrame(rows, "lo int, hi int, have array<long>, before array<long>")
+    return top.repartition(min(len(rows), 1024), "lo").mapInArrow(_subtrees(seed), "sid int, shard int, first long, n long")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +158,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often the document is taken) and the key k. mix has a row per document taken each time: id_col, k, copy, shard and
     position (its place in the shard, by a hash). Sources in order of their code points, null last, have the weights in turn and
     share all words; a target stops at `most` times its source's size. Reruns agree: all choices follow from the seed,
-    the id and the text. Equal rows have equal keys and are taken alike in a block but for the last one that fits. A
-    null or empty text has size 0 and is taken as its block is. Other columns are not read. An empty table gives no rows.
+    the row. Only rows equal in all columns have equal keys; they are taken alike in a block but for the last one that
+    fits. Rows that share id and text but differ in another column, as in their source, are documents of their own. A
+    null or empty text has size 0 and is taken as its block is. An empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(seed, id_col, text_col).alias("k"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(docs, seed, id_col, text_col).alias("k"), F.col(text_col).cast("binary").alias("text"))
     sized = materialize(rows.mapInArrow(_word_counts, f"id {id_type}, source string, k long, size long"), "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
     # one row for each source
@@ -157,19 +192,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = materialize(state.join(facts.select("sid", "passes", "blocks"), "sid").select("sid", "block", F.explode(F.sequence(F.lit(0), F.col("passes") + F.when(F.col("state") != 0, 1).otherwise(0))).alias("copy"), "passes", "state").where((F.col("copy") < F.col("passes")) | ((F.col("copy") == F.col("passes")) & (F.col("state") != 0))), "units")
     counts = {r["sid"]: r["n"] for r in units.groupBy("sid").agg(F.count("*").alias("n")).collect()}
     shards = shards or shard_number(sum(r["docs"] for r in sources))
-    quota = split_tree(np.array([counts.get(i, 0) for i in range(len(sources))], np.int64), shards, seed)
-    edges = np.cumsum(quota, axis=0)
-    table = sent(spark.createDataFrame([(i, [int(x) for x in edges[:, i]]) for i in range(len(sources))], "sid int, edges array<long>"))
+    totals = np.array([counts.get(i, 0) for i in range(len(sources))], np.int64)
+    runs = shard_runs(spark, totals, shards, seed).select("sid", "shard", F.posexplode(F.sequence("first", F.expr("first + n - 1")))).select("sid", "shard", F.col("col").alias("nth"))
     nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed), "sid", "block", "copy"), "block", "copy")) - 1
     # at most most + 1 times MAX_BLOCKS rows for each source
-    to_shard = units.withColumn("nth", nth).join(table, "sid").select("sid", "block", "copy", F.size(F.filter("edges", lambda x: x <= F.col("nth"))).alias("shard"))
+    to_shard = units.withColumn("nth", nth.cast("long")).join(runs, ["sid", "nth"]).select("sid", "block", "copy", "shard")
     taken = plan.where("passes > 0").select(id_col, "k", "sid", "block", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("copy"))
     mix = taken.join(to_shard, ["sid", "block", "copy"]).select(id_col, "k", "copy", "shard", F.xxhash64(F.lit(seed), "shard", "k", "copy").alias("position"))
     return plan.drop("sid", "block"), mix
 
 
-def _key(seed: int, id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+def _key(docs: DataFrame, seed: int, id_col: str, text_col: str) -> Column:
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in (id_col, text_col)]
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.to_json(F.struct(*[c.alias(str(i)) for i, c in enumerate(rest)])) if rest else F.lit(None))
 
 
 def shard_number(docs: int) -> int:
@@ -183,8 +218,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     shards = shards or shard_number(docs.count())
     _, taken = mix_sources(docs, id_col, text_col, source_col, shards=shards, seed=seed, **mix)
-    keyed = docs.select(_key(seed, id_col, text_col).alias("k"), whole_row(docs).alias("row")).dropDuplicates(["k"])
-    placed = keyed.join(taken.select("k", "shard", "position"), "k")
+    # rows of one key are equal in all columns, so it is all the same which of them stands for the others
+    keyed = docs.select(F.col(id_col).alias("id"), _key(docs, seed, id_col, text_col).alias("k"), whole_row(docs).alias("row")).dropDuplicates(["id", "k"])
+    taken = taken.select(F.col(id_col).alias("taken_id"), "k", "shard", "position")
+    placed = keyed.join(taken, (keyed["k"] == taken["k"]) & keyed["id"].eqNullSafe(taken["taken_id"])).select("row", "shard", "position")
     return placed.repartition(shards, "shard").sortWithinPartitions("shard", "position").select("row.*")
 
 
