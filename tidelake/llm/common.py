@@ -45,11 +45,16 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches where the session sets none."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "1b") == "1b":  # not set
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back, so lost executors cost no rerun."""
     spark = df.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "1b") == "1b":  # not set
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

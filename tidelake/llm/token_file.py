@@ -18,6 +18,7 @@ The n-th range of documents is file number n, so a document's place among all id
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_chunks, materialize, prefix_sums, shared_dir, span_hash, word_spans
-from .packing import STORE_BYTES, WordTokenizer
+from .common import byte_column, doc_chunks, materialize, prefix_sums, shared_dir, small_batches, span_hash
 
 #: Bits of an id and ids of a word, by selector 1 to 14 (fixed values of the method).
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -39,9 +39,11 @@ ESCAPE = len(WIDTHS)
 MAGIC = int.from_bytes(b"S8BLOCK1", "little")
 END = "S8BEND.\n"
 HEAD = 6
-#: Ids of a block, blocks that are coded together, and bytes of ids that a file holds on average.
+#: Ids of a block, blocks that are coded together, and bytes of text whose ids a file holds on average.
 BLOCK_IDS, BLOCKS_AT_ONCE = 8192, 64
-FILE_BYTES = 16 << 20
+FILE_BYTES = 32 << 20
+#: Slots in which a worker remembers pieces (16 bytes each, and some 16 for a piece's ids), and words encoded together.
+SLOTS, AT_ONCE = 1 << 20, 200
 
 
 # ---------------------------------------------------------------- words
@@ -137,27 +139,72 @@ _PLAIN[0xC3:0xE1] = True
 _PLAIN[0xE4:0xF5] = True
 
 
-class PieceTokenizer(WordTokenizer):
+class PieceTokenizer:
     """A byte-level tokenizers file, with the ids of pieces met before remembered.
 
     Texts are cut only where the file's pattern ends a piece whatever lies around: in front of the last space before a
     word, in front of white space behind a visible ASCII character, and between ASCII letters, digits and marks other
-    than '. The library encodes each different piece once.
+    than '. The library encodes each different piece once. Pieces are remembered by a 64-bit hash in either of two
+    slots; when half the slots have been filled, all are emptied.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.encoder = Tokenizer.from_file(path)
-        splitter = self.encoder.pre_tokenizer
-        if "ByteLevel" not in repr(splitter) or self.encoder.normalizer is not None:
+        if "ByteLevel" not in repr(self.encoder.pre_tokenizer) or self.encoder.normalizer is not None:
             raise ValueError(f"{path} is no byte-level file without a normalizer")
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.encoder.token_to_id(self.mark)
+        # tokens that begin with a space
+        self.spaced = np.zeros(self.encoder.get_vocab_size(), bool)
+        self.spaced[[i for token, i in self.encoder.get_vocab().items() if token[0] == "\u0120"]] = True
         self._forget()
 
-    def _encoded(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        return super()._encoded(words, False)
+    def _forget(self) -> None:
+        self.keys, self.start, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.end, self.filled = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, the order in which they come, and how many each has in that order."""
+        # a word with a space before it is one piece of the pattern, so such may stand together
+        words = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+        alone = np.ones(len(pieces), bool)
+        alone[words] = False
+        rest = np.flatnonzero(alone).tolist()
+        ids, order, counts = [], [], []
+        parts = [words[i : i + AT_ONCE] for i in range(0, len(words), AT_ONCE)]
+        for part, found in zip(parts, self.encoder.encode_batch_fast(["".join([pieces[i] for i in part]) for part in parts], add_special_tokens=False), strict=True):
+            own = np.array(found.ids, np.uint32)
+            starts = np.flatnonzero(self.spaced[own])
+            if len(starts) != len(part):  # the library takes some letter for none
+                rest += part
+                continue
+            ids.append(own)
+            order.append(part)
+            counts.append(np.diff(np.append(starts, len(own))))
+        for found in self.encoder.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False):
+            ids.append(np.array(found.ids, np.uint32))
+            counts.append([len(ids[-1])])
+        return np.concatenate(ids), np.concatenate([*order, rest]).astype(np.int64), np.concatenate(counts).astype(np.int32)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new pieces and remember them: where each one's ids begin, and how many there are."""
+        ids, order, counts = self._encoded(pieces)
+        if self.end + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), np.uint32)])
+        self.pool[self.end : self.end + len(ids)] = ids
+        size, start = np.empty(len(pieces), np.int32), np.empty(len(pieces), np.int32)
+        size[order], start[order] = counts, self.end + np.cumsum(counts) - counts
+        self.end += len(ids)
+        self.filled += len(pieces)
+        a, b = _slots(hashes)
+        slot = np.where(self.keys[a] == 0, a, b)
+        self.keys[slot], self.start[slot], self.size[slot] = hashes, start, size
+        # of two new pieces for one slot the last is there, with its own figures
+        order = np.unique(slot[::-1], return_index=True)[1]
+        last = len(slot) - 1 - order
+        self.keys[slot[last]], self.start[slot[last]], self.size[slot[last]] = hashes[last], start[last], size[last]
+        return start, size
 
     def __call__(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that lie one after the other in buf, and the n + 1 offsets of each text's ids."""
@@ -170,21 +217,29 @@ class PieceTokenizer(WordTokenizer):
         if b"<|" not in raw:  # the file's own marks stay whole
             kind = _KIND[buf]
             cuts[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
-        s, e, doc = word_spans(buf, bounds, space=np.zeros(256, bool), cuts=cuts)
-        uniq, first, back = np.unique(span_hash(prefix_sums(buf), s, e), return_index=True, return_inverse=True)
-        at, known = self._find(uniq)
-        if not known.all():
-            if self._held() > STORE_BYTES:
-                self._forget()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            self._learn(uniq[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
-            at, _ = self._find(uniq)
-        slot = at[back]
-        each = self.size[slot].astype(np.int64)
-        ends = np.cumsum(each)
-        ids = self.pool[np.repeat(self.start[slot] - (ends - each), each) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(doc, np.arange(len(bounds)))]
+        cuts[bounds[:-1][bounds[:-1] < len(buf)]] = True
+        s = np.flatnonzero(cuts)
+        e = np.append(s[1:], len(buf))
+        h = span_hash(prefix_sums(buf), s, e)
+        if self.filled > SLOTS // 2:
+            self._forget()
+        a, b = _slots(h)
+        slot = np.where(self.keys[a] == h, a, b)
+        start, size = self.start[slot], self.size[slot]
+        new = np.flatnonzero(self.keys[slot] != h)
+        if len(new):
+            uniq, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            one = new[first]
+            learned = self._learn(uniq, [raw[x:y].decode("utf-8", "replace") for x, y in zip(s[one].tolist(), e[one].tolist(), strict=True)])
+            start[new], size[new] = learned[0][back], learned[1][back]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.pool[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(s, bounds)]
+
+
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.uint64(64 - SLOTS.bit_length() + 1)
+    return (hashes >> bits).astype(np.int64), (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -193,20 +248,6 @@ def pieces_of(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
 
 
-def _tokenize(path: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = pieces_of(path)
-        short = max(encode.encoder.get_vocab_size() - 1, end_id) < 1 << 16
-        for batch in batches:
-            buf, off = byte_column(batch.column(1))
-            for i, j in doc_chunks(off):
-                ids, at = encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                coded = [np.append(ids[at[d] : at[d + 1]], np.uint32(end_id)).astype("<u2" if short else "<u4").tobytes() for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([2 if short else 4] * (j - i), pa.int32()), pa.array(coded, pa.binary())], ["id", "width", "ids"])
-
-    return run
-
-
 # ---------------------------------------------------------------- files
 
 
@@ -217,8 +258,12 @@ def block_bytes(number: int, before: int, parts: list[tuple[int | None, int, boo
     return head.tobytes() + listed.tobytes() + words.astype("<u8").tobytes()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, width, ids) in order to a file's blocks. A few blocks of ids are held at a time, however long a document is."""
+def _blocks(tokenizer: str, end_id: int):
+    return lambda batches: _file(pieces_of(tokenizer), end_id, batches)
+
+
+def _file(encode: PieceTokenizer, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) in order to a file's blocks. A few blocks of ids are held at a time besides a text's own."""
     number = TaskContext.get().partitionId()
     waiting: list[np.ndarray] = []
     parts: list[tuple[int | None, int, bool]] = []
@@ -247,29 +292,32 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["block"])
 
     for batch in batches:
-        for doc, width, coded in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            ids = np.frombuffer(coded.as_buffer(), "<u2" if width == 2 else "<u4")
-            for at in range(0, len(ids), BLOCK_IDS * BLOCKS_AT_ONCE):
-                some = ids[at : at + BLOCK_IDS * BLOCKS_AT_ONCE]
-                waiting.append(some.astype(np.uint64))
-                parts.append((doc, len(some), at > 0))
-                held += len(some)
-                if held >= BLOCK_IDS * BLOCKS_AT_ONCE:
-                    yield from flush(False)
+        docs = batch.column(0).to_pylist()
+        buf, off = byte_column(batch.column(1))
+        for i, j in doc_chunks(off):
+            ids, at = encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            closed = np.insert(ids.astype(np.uint64), at[1:], np.uint64(end_id))
+            waiting.append(closed)
+            parts += [(doc, n, False) for doc, n in zip(docs[i:j], (np.diff(at) + 1).tolist(), strict=True)]
+            held += len(closed)
+            if held >= BLOCK_IDS * BLOCKS_AT_ONCE:
+                yield from flush(False)
     yield from flush(True)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
     """Write the ids of all texts, each closed by end_id, as files in ascending order of the ids of the documents.
 
-    A null text is an empty one. Null ids come first; rows of one id are in order of a hash of their token ids, and rows equal
+    A null text is an empty one. Null ids come first; rows of one id are in order of a hash of their texts, and rows equal
     in both in any order, which shows nowhere. One id may have any share of the rows. An empty table gives no blocks.
+    Texts are dealt to files by ranges of (id, hash, row number), sorted there and tokenized once.
     """
-    coded = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_tokenize(tokenizer, end_id), "id long, width int, ids binary")
-    held = materialize(coded.withColumns({"h": F.xxhash64("ids"), "at": F.monotonically_increasing_id()}), "ids")
-    files = max(1, -(-(held.agg(F.sum(F.length("ids").cast("long"))).first()[0] or 0) // FILE_BYTES))
+    small_batches(docs.sparkSession)
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("at"))
+    files = max(1, -(-(docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0) // FILE_BYTES))
     key = ["id", "h", "at"]
-    blocks = held.repartitionByRange(files, *key).sortWithinPartitions(*key).select("id", "width", "ids").mapInArrow(_blocks, "block binary")
+    blocks = rows.repartitionByRange(files, *key).sortWithinPartitions(*key).select("id", "text").mapInArrow(_blocks(tokenizer, end_id), "block binary")
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", END).text(path)
 
 
