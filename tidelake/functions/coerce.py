@@ -37,13 +37,19 @@ def int32_overflow(x: Column) -> Column:
 
 
 def bytes_hex(x: Column) -> Column:
-    """Hex text of a binary cell: _binary'..' and X'..' literals, runs of \\xHH, bare hex of even length, or raw text."""
-    s = F.coalesce(F.nullif(F.regexp_extract(x, r"^_binary\s*'(.*)'$", 1), F.lit("")), x)
-    quoted = F.regexp_extract(s, r"^[xX]'((?:[0-9A-Fa-f]{2})*)'$", 1)
-    runs = F.regexp_extract(s, r"^((?:\\x[0-9A-Fa-f]{2})+)$", 1)
-    single = F.regexp_extract(s, r"^\\x((?:[0-9A-Fa-f]{2})+)$", 1)
-    bare = F.regexp_extract(s, r"^((?:[0-9A-Fa-f]{2})+)$", 1)
-    return F.lower(F.when(quoted != "", quoted).when(runs != "", F.regexp_replace(runs, r"\\x", "")).when(single != "", single).when(bare != "", bare).otherwise(F.hex(F.encode(s, "UTF-8"))))
+    """Hex text of a binary cell: _binary'..' and X'..' literals, runs of \\xHH, bare hex of even length, or raw text.
+    No pattern repeats a group, so cells may have any length."""
+    size = F.length(x)
+    binary = x.startswith("_binary") & x.endswith("'")
+    behind = F.ltrim(F.substr(x, F.lit(8), size))
+    s = F.when(binary & behind.startswith("'") & (F.length(behind) > 2), F.substr(behind, F.lit(2), F.length(behind) - 2)).otherwise(x)
+    is_hex = lambda t: (F.length(t) > 0) & (F.length(t) % 2 == 0) & t.rlike("^[0-9A-Fa-f]+$")
+    inner = F.when(F.lower(F.substring(s, 1, 2)) == "x'", F.when(s.endswith("'"), F.substr(s, F.lit(3), F.length(s) - 3)))
+    runs = F.replace(s, F.lit("\\x"), F.lit(""))
+    # as many marks as pairs: each pair has its own
+    whole = s.startswith("\\x") & (F.length(s) == 2 * F.length(runs)) & is_hex(runs) & (F.length(F.regexp_replace(s, r"\\x[0-9A-Fa-f]{2}", "")) == 0)
+    single = F.when(s.startswith("\\x"), F.substr(s, F.lit(3), F.length(s)))
+    return F.lower(F.when(is_hex(inner), inner).when(whole, runs).when(is_hex(single), single).when(is_hex(s), s).otherwise(F.hex(F.encode(s, "UTF-8"))))
 
 
 def utf8_text(x: Column) -> Column:

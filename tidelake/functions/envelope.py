@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 #: Bytes that a decoder may skip in front of an envelope.
 MOST_SKIPPED = 32
 ENGINES = ("mariadb", "mssql", "mongodb")
@@ -104,11 +106,15 @@ def unwrap_cloud_event(value: Column) -> Column:
 
 
 def sql_literal(x: Column) -> Column:
-    """(kind, text) of a textual SQL literal."""
+    """(kind, text) of a textual SQL literal. A quoted one is told by its two ends, so its length doesn't matter."""
     s = F.trim(x)
-    quoted = F.regexp_extract(s, r"^'((?:[^']|'')*)'$", 1)
-    kind = F.when(F.upper(s) == "NULL", "null").when(s.rlike("^[bB]'[01]'$"), "bool").when(s.rlike(r"^(_binary\s*'.*'|[xX]'[0-9A-Fa-f]*'|0[xX][0-9A-Fa-f]+)$"), "bytes").when(s.rlike(r"^'((?:[^']|'')*)'$"), "string").when(s.rlike("^-?[0-9]+$"), "int").when(s.rlike(r"^-?[0-9]*\.[0-9]+([eE][+-]?[0-9]+)?$"), "float").otherwise("raw")
-    text = F.when(kind == "null", F.lit(None)).when(kind == "bool", F.when(F.substring(s, 3, 1) == "1", "true").otherwise("false")).when(kind == "string", F.replace(quoted, F.lit("''"), F.lit("'"))).otherwise(s)
+    low = F.lower(F.substring(s, 1, 8))
+    is_bytes = low.startswith("_binary") | low.startswith("0x") | low.startswith("x'")
+    quoted = s.startswith("'") & s.endswith("'") & (F.length(s) >= 2)
+    short = F.when(F.length(s) <= 400, s)  # what is longer is no number
+    kind = F.when(F.upper(short) == "NULL", "null").when(short.rlike("^[bB]['\"][01]['\"]$"), "bool").when(is_bytes, "bytes").when(quoted, "string").when(short.rlike("^-?[0-9]+$"), "int").when(short.rlike(r"^-?[0-9]*\.[0-9]+([eE][+-]?[0-9]+)?$"), "float").otherwise("raw")
+    inner = F.replace(F.substr(s, F.lit(2), F.length(s) - 2), F.lit("''"), F.lit("'"))
+    text = F.when(kind == "null", F.lit(None)).when(kind == "bool", F.when(F.substring(s, 3, 1) == "1", "true").otherwise("false")).when(kind == "string", inner).otherwise(s)
     return F.struct(kind.alias("kind"), text.alias("text"))
 
 
@@ -202,21 +208,27 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, made).select(*kept, "_made.*")
 
 
-def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str = "mariadb", fill_nulls: bool = False) -> DataFrame:
+def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str = "mariadb", fill_nulls: bool = False, with_skipped: bool = False) -> DataFrame:
     """Bus messages (topic, part, pos, value and, if there is one, the bus timestamp `time`) to changes of lake tables.
 
     Returns topic, part, pos, op, engine, catalog_id (0 if not told), schema_name and table_name in the lake, gtid (LSN
     or resume token where the engine has these), event_id, ts_ms and row: the image as JSON, with what an update lacks
     from its before image and keys normalised. Names come from the envelope, from its source, or from the event id;
-    messages that are no envelope, or whose table stays unknown, are dropped. An event that came wrapped keeps its id.
+    messages without a value, that are no envelope, or whose table stays unknown, are dropped; with_skipped keeps them, and
+    a column `skipped` says `tombstone`, `no_envelope` or `no_table` (null for a change). An event that came wrapped
+    keeps its id.
     """
-    decoded = messages.where("value is not null").select("*", F.explode(F.filter(F.array(decode(F.col("value"))), lambda d: d.isNotNull())).alias("d"))
+    messages = messages if messages.isStreaming else spread(messages)
+    if with_skipped:
+        decoded = messages.select("*", F.explode(F.array(decode(F.col("value")))).alias("d"))
+    else:
+        decoded = messages.where("value is not null").select("*", F.explode(F.filter(F.array(decode(F.col("value"))), lambda d: d.isNotNull())).alias("d"))
     e = lambda path, kind="string": get(F.col("d.v"), path, kind)
     filled = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
     raw = lambda path: F.nullif(F.to_json(F.try_variant_get(F.col("d.v"), path, "variant")), F.lit("null"))
     source = lambda name: e(f"$.source.{name}")
     read = decoded.select(
-        "topic", "part", "pos", *(["time"] if "time" in messages.columns else []), "d",
+        "topic", "part", "pos", *(["time"] if "time" in messages.columns else []), "d", F.col("value").isNull().alias("empty"),
         op_normalize(e("$.op")).alias("op"), F.coalesce(e("$.db_engine"), source("db_engine"), F.lit(default_engine)).alias("engine"), F.coalesce(e("$.source_database"), source("database"), F.lit("")).alias("db"),
         F.coalesce(source("gtid"), e("$.gtid")).alias("gtid"), e("$.source_schema").alias("source_schema"), e("$.source_table").alias("source_table"), source("db").alias("source_db"), source("table").alias("source_t"), source("lsn").alias("lsn"),
         json_map(F.col("d.v"), "$.before").alias("before"),
@@ -225,7 +237,7 @@ def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str =
     own_schema, own_table, gtid = F.col("source_schema"), F.col("source_table"), F.col("gtid")
     token = F.when(mongo, raw("$.source.resume_token"))
     facts = read.select(
-        "topic", "part", "pos", "op", "engine", "db", "before", F.col("d.v").alias("v"), F.col("d.event_id").alias("wrapped_id"), F.coalesce(e("$.catalog_id", "long"), F.lit(0)).alias("catalog_id"),
+        "topic", "part", "pos", "op", "engine", "db", "before", "empty", F.col("d").isNull().alias("strange"), F.col("d.v").alias("v"), F.col("d.event_id").alias("wrapped_id"), F.coalesce(e("$.catalog_id", "long"), F.lit(0)).alias("catalog_id"),
         F.when(mssql, filled(own_schema, F.col("source_db"))).when(mongo, F.col("db")).otherwise(filled(own_schema, e("$.schema"), F.col("source_db"))).alias("s"),
         F.when(mssql, filled(own_table, F.col("source_t"))).when(mongo, filled(own_table, source("collection"))).otherwise(filled(own_table, e("$.table"), F.col("source_t"))).alias("t"),
         F.when(mssql, F.coalesce("lsn", gtid)).when(mongo, F.coalesce(token, gtid)).otherwise(gtid).alias("gtid"),
@@ -245,8 +257,16 @@ def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str =
     known = (F.col("s") != "") & (F.col("t") != "")
     named = facts.withColumn("event_id", F.coalesce("wrapped_id", built))
     named = computed(named, n=F.when(known, lake_name(F.col("engine"), F.col("db"), F.col("s"), F.col("t"))).otherwise(names_from_event_id(F.col("event_id"), F.col("engine"))))
-    out = named.select("topic", "part", "pos", "op", "engine", "catalog_id", F.col("n.lake_schema").alias("schema_name"), F.col("n.lake_table").alias("table_name"), "gtid", "event_id", "ts_ms", json_object(F.col("row")).alias("row"))
-    return out.where((F.col("schema_name") != "") & (F.col("table_name") != ""))
+    unknown = F.coalesce((F.col("n.lake_schema") == "") | (F.col("n.lake_table") == ""), F.lit(True))
+    skipped = F.when(F.col("empty"), "tombstone").when(F.col("strange"), "no_envelope").when(unknown, "no_table").alias("skipped")
+    out = named.select("topic", "part", "pos", "op", "engine", "catalog_id", F.col("n.lake_schema").alias("schema_name"), F.col("n.lake_table").alias("table_name"), "gtid", "event_id", "ts_ms", json_object(F.col("row")).alias("row"), *([skipped] if with_skipped else []))
+    return out if with_skipped else out.where((F.col("schema_name") != "") & (F.col("table_name") != ""))
+
+
+def skip_counts(parsed: DataFrame) -> DataFrame:
+    """Messages of each topic and partition that came, and how many were skipped for which reason; from parse(with_skipped=True)."""
+    n = lambda kind: F.count_if(F.coalesce(F.col("skipped") == kind, F.lit(False)))
+    return parsed.groupBy("topic", "part").agg(F.count("*").alias("seen"), n("tombstone").alias("tombstones"), n("no_envelope").alias("no_envelope"), n("no_table").alias("no_table"), F.count("skipped").alias("parse_skipped"))
 
 
 def object_id_json(x: Column) -> Column:

@@ -6,44 +6,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.envelope import sanitize
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, spread
 
 
-def nesting(doc: Column) -> Column:
-    """How many objects a VARIANT has inside each other at most."""
-    bare = F.regexp_replace(F.to_json(doc), r'"([^"\\\\]|\\\\.)*"', "")
-    braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
-    count = lambda acc, c: F.struct((acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(acc["most"], acc["now"] + F.when(c == "{", 1).otherwise(0)).alias("most"))
-    return F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), count, lambda acc: acc["most"])
+#: Stands in front of each key of a path.
+STEP = "\x01"
+#: Different paths up to which their names are broadcast.
+MOST_SENT = 100_000
 
 
-def flatten(docs: DataFrame, id_col: str, doc: str) -> DataFrame:
+#: Levels that every document is opened by; only what is open still asks how deep it can be.
+USUAL_DEPTH = 10
+LEAVES = "array<struct<path:string,value:string>>"
+
+
+def leaves(doc: Column) -> Column:
+    """Leaves of a VARIANT object: array of (path, value), null for what is no object. Arrays are leaves, as JSON.
+
+    A fold within the row: each step opens the objects that the step before found. A document that is deeper than usual
+    itself says how many steps there can be (by the braces of what is open), so it costs no other one anything. Of all
+    `_id` only one stays, as path `_id`: the outermost, else that of the first object that has one.
+    """
+    fields = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    is_object = lambda v: F.try_variant_get(v, "$", "struct<>").isNotNull()
+    is_id = lambda n: n["path"].endswith(STEP + "_id")
+    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.when(~F.is_variant_null(v), F.to_json(v)))
+    own_id = lambda v: F.coalesce(F.try_variant_get(v, "$['$oid']", "string"), F.try_variant_get(v, "$", "string"), F.to_json(v))
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # x is evaluated once in f
+    below = lambda path, v: F.transform(fields(v), lambda e: F.struct(F.concat(path, F.lit(STEP), e["key"]).alias("path"), e["value"].alias("v"), ((e["key"] != "_id") & is_object(e["value"])).alias("open")))
+
+    def step(acc: Column, _: Column) -> Column:
+        opened, closed = F.filter(acc["nodes"], lambda n: n["open"]), F.filter(acc["nodes"], lambda n: ~n["open"])
+        found = F.transform(closed, lambda n: F.struct(n["path"].alias("path"), F.when(is_id(n), own_id(n["v"])).otherwise(text(n["v"])).alias("value")))
+        more = F.struct(F.flatten(F.transform(opened, lambda n: below(n["path"], n["v"]))).alias("nodes"), F.concat(acc["done"], found).alias("done"))
+        return F.when(F.size(acc["nodes"]) > 0, more).otherwise(acc)
+
+    def one_id(done: Column) -> Column:
+        # a path's end sorts before its continuations, so an object's own id comes before those below it
+        ids = F.transform(F.filter(done, is_id), lambda n: F.struct(F.concat(n["path"].substr(F.lit(1), F.length(n["path"]) - 3), F.lit(STEP)).alias("at"), n["value"].alias("value")))
+        rest = F.filter(done, lambda n: ~is_id(n))
+        own = lambda f: F.array(F.struct(F.lit(STEP + "_id").alias("path"), f["value"].alias("value")))
+        return once(F.array_min(ids), lambda f: F.when(f.isNull(), rest).otherwise(F.concat(rest, own(f))))
+
+    def braces(nodes: Column) -> Column:
+        return F.aggregate(nodes, F.lit(1), lambda n, x: n + once(F.to_json(x["v"]), lambda t: F.length(t) - F.length(F.replace(t, F.lit("{"), F.lit("")))))
+
+    steps = lambda n, start, end: F.aggregate(F.sequence(F.lit(1), n), start, step, end)
+    start = F.struct(below(F.lit(""), doc).alias("nodes"), F.array().cast(LEAVES).alias("done"))
+    usual = steps(F.lit(USUAL_DEPTH), start, lambda acc: acc)
+    whole = once(usual, lambda acc: F.when(F.size(acc["nodes"]) == 0, acc["done"]).otherwise(steps(braces(acc["nodes"]), acc, lambda x: x["done"])))
+    return F.when(is_object(doc), once(whole, one_id))
+
+
+def leaf_name(path: Column) -> Column:
+    """A path's keys, joined by `_`, as a lake identifier; `_id` is `mongo_id`, and a first key without letter or digit is x."""
+    keys = F.split(F.substring(path, 2, 1 << 30), STEP)
+    first = F.when(F.get(keys, F.lit(0)).rlike("[A-Za-z0-9]"), F.get(keys, F.lit(0))).otherwise("x")
+    rest = F.slice(keys, F.lit(2), F.greatest(F.size(keys) - 1, F.lit(0)))
+    return F.when(path == STEP + "_id", "mongo_id").otherwise(sanitize(F.concat_ws("_", first, rest)))
+
+
+def flatten(docs: DataFrame, id_col: str, doc: str, name_col: str = "name", value_col: str = "value") -> DataFrame:
     """(id, name, value) of each leaf of a VARIANT column: names joined by `_`, arrays kept whole as JSON.
 
     `_id` becomes `mongo_id`, the text of its `$oid` if it has one; only the outermost counts. Objects are opened however
-    deep they lie, in one chain that carries leaves along; one row tells how long it must be. Of different paths that
-    come to one name, all but the first get a suffix from the path's hash, the same in every document. Empty objects
-    and documents that are no objects have no leaves.
+    deep they lie, and strings are never searched, so values may hold any characters and have any length. Of different
+    paths that come to one name, all but the first get a suffix from the path's hash, the same in every document. Empty objects
+    and documents that are no objects have no leaves. The id column may have any name; its rows keep their number of leaves
+    if they repeat.
     """
-    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
-    own_id = lambda v: F.coalesce(F.try_variant_get(v, "$['$oid']", "string"), F.try_variant_get(v, "$", "string"), F.to_json(v))
-    depth = docs.agg(F.max(nesting(F.col(doc)))).first()[0] or 0
-    rows = docs.where(is_object(F.col(doc))).select(F.col(id_col), F.lit("").alias("path"), F.lit("").alias("name"), F.lit(None).cast("string").alias("id"), F.try_variant_get(doc, "$._id", "variant").isNotNull().alias("named"), F.col(doc).alias("v"), F.lit(True).alias("open"))
-    for _ in range(depth):
-        opened = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.when(F.col("open"), F.col("v")).outer()))
-        new, top = F.col("key").isNotNull(), F.col("path") == ""
-        path = F.when(new, F.concat("path", F.lit("\x01"), "key")).otherwise(F.col("path"))
-        joined = F.when(top, F.col("key")).otherwise(F.concat("name", F.lit("_"), F.when(F.col("key") == "_id", "mongo_id").otherwise(F.col("key"))))
-        name = F.when(~new, F.col("name")).when(top & (F.col("key") == "_id"), "mongo_id").otherwise(sanitize(joined))
-        inner_id = new & (F.col("key") == "_id")
-        rows = opened.where(~(inner_id & ~top & F.col("named")) | ~new).select(id_col, path.alias("path"), name.alias("name"), F.when(inner_id, own_id(F.col("value"))).otherwise(F.col("id")).alias("id"), "named", F.when(new, F.col("value")).otherwise(F.col("v")).alias("v"), F.when(new, ~inner_id & is_object(F.col("value"))).otherwise(F.col("open")).alias("open"))
-    value = F.coalesce("id", F.try_variant_get("v", "$", "string"), F.when(~F.is_variant_null("v"), F.to_json("v")))
-    leaves = materialize(rows.where("not open").select(id_col, "path", "name", value.alias("value")), "leaves")  # what is open still is empty
+    rows = spread(docs.select(F.struct(F.col(id_col).alias("id")).alias("key"), F.col(doc).alias("doc"))).select("key", F.explode(leaves(F.col("doc"))).alias("leaf"))
+    held = materialize(rows.select("key", "leaf.path", "leaf.value"), "leaves")
     # as many rows as there are different paths
-    first = Window.partitionBy("name").orderBy("path")
-    paths = leaves.select("path", "name").distinct().withColumn("nth", F.row_number().over(first)).where("nth > 1")
-    other = paths.select("path", F.concat(F.substring("name", 1, 54), F.lit("_"), F.substring(F.md5(F.col("path").cast("binary")), 1, 8)).alias("other"))
-    return leaves.join(other, "path", "left").select(id_col, F.coalesce("other", "name").alias("name"), "value")
+    paths = materialize(held.select("path").distinct().withColumn("name", leaf_name(F.col("path"))), "paths")
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("path"))
+    other = F.concat(F.substring("name", 1, 54), F.lit("_"), F.substring(F.md5(F.col("path").cast("binary")), 1, 8))
+    names = paths.select("path", F.when(nth > 1, other).otherwise(F.col("name")).alias("name"))
+    if paths.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        names = F.broadcast(names)
+    return held.join(names, "path").select(F.col("key.id").alias(id_col), F.col("name").alias(name_col), F.col("value").alias(value_col))
 
 
 def merge_schema(known: DataFrame, batch: DataFrame) -> DataFrame:

@@ -153,10 +153,14 @@ def set_mode(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.withColumns({"active": F.coalesce(on, F.col("active")), "cdc_enabled": F.coalesce(on, F.col("cdc_enabled")), "scd2_enabled": F.when(r == "scd2_on", True).when(r == "scd2_off", False).otherwise(F.col("scd2_enabled")), "needs_full_load": F.when(r == "reload", True).otherwise(F.col("needs_full_load"))}).drop("request")
 
 
-def seed_positions(eligible: DataFrame, positions: DataFrame) -> DataFrame:
-    """Positions with one more for each eligible table that has none; of one table's name only the newest id stays."""
-    new = eligible.join(positions.select("catalog_id"), "catalog_id", "left_anti").select("catalog_id", "conn_id", F.lit("healthy").alias("status"))
-    return positions.select("catalog_id", "conn_id", "status").unionByName(new)
+def seed_positions(eligible: DataFrame, positions: DataFrame, name: tuple[str, ...] = ("conn_id", "source_schema", "source_table")) -> DataFrame:
+    """Positions with one more for each eligible table whose id has none. A table has one position: where its id has
+    changed, the new one takes the place of that of the older id; of several new ids the highest stays."""
+    columns = ["catalog_id", *name]
+    missing = eligible.select(*columns).join(positions.select("catalog_id"), "catalog_id", "left_anti")
+    new = missing.groupBy(*name).agg(F.max("catalog_id").alias("catalog_id")).select(*columns)
+    left = positions.select(*columns, "status").join(new.select(*name), list(name), "left_anti").select(*columns, "status")
+    return left.unionByName(new.withColumn("status", F.lit("healthy")))
 
 
 def pending_counts(catalog: DataFrame) -> DataFrame:

@@ -109,17 +109,45 @@ def merge_incremental(mirror: DataFrame, rows: DataFrame, keys: list[str]) -> Da
     return mirror.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
 
+def same_rows(want: Column, have: Column) -> Column:
+    """Whether a count is as expected: exactly up to ten million rows, then within 0.01 %; an unknown count (below 0) is."""
+    return (want < 0) | (have < 0) | (want == have) | ((want > 10_000_000) & (F.abs(want - have) <= want * 0.0001))
+
+
 def verify(counts: DataFrame) -> DataFrame:
-    """Row-count verdict of loads: source_rows, lake_rows and baseline_rows (null without one) to ok, mode and diff.
+    """Row-count verdict of loads: catalog_id, mode, ok, message, diff and pending_gap (changes still to come).
 
-    Exact up to ten million rows, then within 0.01 %; a lake more than 5 % above its source was loaded twice.
+    counts: source_rows (now, -1 if unknown), lake_rows, baseline_rows (when the load began, null without one), rows_loaded
+    (0 if not told) and reconciles (whether changes of the load's time reach the lake). A load that reconciles is held
+    against its baseline from below and against the live source, else the baseline, from above: a lake more than 5 % larger
+    was loaded twice. Another load must equal its baseline, or without one the source, by what it loaded, and what it loaded
+    must be in the lake. A lake with more rows than were loaded was resumed.
     """
-    mode = F.when(F.col("baseline_rows").isNotNull(), "baseline_snapshot").otherwise("live_source")
-    want = F.coalesce("baseline_rows", "source_rows")
-    diff = F.col("lake_rows") - want
-    room = F.when(want <= 10_000_000, 0).otherwise(F.floor(want * 0.0001))
-    twice = F.col("lake_rows") > want * 1.05
-    return counts.select("catalog_id", mode.alias("mode"), diff.alias("diff"), (F.abs(diff) <= room).alias("ok"), F.when(twice, "duplicate_load").when(F.abs(diff) > room, "row_mismatch").otherwise("ok").alias("message"))
+    live, lake, base = F.coalesce("source_rows", F.lit(-1)), F.coalesce("lake_rows", F.lit(-1)), F.col("baseline_rows")
+    loaded = F.coalesce("rows_loaded", F.lit(0))
+    based, streaming = base.isNotNull(), base.isNotNull() & F.coalesce("reconciles", F.lit(False))
+    told = loaded > 0
+    resumed = told & (lake > loaded)
+    above = lambda want: (want > 0) & (lake >= 0) & (lake > want) & ((lake - want) / want > 0.05)
+    known = (base >= 0) & (lake >= 0)
+    copied = F.when(told, loaded).otherwise(lake)
+    message = (
+        F.when(streaming, F.when(~known, "ok").when((lake < base) & ~same_rows(base, lake), "incomplete_copy").when((live >= 0) & above(live), "duplicate_load").when((live < 0) & above(base), "duplicate_load").otherwise("ok"))
+        .when(based, F.when(same_rows(base, lake), "ok").otherwise("row_mismatch"))
+        .when(~same_rows(live, copied), "row_mismatch")
+        .when(told & (lake >= 0) & ~same_rows(lake, loaded), "lake_mismatch")
+        .otherwise("ok")
+    )
+    ok = message == "ok"
+    mode = F.when(streaming, F.when(ok & known & resumed, "baseline_snapshot_streaming_resumed").otherwise("baseline_snapshot_streaming")).when(based, F.when(ok & resumed, "baseline_snapshot_resumed").otherwise("baseline_snapshot")).otherwise("live_source")
+    diff = (
+        F.when(streaming, F.when(~known, 0).when(message == "duplicate_load", lake - F.when(live >= 0, live).otherwise(base)).otherwise(base - lake))
+        .when(based, base - lake)
+        .when(message == "lake_mismatch", lake - loaded)
+        .otherwise(live - copied)
+    )
+    gap = F.when(streaming & ok & known & (live >= 0), live - lake)
+    return counts.select("catalog_id", mode.alias("mode"), ok.alias("ok"), message.alias("message"), diff.cast("long").alias("diff"), gap.cast("long").alias("pending_gap"))
 
 
 def baseline(checkpoints: DataFrame) -> DataFrame:

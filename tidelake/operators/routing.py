@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import warnings
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +38,22 @@ def route(base: Column, rules: list[dict], fields: dict[str, Column]) -> Column:
 
 
 def _usable(patterns: list[str]) -> list[str]:
+    """Patterns that the engine that will run them accepts; for each of the others there is a warning."""
+    jvm = SparkContext._active_spark_context._jvm
     out = []
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error:
+            jvm.java.util.regex.Pattern.compile(f"(?i)^(?:{p})$")
+        except IllegalArgumentException as e:
+            warnings.warn(f"table pattern {p!r} is left out: {str(e).splitlines()[0]}", stacklevel=3)
             continue
         out.append(p)
     return out
 
 
 def table_wanted(schema: Column, table: Column, include: list[str], exclude: list[str]) -> Column:
-    """Whether a table passes lists of patterns that match its name or `schema.table` whole; exclude wins."""
+    """Whether a table passes lists of patterns that match its name or `schema.table` whole; exclude wins.
+    A pattern that is broken matches nothing, and is reported by a warning, as a broken exclude lets tables through."""
     full = F.concat(schema, F.lit("."), table)
     hit = lambda ps: reduce(lambda a, b: a | b, [x.rlike(f"(?i)^(?:{p})$") for p in ps for x in (full, table)], F.lit(False))
     inc, exc = _usable(include), _usable(exclude)

@@ -55,6 +55,11 @@ def _(t):
     return v.parse(t.wire.select("topic", "part", "pos", "time", "value"), keys=("id",))
 
 
+@query("env_skip_counts", "SELECT topic, part, count(*) AS seen, count(*) FILTER (pos % 12 = 0) AS tombstones, count(*) FILTER (pos % 12 = 1) AS no_envelope, count(*) FILTER (pos % 12 = 8) AS no_table, count(*) FILTER (pos % 12 IN (0, 1, 8)) AS parse_skipped FROM wire GROUP BY 1, 2")
+def _(t):
+    return v.skip_counts(v.parse(t.wire.select("topic", "part", "pos", "time", "value"), keys=("id",), with_skipped=True))
+
+
 @query("env_probe", "SELECT pos, pos % 11 <> 0 AND pos % 13 <> 0 AS decoded FROM changes")
 def _(t):
     return t.messages.select("pos", v.probe(F.col("value")).isNotNull().alias("decoded"))
@@ -144,11 +149,16 @@ def _(t):
     return wrapped.select("pos", "value", v.get(v.unwrap_cloud_event(F.col("value")), "$.op").alias("op"))
 
 
-@query("env_sql_literal", "SELECT e, CASE e % 7 WHEN 0 THEN 'null' WHEN 1 THEN 'bool' WHEN 2 THEN 'bytes' WHEN 3 THEN 'string' WHEN 4 THEN 'int' WHEN 5 THEN 'float' ELSE 'raw' END AS kind, CASE e % 7 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN '0x1F' WHEN 3 THEN 'it''s ' || t WHEN 4 THEN CAST(u AS STRING) WHEN 5 THEN '-1.5' ELSE t END AS text FROM ev")
+#: A quoted literal in fifty is as long as a large cell.
+LONG = "CASE WHEN e % 50 = 3 THEN repeat('it''s } ', 20000) ELSE 'it''s ' END"
+
+
+@query("env_sql_literal", f"SELECT e, CASE e % 9 WHEN 0 THEN 'null' WHEN 1 THEN 'bool' WHEN 2 THEN 'bytes' WHEN 3 THEN 'string' WHEN 4 THEN 'int' WHEN 5 THEN 'float' WHEN 6 THEN 'string' ELSE 'raw' END AS kind, md5(CASE e % 9 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN '0x1F' WHEN 3 THEN {LONG} || t WHEN 4 THEN CAST(u AS STRING) WHEN 5 THEN '-1.5' WHEN 6 THEN '' WHEN 7 THEN chr(39) ELSE t END) AS text_md5 FROM ev")
 def _(t):
-    e, u = F.col("e") % 7, F.col("u").cast("string")
-    raw = F.when(e == 0, "null").when(e == 1, "b'1'").when(e == 2, "0x1F").when(e == 3, F.concat(F.lit("'it''s "), F.col("t"), F.lit("'"))).when(e == 4, u).when(e == 5, "-1.5").otherwise(F.col("t"))
-    return t.ev.select("e", v.sql_literal(raw).alias("x")).select("e", "x.*")
+    e, u = F.col("e") % 9, F.col("u").cast("string")
+    long = F.when(F.col("e") % 50 == 3, F.repeat(F.lit("it''s } "), 20000)).otherwise("it''s ")
+    raw = F.when(e == 0, "null").when(e == 1, "b'1'").when(e == 2, "0x1F").when(e == 3, F.concat(F.lit("'"), long, F.col("t"), F.lit("'"))).when(e == 4, u).when(e == 5, "-1.5").when(e == 6, "''").when(e == 7, "'").otherwise(F.col("t"))
+    return t.ev.select("e", v.sql_literal(raw).alias("x")).select("e", "x.kind", F.md5(F.col("x.text").cast("binary")).alias("text_md5"))
 
 
 @query("env_tx_id", "SELECT e, e AS id FROM ev")

@@ -138,9 +138,14 @@ def _(t):
     return h.set_mode(t.catalog, req).select("catalog_id", "active", "cdc_enabled", "scd2_enabled", "needs_full_load")
 
 
-@query("position_seed", "SELECT catalog_id, conn_id, status FROM apply_position UNION ALL SELECT catalog_id, conn_id, 'healthy' FROM catalog WHERE active AND catalog_id NOT IN (SELECT catalog_id FROM apply_position)")
+derive("named_position", "SELECT p.catalog_id, p.conn_id, c.source_schema, c.source_table, p.status FROM apply_position p JOIN catalog c ON p.catalog_id = c.catalog_id")
+#: Tables made anew under their old name have another id.
+derive("eligible", "SELECT CASE WHEN catalog_id % 10 = 3 THEN catalog_id + 1000000 ELSE catalog_id END AS catalog_id, conn_id, source_schema, source_table FROM catalog WHERE active AND has_pk UNION ALL SELECT catalog_id + 2000000, conn_id, source_schema, source_table FROM catalog WHERE active AND has_pk AND catalog_id % 20 = 3")
+
+
+@query("position_seed", "SELECT p.* FROM named_position p WHERE NOT EXISTS (SELECT 1 FROM eligible e WHERE e.conn_id = p.conn_id AND e.source_schema = p.source_schema AND e.source_table = p.source_table AND e.catalog_id NOT IN (SELECT catalog_id FROM named_position)) UNION ALL SELECT max(catalog_id), conn_id, source_schema, source_table, 'healthy' FROM eligible WHERE catalog_id NOT IN (SELECT catalog_id FROM named_position) GROUP BY 2, 3, 4")
 def _(t):
-    return h.seed_positions(t.catalog.where("active"), t.apply_position)
+    return h.seed_positions(t.eligible, t.named_position)
 
 
 @query("pending_counts", "SELECT conn_id, count(*) FILTER (needs_full_load) AS waiting_load, count(*) FILTER (NOT needs_full_load AND NOT cdc_enabled) AS waiting_onboard FROM catalog WHERE active GROUP BY 1")
@@ -216,11 +221,30 @@ def _(t):
     return ld.merge_incremental(t.before_rows, t.after_rows, ["k"])
 
 
-@query("load_verify", "SELECT catalog_id, mode, lake_rows - want AS diff, abs(lake_rows - want) <= CASE WHEN want <= 10000000 THEN 0 ELSE floor(want * 0.0001) END AS ok, CASE WHEN lake_rows > want * 1.05 THEN 'duplicate_load' WHEN abs(lake_rows - want) > CASE WHEN want <= 10000000 THEN 0 ELSE floor(want * 0.0001) END THEN 'row_mismatch' ELSE 'ok' END AS message FROM (SELECT catalog_id, CASE WHEN worker_id = 9 THEN 'live_source' ELSE 'baseline_snapshot' END AS mode, CASE WHEN worker_id = 9 THEN source_rows ELSE source_rows * 200 END AS want, CASE WHEN catalog_id % 5 = 0 THEN source_rows * 210 + 900 WHEN worker_id = 9 THEN source_rows ELSE source_rows * 200 + worker_id * 400 END AS lake_rows FROM checkpoints)")
-def _(t):
-    live = F.col("worker_id") == 9
-    rows = t.checkpoints.select("catalog_id", "source_rows", F.when(~live, F.col("source_rows") * 200).alias("baseline_rows"), F.when(F.col("catalog_id") % 5 == 0, F.col("source_rows") * 210 + 900).when(live, F.col("source_rows")).otherwise(F.col("source_rows") * 200 + F.col("worker_id") * 400).alias("lake_rows"))
-    return ld.verify(rows)
+#: Loads of all kinds: with and without a baseline, taking in changes or not, short, doubled, resumed, at sizes where the
+#: tolerance counts, and with counts that nobody knows.
+derive("loads", """SELECT catalog_id * 10 + worker_id AS catalog_id, CASE WHEN catalog_id % 9 = 0 THEN -1 ELSE want END AS source_rows,
+  CASE catalog_id % 7 WHEN 0 THEN want * 2 + 900 WHEN 1 THEN want - 1 WHEN 2 THEN want + CAST(floor(want / 50000) AS BIGINT) WHEN 3 THEN want + CAST(floor(want / 5000) AS BIGINT) WHEN 4 THEN -1 WHEN 5 THEN want - CAST(floor(want / 3) AS BIGINT) ELSE want END AS lake_rows,
+  CASE WHEN catalog_id % 2 = 0 THEN CASE WHEN catalog_id % 26 = 0 THEN -1 ELSE want - catalog_id % 3 END END AS baseline_rows,
+  CASE catalog_id % 5 WHEN 0 THEN 0 WHEN 1 THEN want - CAST(floor(want / 4) AS BIGINT) ELSE want END AS rows_loaded, catalog_id % 4 = 0 AS reconciles
+FROM (SELECT catalog_id, worker_id, CASE WHEN catalog_id % 3 = 0 THEN source_rows * 1000000 ELSE source_rows END AS want FROM checkpoints) w""")
+_VERIFIED = """SELECT catalog_id, CASE kind WHEN 's' THEN CASE WHEN m = 'ok' AND rows_loaded > 0 AND lake_rows > rows_loaded THEN 'baseline_snapshot_streaming_resumed' ELSE 'baseline_snapshot_streaming' END
+    WHEN 'b' THEN CASE WHEN m = 'ok' AND rows_loaded > 0 AND lake_rows > rows_loaded THEN 'baseline_snapshot_resumed' ELSE 'baseline_snapshot' END ELSE 'live_source' END AS mode,
+  m IN ('ok', 'unknown') AS ok, CASE m WHEN 'unknown' THEN 'ok' ELSE m END AS message,
+  CASE WHEN m = 'unknown' THEN 0 WHEN m = 'duplicate_load' THEN lake_rows - CASE WHEN source_rows >= 0 THEN source_rows ELSE baseline_rows END WHEN kind <> 'l' THEN baseline_rows - lake_rows WHEN m = 'lake_mismatch' THEN lake_rows - rows_loaded ELSE source_rows - copied END AS diff,
+  CASE WHEN kind = 's' AND m = 'ok' AND source_rows >= 0 THEN source_rows - lake_rows END AS pending_gap
+FROM (SELECT *, CASE WHEN kind = 's' THEN CASE WHEN baseline_rows < 0 OR lake_rows < 0 THEN 'unknown'
+      WHEN lake_rows < baseline_rows AND (baseline_rows <= 10000000 OR baseline_rows - lake_rows > baseline_rows * 0.0001) THEN 'incomplete_copy'
+      WHEN source_rows > 0 AND lake_rows - source_rows > source_rows * 0.05 THEN 'duplicate_load' WHEN source_rows < 0 AND baseline_rows > 0 AND lake_rows - baseline_rows > baseline_rows * 0.05 THEN 'duplicate_load' ELSE 'ok' END
+    WHEN kind = 'b' THEN CASE WHEN baseline_rows < 0 OR lake_rows < 0 OR baseline_rows = lake_rows OR (baseline_rows > 10000000 AND abs(baseline_rows - lake_rows) <= baseline_rows * 0.0001) THEN 'ok' ELSE 'row_mismatch' END
+    WHEN NOT (source_rows < 0 OR copied < 0 OR source_rows = copied OR (source_rows > 10000000 AND abs(source_rows - copied) <= source_rows * 0.0001)) THEN 'row_mismatch'
+    WHEN rows_loaded > 0 AND lake_rows >= 0 AND NOT (lake_rows = rows_loaded OR (lake_rows > 10000000 AND abs(lake_rows - rows_loaded) <= lake_rows * 0.0001)) THEN 'lake_mismatch' ELSE 'ok' END AS m
+  FROM (SELECT *, CASE WHEN baseline_rows IS NOT NULL AND reconciles THEN 's' WHEN baseline_rows IS NOT NULL THEN 'b' ELSE 'l' END AS kind, CASE WHEN rows_loaded > 0 THEN rows_loaded ELSE lake_rows END AS copied FROM loads) f) g"""
+
+
+@query("load_verify", _VERIFIED)
+def _(t):
+    return ld.verify(t.loads)
 
 
 @query("load_baseline_pick", "SELECT catalog_id, arg_min(source_rows, (CASE phase WHEN 'truncate' THEN 0 WHEN 'copy' THEN 1 ELSE 2 END) * 100 + worker_id) AS baseline_rows FROM checkpoints GROUP BY 1")

@@ -120,12 +120,17 @@ def _(t):
 
 # ---------------------------------------------------------------- documents
 
-derive("docs_json", "SELECT e, '{\"_id\":' || CASE WHEN e % 3 = 0 THEN '{\"$oid\":\"o' || CAST(e AS STRING) || '\"}' WHEN e % 3 = 1 THEN '\"s' || CAST(e AS STRING) || '\"' ELSE CAST(e AS STRING) END || ',\"User Name\":{\"Id\":' || CAST(u AS STRING) || ',\"_id\":7,\"x\":{\"t\":\"' || t || '\"}},\"tags\":[1,{\"a\":{}}],\"A-b\":1,\"A_b\":2,\"none\":{},\"nil\":null,\"1x\":\"}{\",\"a\":{\"b\":{\"c\":{\"d\":{\"e\":{\"f\":{\"g\":' || CAST(u AS STRING) || '}}}}}}}}' AS text FROM ev")
+_DEEP = "repeat('{\"k\":', 30) || CAST(u AS STRING) || repeat('}', 30)"
+_LONG = "repeat('a } ' || chr(92) || '\" { ', 100000)"
+_ESCAPED = "chr(92) || '\"}}' || chr(92)"
+derive("docs_json", "SELECT e, '{\"_id\":' || CASE WHEN e % 3 = 0 THEN '{\"$oid\":\"o' || CAST(e AS STRING) || '\"}' WHEN e % 3 = 1 THEN '\"s' || CAST(e AS STRING) || '\"' ELSE CAST(e AS STRING) END || ',\"User Name\":{\"Id\":' || CAST(u AS STRING) || ',\"_id\":7,\"x\":{\"t\":\"' || t || '\"}},\"tags\":[1,{\"a\":{}}],\"A-b\":1,\"A_b\":2,\"none\":{},\"nil\":null,\"1x\":\"}{\",\"q\":\"x' || " + _ESCAPED + " || '\"y\"' || CASE WHEN e % 5000 = 7 THEN ',\"long\":\"' || " + _LONG + " || '\"' ELSE '' END || CASE WHEN e % 500 = 9 THEN ',\"deep\":' || " + _DEEP + " ELSE '' END || ',\"a\":{\"b\":{\"c\":{\"d\":{\"e\":{\"f\":{\"g\":' || CAST(u AS STRING) || '}}}}}}}}' AS text FROM ev")
 
 
-@query("doc_flatten", "SELECT e, 'mongo_id' AS name, CASE e % 3 WHEN 0 THEN 'o' WHEN 1 THEN 's' ELSE '' END || e AS value FROM ev UNION ALL SELECT e, 'user_name_id', CAST(u AS STRING) FROM ev UNION ALL SELECT e, 'user_name_x_t', t FROM ev UNION ALL SELECT e, 'tags', '[1,{\"a\":{}}]' FROM ev UNION ALL SELECT e, 'a_b', '1' FROM ev UNION ALL SELECT e, 'a_b_' || substr(md5(chr(1) || 'A_b'), 1, 8), '2' FROM ev UNION ALL SELECT e, 'nil', NULL FROM ev UNION ALL SELECT e, 't_1x', '}{' FROM ev UNION ALL SELECT e, 'a_b_c_d_e_f_g', CAST(u AS STRING) FROM ev")
+@query("doc_flatten", "SELECT e AS id, 'mongo_id' AS name, CASE e % 3 WHEN 0 THEN 'o' WHEN 1 THEN 's' ELSE '' END || e AS value FROM ev UNION ALL SELECT e, 'user_name_id', CAST(u AS STRING) FROM ev UNION ALL SELECT e, 'user_name_x_t', t FROM ev UNION ALL SELECT e, 'tags', '[1,{\"a\":{}}]' FROM ev UNION ALL SELECT e, 'a_b', '1' FROM ev UNION ALL SELECT e, 'a_b_' || substr(md5(chr(1) || 'A_b'), 1, 8), '2' FROM ev UNION ALL SELECT e, 'nil', NULL FROM ev UNION ALL SELECT e, 't_1x', '}{' FROM ev UNION ALL SELECT e, 'a_b_c_d_e_f_g', CAST(u AS STRING) FROM ev UNION ALL SELECT e, 'q', 'x\"}}\"y' FROM ev UNION ALL SELECT e, 'long', md5(repeat('a } \" { ', 100000)) FROM ev WHERE e % 5000 = 7 UNION ALL SELECT e, substr('deep' || repeat('_k', 30), 1, 63), CAST(u AS STRING) FROM ev WHERE e % 500 = 9")
 def _(t):
-    return dc.flatten(t.docs_json.select("e", F.parse_json("text").alias("doc")), "e", "doc")
+    """With quotes and braces in texts, texts of a megabyte, objects 30 deep, and an id column named id."""
+    leaves = dc.flatten(t.docs_json.select(F.col("e").alias("id"), F.parse_json("text").alias("doc")), "id", "doc")
+    return leaves.withColumn("value", F.when(F.length("value") > 1000, F.md5(F.col("value").cast("binary"))).otherwise(F.col("value")))
 
 
 @query("doc_pivot", "SELECT e, u AS user_id, t AS kind, CAST(NULL AS BIGINT) AS gone FROM ev")
@@ -180,10 +185,12 @@ def _(t):
     return table.read()
 
 
-@query("stream_dedup", "SELECT catalog_id, event_id FROM changes")
+@query("stream_dedup", "SELECT catalog_id, CASE WHEN pos % 4 = 1 THEN 'ev:' || (pos - 1) ELSE event_id END AS event_id, pos FROM changes")
 def _(t):
-    twice = t.changes.unionByName(t.batch).withColumn("at", F.timestamp_millis("ts_ms"))
-    return memory(t, jobs.stream_dedup(log_stream(t, twice), "at", "60 days"), "append").select("catalog_id", "event_id")
+    """Every fourth change shares the id of the one before it; what is sent again is gone."""
+    shared = F.when(F.col("pos") % 4 == 1, F.concat(F.lit("ev:"), (F.col("pos") - 1).cast("string"))).otherwise(F.col("event_id"))
+    twice = t.changes.unionByName(t.changes.where("pos % 3 = 0").withColumn("topic", F.lit("again"))).withColumn("event_id", shared).withColumn("at", F.timestamp_millis("ts_ms"))
+    return memory(t, jobs.stream_dedup(log_stream(t, twice), "at", "60 days"), "append").select("catalog_id", "event_id", "pos")
 
 
 @query("stream_events_tumbling", "SELECT ts_ms // 3600000 * 3600000 AS start_ms, catalog_id, count(*) AS events FROM changes GROUP BY 1, 2")

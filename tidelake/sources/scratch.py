@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Estimated bytes up to which moving rows costs nothing beside work on them: one split of a scan.
+SMALL_BYTES = 128 << 20
+
+
 @functools.cache
 def _own_dir(app: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="tidelake-")
@@ -37,3 +41,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small that a scan makes one task of it. For costly work on few rows."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
