@@ -1,84 +1,281 @@
 """Tables of a lake kept as Parquet in buckets of their key.
 
-A merge writes the buckets that a batch touches anew, into a folder of their own, and then a manifest that names each
-bucket's folder. Readers go by the newest manifest, so a batch that fails half-way leaves no trace, and one that is
-replayed finds its manifest and does nothing. Manifests are read and written by Spark, so any store will do.
+A bucket is a run of parts: a base of whole rows and, behind it, deltas of what batches changed (rows, and keys that were
+deleted), each with the batch's version. A merge writes a delta of the batch alone; readers take the newest row of a
+key. In turn, an eighth of the buckets at each merge, parts are folded: always the shortest run of last parts that is no
+less than half of the part before it, so a bucket has few parts, each row is written anew a logarithmic number of times,
+and what a batch writes does not grow with the table.
+
+Buckets grow by linear hashing: once the table has more rows than its buckets should hold, the next bucket in line is
+split in two, and no other bucket moves. The schema may grow too: a column that is new or wider is written into the
+manifest, and older parts are read under it.
+
+A version's manifest names the parts of each bucket. It is the last thing that a merge writes, so a batch that fails half-way
+leaves no trace, and one that is replayed finds its manifest and does nothing. Manifests are read and written by Spark,
+so any store will do; only the newest few are kept.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import apply
 
-
-#: Rows of the first batch for each bucket, and the fewest buckets.
+#: Rows of a bucket, and the fewest buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 16
-MANIFEST = "version long, bucket int, folder long, buckets int"
+#: Merges from one turn of a bucket to the next, and manifests that are kept.
+TURN, KEPT = 8, 10
+MANIFEST = "first int, buckets int, bucket int, nth int, folder string, rows long, fields string"
+OWN = [T.StructField("_deleted", T.BooleanType()), T.StructField("_version", T.LongType())]
+#: Types that older parts may be read as.
+WIDER = {"tinyint": ("smallint", "int", "bigint", "double"), "smallint": ("int", "bigint", "double"), "int": ("bigint", "double"), "float": ("double",), "date": ("timestamp_ntz",)}
+
+
+@dataclass
+class State:
+    """What a manifest says. parts: for each bucket (folder, rows) in order; first: the number of buckets at the beginning."""
+
+    version: int
+    schema: T.StructType
+    first: int = 0
+    buckets: int = 0
+    parts: dict[int, list[tuple[str, int]]] = field(default_factory=dict)
+
+    def rows(self) -> int:
+        return sum(n for parts in self.parts.values() for _, n in parts)
+
+
+def is_base(folder: str) -> bool:
+    return "/base/" in folder
 
 
 class LakeTable:
-    """keys: key columns; schema: all columns; buckets: how many, else by the size of the first batch."""
+    """keys: key columns; schema: all columns at the beginning; buckets: how many at first, else by the size of the first batch.
+
+    Columns whose names begin with `_deleted`, `_version` or `_bucket` are the table's own.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int | None = None):
-        self.spark, self.path, self.keys, self.schema, self.wanted = spark, path.rstrip("/"), keys, schema, buckets
+        self.spark, self.path, self.keys, self.wanted = spark, path.rstrip("/"), keys, buckets
+        self.initial = T._parse_datatype_string(schema)
 
-    def bucket(self, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
+    # ------------------------------------------------------------ files
 
-    def exists(self, path: str) -> bool:
+    def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def manifest(self) -> tuple[int, int, dict[int, int]]:
-        """(version, number of buckets, folder of each bucket) of the newest manifest; as many rows as buckets."""
+    def exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    # ------------------------------------------------------------ manifests
+
+    def state(self) -> State:
+        """The newest whole manifest; as many rows as there are parts."""
         root = f"{self.path}/manifests"
-        if not self.exists(root):
-            return -1, 0, {}
-        rows = self.spark.read.schema(MANIFEST).parquet(root)
-        last = rows.agg(F.max("version")).first()[0]
-        if last is None:
-            return -1, 0, {}
-        found = rows.where(F.col("version") == last).collect()
-        return last, found[0]["buckets"], {r["bucket"]: r["folder"] for r in found}
+        for name in reversed(self._names(root)):
+            if self.exists(f"{root}/{name}/_SUCCESS"):
+                rows = sorted(self.spark.read.schema(MANIFEST).parquet(f"{root}/{name}").collect(), key=lambda r: (r["bucket"], r["nth"]))
+                found = State(int(name[1:]), T.StructType.fromJson(json.loads(rows[0]["fields"])), rows[0]["first"], rows[0]["buckets"])
+                for r in rows:
+                    if r["folder"] is not None:
+                        found.parts.setdefault(r["bucket"], []).append((r["folder"], r["rows"]))
+                return found
+        return State(-1, self.initial)
+
+    def manifest(self) -> tuple[int, int, dict[int, int]]:
+        """(version, number of buckets, the version that wrote each bucket last)."""
+        s = self.state()
+        return s.version, s.buckets, {b: int(parts[-1][0].split("/")[0][1:]) for b, parts in s.parts.items() if parts}
 
     def version(self) -> int:
-        return self.manifest()[0]
+        return self.state().version
 
-    def _folders(self, held: dict[int, int], only: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/data/v{v}/_bucket={b}" for b, v in held.items() if v >= 0 and (only is None or b in only)]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+    def _publish(self, s: State) -> None:
+        fields = json.dumps(s.schema.jsonValue())
+        rows = [(s.first, s.buckets, b, i, folder, n, fields if (b, i) == min((x, 0) for x in s.parts if s.parts[x]) else None) for b, parts in s.parts.items() for i, (folder, n) in enumerate(parts)]
+        rows = rows or [(s.first, s.buckets, 0, 0, None, 0, fields)]
+        root = f"{self.path}/manifests"
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/v{s.version:012d}")
+        for name in self._names(root)[:-KEPT]:
+            fs, p = self._fs(f"{root}/{name}")
+            fs.delete(p, True)
 
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """The table, or some of its buckets."""
-        return self._folders(self.manifest()[2], only)
+    def vacuum(self) -> int:
+        """Delete data that the kept manifests don't name: what was folded, and what failed batches left. How many folders went."""
+        root, named, gone = f"{self.path}/manifests", set(), 0
+        for name in self._names(root):
+            named |= {r["folder"].split("/")[0] for r in self.spark.read.schema(MANIFEST).parquet(f"{root}/{name}").where("folder is not null").select("folder").distinct().collect()}
+        for name in self._names(f"{self.path}/data"):
+            if name not in named and int(name[1:]) <= self.version():
+                fs, p = self._fs(f"{self.path}/data/{name}")
+                gone += bool(fs.delete(p, True))
+        return gone
+
+    # ------------------------------------------------------------ buckets
+
+    def bucket(self, buckets: int, first: int | None = None) -> Column:
+        """The bucket of a row. `first` buckets have been doubled as often as went, and those before the split line once more."""
+        level = first or buckets
+        while level * 2 <= buckets:
+            level *= 2
+        h = F.xxhash64(*self.keys)
+        low = F.pmod(h, F.lit(level))
+        return F.when(low < buckets - level, F.pmod(h, F.lit(2 * level))).otherwise(low).cast("int")
+
+    def _line(self, s: State) -> int:
+        """The bucket that is split next."""
+        level = s.first
+        while level * 2 <= s.buckets:
+            level *= 2
+        return s.buckets - level
 
     def touched(self, rows: DataFrame) -> tuple[int, list[int]]:
         """(number of buckets, those that the rows' keys fall into)."""
-        _, buckets, _ = self.manifest()
-        if not buckets:
-            buckets = self.wanted or max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
-        return buckets, [r[0] for r in rows.select(self.bucket(buckets).alias("b")).distinct().collect()]  # at most `buckets` rows
+        s = self.state()
+        buckets, first = (s.buckets, s.first) if s.buckets else [self._first(rows)] * 2
+        return buckets, [r[0] for r in rows.select(self.bucket(buckets, first).alias("b")).distinct().collect()]  # at most `buckets` rows
+
+    def _first(self, rows: DataFrame) -> int:
+        return self.wanted or max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
+
+    # ------------------------------------------------------------ reading
+
+    def _versions(self, s: State, folders: list[str]) -> DataFrame:
+        """Rows of parts with _deleted and _version; those of a base are older than any delta's."""
+        root = f"{self.path}/data"
+        bases, deltas = [f"{root}/{f}" for f in folders if is_base(f)], [f"{root}/{f}" for f in folders if not is_base(f)]
+        found = []
+        if bases:
+            found.append(self.spark.read.schema(s.schema).parquet(*bases).withColumns({"_deleted": F.lit(False), "_version": F.lit(-1).cast("long")}))
+        if deltas:
+            found.append(self.spark.read.schema(T.StructType([*s.schema.fields, *OWN])).parquet(*deltas))
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], T.StructType([*s.schema.fields, *OWN]))
+
+    def _newest(self, versions: DataFrame) -> DataFrame:
+        rest = [c for c in versions.columns if c not in self.keys]
+        return versions.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_version").alias("_row")).select(*self.keys, "_row.*").select(*versions.columns)
+
+    def _rows(self, s: State, only: list[int] | None = None) -> DataFrame:
+        names = [f.name for f in s.schema.fields]
+        held = {b: [f for f, _ in p] for b, p in s.parts.items() if p and (only is None or b in only)}
+        plain = [f for p in held.values() if len(p) == 1 and is_base(p[0]) for f in p]
+        mixed = [f for p in held.values() if not (len(p) == 1 and is_base(p[0])) for f in p]
+        out = self._versions(s, plain).select(*names)
+        return out.unionByName(self._newest(self._versions(s, mixed)).where("not _deleted").select(*names)) if mixed else out
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets. Only keys of buckets that have deltas are shuffled."""
+        return self._rows(self.state(), only)
+
+    # ------------------------------------------------------------ writing
+
+    def _write(self, rows: DataFrame, out: str, s: State) -> dict[int, int]:
+        """Write rows by buckets under data/out; how many each bucket got, from the files' footers."""
+        path = f"{self.path}/data/{out}"
+        rows.withColumn("_bucket", self.bucket(s.buckets, s.first)).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+        if not any(n.startswith("_bucket=") for n in self._names(path)):
+            return {}
+        return {int(r["_bucket"]): r["n"] for r in self.spark.read.parquet(path).groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
 
     def replace(self, rows: DataFrame, buckets: int, touched: list[int], version: int) -> None:
         """Write rows as the whole new content of the touched buckets, then the manifest. Large buckets are several files."""
-        _, _, held = self.manifest()
-        out = f"{self.path}/data/v{version}"
-        rows.withColumn("_bucket", self.bucket(buckets)).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(out)
+        s = self.state()
+        s.version, s.buckets, s.first = version, buckets, s.first or buckets
+        sizes = self._write(rows.select(*[F.col(f.name).cast(f.dataType) for f in s.schema.fields]), f"v{version}/base", s)
         for b in touched:
-            held[b] = version if self.exists(f"{out}/_bucket={b}") else -1
-        plan = self.spark.createDataFrame([(version, b, v, buckets) for b, v in held.items()] or [(version, 0, -1, buckets)], MANIFEST)
-        plan.coalesce(1).write.mode("append").parquet(f"{self.path}/manifests")
-
-    def merge(self, changes: DataFrame, data: list[str], version: int) -> bool:
-        """Apply a batch of changes as `version`; False if that version or a later one is there already. The batch is
-        read twice: for its buckets and for the merge."""
-        at, _, held = self.manifest()
-        if version <= at:
+            s.parts[b] = [(f"v{version}/base/_bucket={b}", sizes[b])] if b in sizes else []
+        self._publish(s)
+
+    def _grown(self, s: State, rows: DataFrame, data: list[str]) -> T.StructType:
+        """The schema with the batch's new columns, and with columns widened where the batch has a wider type."""
+        known = {f.name: f for f in s.schema.fields}
+        for name in data:
+            new = rows.schema[name].dataType
+            if name not in known:
+                known[name] = T.StructField(name, new)
+            elif new.simpleString() in WIDER.get(known[name].dataType.simpleString(), ()):
+                known[name] = T.StructField(name, new)
+        return T.StructType(list(known.values()))
+
+    def _due(self, s: State, version: int, splits: int) -> tuple[list[str], dict[int, int]]:
+        """(folders to fold, from which part on in each bucket): buckets to split whole, and those whose turn it is."""
+        first = {self._line(s) + i: 0 for i in range(splits)}
+        for b, parts in s.parts.items():
+            if b in first or (b + version) % TURN or len(parts) < 2:
+                continue
+            at, total = len(parts) - 1, parts[-1][1]
+            while at and parts[at - 1][1] < 2 * total:
+                at -= 1
+                total += parts[at][1]
+            if at < len(parts) - 1:
+                first[b] = at
+        return [f for b, at in first.items() for f, _ in s.parts.get(b, [])[at:]], first
+
+    def merge(self, changes: DataFrame, data: list[str], version: int, order: str = "last_wins") -> bool:
+        """Apply a batch of changes as `version`; False if that version or a later one is there already.
+
+        data: the columns that changes carry, new ones among them; what the table has besides is null in rows that the
+        batch writes. Of a key the last change wins, or with order deletes_first any upsert.
+        """
+        s = self.state()
+        if version <= s.version:
             return False
-        buckets, touched = self.touched(changes)
-        self.replace(apply.apply_batch(self._folders(held, touched), changes, self.keys, data), buckets, touched, version)
+        empty = not s.buckets
+        if empty:
+            s.first = s.buckets = self._first(changes)
+        good, _ = apply.missing_key(changes, self.keys)
+        upserts, removed = apply.survivors(good, self.keys, order)
+        if order != "last_wins":
+            removed = removed.join(upserts.select(*self.keys), self.keys, "left_anti")
+        s.schema = self._grown(s, upserts, data)
+        named = set(self.keys) | set(data)
+        whole = lambda rows, have: rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in s.schema.fields])
+        rows = whole(upserts, named)
+        if not empty:
+            gone = whole(removed, set(self.keys)).withColumn("_deleted", F.lit(True))
+            rows = rows.withColumn("_deleted", F.lit(False)).unionByName(gone).withColumn("_version", F.lit(version).cast("long"))
+        # as many splits as the table's rows ask for, but no more than keep up with batches that add to it
+        behind = -(-s.rows() // BUCKET_ROWS) - s.buckets
+        splits = max(0, min(behind, self._level(s) - self._line(s), 2 + 2 * s.rows() // (BUCKET_ROWS * max(1, s.buckets))))
+        folders, folded = self._due(s, version, splits)
+        s.version, s.buckets = version, s.buckets + splits
+        kind = "base" if empty else "delta"
+        fresh = self._write(rows, f"v{version}/{kind}", s)
+        if folders:
+            self._fold(s, folders, folded)
+        for b, n in fresh.items():
+            s.parts.setdefault(b, []).append((f"v{version}/{kind}/_bucket={b}", n))
+        self._publish(s)
         return True
+
+    def _level(self, s: State) -> int:
+        return s.buckets - self._line(s)
+
+    def _fold(self, s: State, folders: list[str], first: dict[int, int]) -> None:
+        """Write the newest rows of some parts as one part for each bucket: a base where all parts are folded, else a delta."""
+        version = s.version
+        newest = self._newest(self._versions(s, folders)).withColumn("_at", self.bucket(s.buckets, s.first))
+        names = [f.name for f in s.schema.fields]
+        # a bucket that a split has made belongs to those that are folded whole
+        whole = [b for b, at in first.items() if at == 0]
+        partial = [b for b, at in first.items() if at > 0]
+        bases = self._write(newest.where(~F.col("_at").isin(partial) & ~F.col("_deleted")).select(*names), f"v{version}/base", s) if whole else {}
+        deltas = self._write(newest.where(F.col("_at").isin(partial)).drop("_at"), f"v{version}/folded", s) if partial else {}
+        for b in whole:
+            s.parts[b] = []
+        for b, n in bases.items():
+            s.parts[b] = [(f"v{version}/base/_bucket={b}", n)]
+        for b in partial:
+            s.parts[b] = s.parts[b][: first[b]] + ([(f"v{version}/folded/_bucket={b}", deltas[b])] if b in deltas else [])
