@@ -1,5 +1,7 @@
 """Sources, sinks, documents, and streams that are run over the whole log and read back."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import documents as dc
@@ -7,6 +9,7 @@ from ..sources import changelog as s
 from ..sources.lake import LakeTable
 from ..sources.scratch import scratch_path
 from ..streaming import jobs
+from ..streaming.commit import DLQ, STATS, Pipeline
 from .applying import DATA, KEY, MIRROR
 from .registry import derive, query
 
@@ -167,6 +170,45 @@ def _(t):
     return table.read()
 
 
+#: Raw messages of five tables, one of them unknown: tombstones, garbage, changes without a key, a column that only some
+#: changes have, numbers of 64 bits, and messages that come again.
+_BODY = "'{\"op\":\"' || op || '\",\"source_schema\":\"s\",\"source_table\":\"t' || CAST(user_id % 5 AS STRING) || '\",\"ts_ms\":' || CAST(ts_ms AS STRING) || ',\"source\":{\"gtid\":\"g' || CAST(pos AS STRING) || '\"},\"' || CASE WHEN op = 'd' THEN 'before' ELSE 'after' END || '\":{' || CASE WHEN pos % 17 = 0 THEN '' ELSE '\"id\":' || CAST(user_id AS STRING) || ',' END || '\"kind\":\"' || event_type || '\",\"c\":' || CAST(c AS STRING) || CASE WHEN pos % 3 = 0 THEN ',\"extra\":\"x' || CAST(pos % 7 AS STRING) || '\"' ELSE '' END || '}}'"
+derive("bus_rows", "SELECT topic, part, pos, op, event_type, user_id, user_id % 5 AS tid, ts_ms, CASE WHEN pos % 19 = 0 THEN cents * 1000000000 ELSE cents END AS c FROM changes")
+derive("bus_log", f"SELECT topic, part, pos, user_id, CASE WHEN pos % 11 = 0 THEN NULL WHEN pos % 13 = 0 THEN 'garbage' ELSE {_BODY} END AS value FROM bus_rows UNION ALL SELECT topic, part, pos + 10000000, user_id, CASE WHEN pos % 11 = 0 THEN NULL WHEN pos % 13 = 0 THEN 'garbage' ELSE {_BODY} END FROM bus_rows WHERE pos % 7 = 0")
+_ALL = "(SELECT pos, pos AS e, part, topic, tid, op, user_id, event_type, c FROM bus_rows UNION ALL SELECT pos + 10000000, pos, part, topic, tid, op, user_id, event_type, c FROM bus_rows WHERE pos % 7 = 0)"
+_GOOD = "(SELECT * FROM bus_rows WHERE pos % 11 <> 0 AND pos % 13 <> 0 AND pos % 17 <> 0 AND tid < 4)"
+COMMITTED = f"""SELECT 'mirror' AS side, tid AS a, user_id AS b, c, event_type || '/' || CASE WHEN pos % 3 = 0 THEN 'x' || (pos % 7) ELSE '-' END AS s FROM {_GOOD} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY part DESC, pos DESC) = 1 AND op <> 'd'
+UNION ALL SELECT 'ledger', tid, count(*), NULL, NULL FROM {_GOOD} GROUP BY tid
+UNION ALL SELECT 'dlq', CASE WHEN tid = 4 THEN -1 ELSE tid END, count(*), NULL, NULL FROM {_ALL} WHERE e % 11 <> 0 AND e % 13 <> 0 AND (tid = 4 OR e % 17 = 0) GROUP BY 2
+UNION ALL SELECT 'stats', CASE WHEN tid = 4 OR e % 11 = 0 OR e % 13 = 0 THEN -1 ELSE tid END, count(*), count(*) FILTER (e % 11 = 0 OR e % 13 = 0), NULL FROM {_ALL} GROUP BY 2
+UNION ALL SELECT 'position', tid, max(pos), NULL, NULL FROM (SELECT tid, pos FROM {_GOOD} UNION ALL SELECT tid, pos FROM {_ALL} WHERE e % 11 <> 0 AND e % 13 <> 0 AND e % 17 = 0 AND tid < 4) GROUP BY tid
+UNION ALL SELECT 'offset', part, max(pos), NULL, topic FROM {_ALL} GROUP BY topic, part
+UNION ALL SELECT 'history', count(*), count(DISTINCT user_id), NULL, NULL FROM (SELECT *, lag(event_type || op) OVER (PARTITION BY user_id ORDER BY ts_ms, part, pos) AS before FROM {_GOOD} WHERE tid = 0) WHERE op <> 'd' AND (before IS NULL OR before <> event_type || op)"""
+
+
+def bus_catalog(t):
+    return t.spark.createDataFrame([(i, "s", f"t{i}", ["id"]) for i in range(4)], "catalog_id long, schema_name string, table_name string, pk array<string>")
+
+
+@query("stream_commit", COMMITTED)
+def _(t):
+    """Raw messages to mirrors, ledger, dead letters, stats, positions, offsets and one table's history, in two batches."""
+    p = Pipeline(t.spark, scratch(t, "lake"), bus_catalog(t), limit=1 << 40, history={0: ["kind"]})
+    finish(p.start(log_stream(t, t.bus_log, 2), scratch(t, "checkpoint")))
+    none = F.lit(None)
+    row = lambda df, side, a, b, c=none, x=none: df.select(F.lit(side).alias("side"), a.cast("long").alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"), x.cast("string").alias("s"))
+    unknown = F.coalesce("catalog_id", F.lit(-1)).alias("id")
+    out = [row(p.mirror(i, ["id"]).read(), "mirror", F.lit(i), F.col("id"), F.col("c"), F.concat("kind", F.lit("/"), F.coalesce("extra", F.lit("-")))) for i in range(4)]
+    out.append(row(p.ledger().read().groupBy("catalog_id").count(), "ledger", F.col("catalog_id"), F.col("count")))
+    out.append(row(p.table("dlq", DLQ).groupBy(unknown).count(), "dlq", F.col("id"), F.col("count")))
+    out.append(row(p.table("stats", STATS).groupBy(unknown).agg(F.sum("seen").alias("seen"), F.sum("parse_skipped").alias("lost")), "stats", F.col("id"), F.col("seen"), F.col("lost")))
+    out.append(row(p.table("positions", "catalog_id long, pos long").groupBy("catalog_id").agg(F.max("pos").alias("pos")), "position", F.col("catalog_id"), F.col("pos")))
+    out.append(row(p.table("offsets", "topic string, part int, pos long").groupBy("topic", "part").agg(F.max("pos").alias("pos")), "offset", F.col("part"), F.col("pos"), x=F.col("topic")))
+    versions = LakeTable(t.spark, p.path("history/0"), ["id"], "id bigint").read()
+    out.append(row(versions.agg(F.count("*").alias("n"), F.countDistinct("id").alias("k")), "history", F.col("n"), F.col("k")))
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
 @query("stream_retry", MIRROR)
 def _(t):
     """A batch that fails twice and is then applied, and once more, which changes nothing."""

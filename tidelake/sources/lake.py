@@ -11,8 +11,8 @@ split in two, and no other bucket moves. The schema may grow too: a column that
 manifest, and older parts are read under it.
 
 A version's manifest names the parts of each bucket. It is the last thing that a merge writes, so a batch that fails half-way
-leaves no trace, and one that is replayed finds its manifest and does nothing. Manifests are read and written by Spark,
-so any store will do; only the newest few are kept.
+leaves no trace, and one that is replayed finds its manifest and does nothing. Manifests are small JSON files, read and
+written through Hadoop's file systems, so any store will do; only the newest few are kept.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from ..operators import apply
 BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 16
 #: Merges from one turn of a bucket to the next, and manifests that are kept.
 TURN, KEPT = 8, 10
-MANIFEST = "first int, buckets int, bucket int, nth int, folder string, rows long, fields string"
 OWN = [T.StructField("_deleted", T.BooleanType()), T.StructField("_version", T.LongType())]
 #: Types that older parts may be read as.
 WIDER = {"tinyint": ("smallint", "int", "bigint", "double"), "smallint": ("int", "bigint", "double"), "int": ("bigint", "double"), "float": ("double",), "date": ("timestamp_ntz",)}
@@ -64,6 +63,7 @@ class LakeTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int | None = None):
         self.spark, self.path, self.keys, self.wanted = spark, path.rstrip("/"), keys, buckets
         self.initial = T._parse_datatype_string(schema)
+        self._read: dict[str, dict] = {}
 
     # ------------------------------------------------------------ files
 
@@ -81,17 +81,29 @@ class LakeTable:
 
     # ------------------------------------------------------------ manifests
 
+    def _manifest(self, name: str) -> dict | None:
+        """A manifest's content, null if it was not written to its end."""
+        fs, p = self._fs(f"{self.path}/manifests/{name}")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
     def state(self) -> State:
-        """The newest whole manifest; as many rows as there are parts."""
+        """The newest whole manifest; one that was not written to its end is none."""
         root = f"{self.path}/manifests"
         for name in reversed(self._names(root)):
-            if self.exists(f"{root}/{name}/_SUCCESS"):
-                rows = sorted(self.spark.read.schema(MANIFEST).parquet(f"{root}/{name}").collect(), key=lambda r: (r["bucket"], r["nth"]))
-                found = State(int(name[1:]), T.StructType.fromJson(json.loads(rows[0]["fields"])), rows[0]["first"], rows[0]["buckets"])
-                for r in rows:
-                    if r["folder"] is not None:
-                        found.parts.setdefault(r["bucket"], []).append((r["folder"], r["rows"]))
-                return found
+            if name not in self._read:
+                found = self._manifest(name)
+                if found is None:
+                    continue
+                self._read = {name: found}
+            m = self._read[name]
+            parts = {int(b): [(f, n) for f, n in p] for b, p in m["parts"].items()}
+            return State(m["version"], T.StructType.fromJson(m["schema"]), m["first"], m["buckets"], parts)
         return State(-1, self.initial)
 
     def manifest(self) -> tuple[int, int, dict[int, int]]:
@@ -103,20 +115,22 @@ class LakeTable:
         return self.state().version
 
     def _publish(self, s: State) -> None:
-        fields = json.dumps(s.schema.jsonValue())
-        rows = [(s.first, s.buckets, b, i, folder, n, fields if (b, i) == min((x, 0) for x in s.parts if s.parts[x]) else None) for b, parts in s.parts.items() for i, (folder, n) in enumerate(parts)]
-        rows = rows or [(s.first, s.buckets, 0, 0, None, 0, fields)]
+        m = {"version": s.version, "first": s.first, "buckets": s.buckets, "schema": s.schema.jsonValue(), "parts": {b: p for b, p in s.parts.items() if p}}
         root = f"{self.path}/manifests"
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/v{s.version:012d}")
+        fs, p = self._fs(f"{root}/v{s.version:012d}.json")
+        stream = fs.create(p, True)
+        try:
+            stream.write(bytearray(json.dumps(m).encode()))
+        finally:
+            stream.close()
         for name in self._names(root)[:-KEPT]:
-            fs, p = self._fs(f"{root}/{name}")
-            fs.delete(p, True)
+            fs.delete(self._fs(f"{root}/{name}")[1], True)
 
     def vacuum(self) -> int:
         """Delete data that the kept manifests don't name: what was folded, and what failed batches left. How many folders went."""
         root, named, gone = f"{self.path}/manifests", set(), 0
         for name in self._names(root):
-            named |= {r["folder"].split("/")[0] for r in self.spark.read.schema(MANIFEST).parquet(f"{root}/{name}").where("folder is not null").select("folder").distinct().collect()}
+            named |= {f.split("/")[0] for part in (self._manifest(name) or {"parts": {}})["parts"].values() for f, _ in part}
         for name in self._names(f"{self.path}/data"):
             if name not in named and int(name[1:]) <= self.version():
                 fs, p = self._fs(f"{self.path}/data/{name}")
