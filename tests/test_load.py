@@ -33,3 +33,45 @@ def test_resume_after_last_key(spark):
     got = sorted(tuple(r) for r in ld.resume(rows, slices, "k", catalog, lake).collect())
     assert got == [(k, k // 10) for k in range(30) if k > {0: 4, 1: 15, 2: -1}[k // 10]]
     assert ld.resume(rows, slices.limit(0), "k", catalog, lake).count() == 0
+
+
+def test_keys_at_offsets_by_narrowing(spark, monkeypatch):
+    """Against a sort: several rounds, heavy ties, two columns, nulls."""
+    import random
+
+    monkeypatch.setattr(ld, "FEW_ROWS", 40)
+    monkeypatch.setattr(ld, "CUTS", 8)
+    rng = random.Random(3)
+    for make in (lambda i: (i, "a"), lambda i: (min(i, 700) if i % 2 else 500, "b"), lambda i: (rng.choice([None, 1, 2, 3]), rng.choice([None, "x", "y"]))):
+        keys = [make(i) for i in range(3000)]
+        rng.shuffle(keys)
+        got = ld.sampled_boundaries(spark.createDataFrame(keys, "a long, b string").repartition(3), ["a", "b"], 7).collect()
+        whole = sorted(keys, key=lambda k: [(x is not None, x) for x in k])
+        assert [tuple(r) for r in got] == [(*whole[3000 * i // 7], 3000 * i // 7) for i in range(1, 7)]
+    few = spark.createDataFrame([(1, "a")], "a long, b string")
+    assert ld.sampled_boundaries(few, ["a", "b"], 4).count() == 0 and ld.sampled_boundaries(few.limit(0), ["a"], 4).columns == ["a", "at"]
+
+
+def test_copy_goes_on_after_any_slice(spark, tmp_path):
+    """Stopped after each slice in turn, also in the middle of one: later runs write only the others, and no row twice."""
+    rows = spark.createDataFrame([(k, k * 2) for k in range(60)], "k long, x long").repartition(2)
+    plan = ld.slice_bounds(spark.createDataFrame([(10,), (25,), (26,), (50,), (90,)], "k long"), ["k"])
+    seen = []
+
+    def stop(slice_):
+        seen.append(slice_)
+        raise OSError("stopped")
+
+    path = f"{tmp_path}/copy"
+    for _ in range(3):
+        try:
+            ld.copy_slices(rows, plan, ["k"], path, at_once=2, after=stop)
+        except OSError:
+            pass
+        # what a run leaves that stopped while it wrote a slice
+        rows.where("k >= 50").limit(3).write.mode("append").parquet(f"{path}/data/_slice=4") if len(seen) == 1 else None
+    assert seen == [1, 3, 5]
+    got = ld.copy_slices(rows, plan, ["k"], path, after=stop)
+    assert sorted(tuple(r) for r in got.collect()) == [(k, k * 2) for k in range(60)] and len(seen) == 3
+    assert {r["slice"]: r["rows"] for r in spark.read.parquet(f"{path}/checkpoints").select("slice", "rows").collect()} == {0: 10, 1: 15, 2: 1, 3: 24, 4: 10, 5: 0}
+    assert ld.copy_slices(rows.limit(0), plan, ["k"], f"{tmp_path}/none").count() == 0

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-
-from ..sources.scratch import materialize
+from pyspark.sql import types as T
 
 
 def int_slices(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -17,29 +17,104 @@ def int_slices(rows: DataFrame, key: str, n: int) -> DataFrame:
     return ends.select("lo", "hi", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slice")).select("slice", (F.col("lo") + F.col("slice") * F.col("w")).alias("begin"), F.when(F.col("slice") == n - 1, F.col("hi") + 1).otherwise(F.col("lo") + (F.col("slice") + 1) * F.col("w")).alias("end"))
 
 
-#: Rows of a range on average, and the fewest ranges.
-RANGE_ROWS, LEAST_RANGES = 1_000_000, 32
+#: Keys of a sample that cut a range, and rows of ranges that are few enough for one sort.
+CUTS, FEW_ROWS = 512, 200_000
+
 
+def _classes(rows: DataFrame, cuts: list) -> DataFrame:
+    """Add `c` to rows with `k`: 2 i + 1 for the i-th of the sorted cuts (from 0), 2 i for what lies in front of it."""
+    plan = rows.sparkSession.createDataFrame([(cuts,)], T.StructType([T.StructField("_cuts", T.ArrayType(rows.schema["k"].dataType))]))  # one row
+    halves = F.lit([1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)])
+    cut = lambda i: F.get("_cuts", i - 1)
+    below = F.aggregate(halves, F.lit(0), lambda at, half: F.when((at + half <= len(cuts)) & (cut(at + half) <= F.col("k")), at + half).otherwise(at))
+    found = rows.crossJoin(F.broadcast(plan)).select("k", F.explode(F.array(below)).alias("_n"), "_cuts")
+    return found.select("k", (F.col("_n") * 2 - F.when((F.col("_n") > 0) & (cut(F.col("_n")) == F.col("k")), 1).otherwise(0)).alias("c"))
 
-def ranked(rows: DataFrame, keys: list[str], parts: int = LEAST_RANGES) -> DataFrame:
-    """Add `rank` from 0 in key order, exactly and without one task seeing all rows: ranges, then each range's count.
 
-    Ranges are written, as their bounds come from a sample that another run would draw anew.
+def keys_at(rows: DataFrame, size: int, offsets: list[int]) -> dict[int, Row]:
+    """The keys (column k) at some offsets of the key order, exactly and without sorting or moving the rows.
+
+    A sample's keys cut the order into ranges. Counting rows by range tells which ranges hold an offset, and only their
+    rows are looked at again, with the offsets counted among them, until they are few enough for one sort. A key that many
+    rows share becomes a cut of its own.
     """
-    spread = materialize(rows.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id()), "ranges")
-    inner = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1)
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row for each range
-    return inner.join(F.broadcast(before), "_p").withColumn("rank", F.col("_b") + F.col("_n")).drop("_p", "_n", "_b")
+    found: dict[int, Row] = {}
+    places = {x: [x] for x in offsets}  # offset among the rows that are left: offsets asked for
+    turn = 0
+    while places and size > FEW_ROWS:
+        sample = rows.where(F.rand(turn) < min(1.0, 2 * CUTS / size)).distinct().agg(F.sort_array(F.collect_list("k")).alias("k"))
+        cuts = sample.first()["k"]  # some CUTS keys
+        turn += 1
+        if not cuts:
+            continue
+        classed = _classes(rows, cuts)
+        counts = {r["c"]: r["n"] for r in classed.groupBy("c").agg(F.count("*").alias("n")).collect()}
+        start, kept, next_places = 0, 0, {}
+        keep: list[int] = []
+        for c in sorted(counts):
+            inside = [x for x in places if start <= x < start + counts[c]]
+            if inside and c % 2:
+                found |= {offset: cuts[c // 2] for x in inside for offset in places[x]}
+            elif inside:
+                keep.append(c)
+                next_places |= {kept + x - start: places[x] for x in inside}
+                kept += counts[c]
+            start += counts[c]
+        rows, size, places = classed.where(F.col("c").isin(keep)).select("k"), kept, next_places
+    if places:
+        nth = F.row_number().over(Window.orderBy("k")) - 1  # FEW_ROWS rows at most
+        for r in rows.withColumn("n", nth).where(F.col("n").isin(list(places))).collect():
+            found |= {offset: r["k"] for offset in places[r["n"]]}
+    return found
 
 
 def sampled_boundaries(rows: DataFrame, keys: list[str], workers: int, least: int = 2) -> DataFrame:
     """Keys at the offsets n * i / workers of the key order, which split the rows evenly whatever the keys are like."""
+    spark, picked = rows.sparkSession, rows.select(F.struct(*keys).alias("k"))
+    schema = T.StructType([*[f for f in rows.select(*keys).schema.fields], T.StructField("at", T.LongType())])
     n = rows.count()
     if n < least or workers < 2:
-        return rows.select(*keys).limit(0).withColumn("at", F.lit(0).cast("long"))
-    offsets = sorted({n * i // workers for i in range(1, workers)} - {0})
-    return ranked(rows.select(*keys), keys, max(LEAST_RANGES, n // RANGE_ROWS)).where(F.col("rank").isin(*offsets)).select(*keys, F.col("rank").alias("at"))
+        return spark.createDataFrame([], schema)
+    found = keys_at(picked, n, sorted({n * i // workers for i in range(1, workers)} - {0}))
+    return spark.createDataFrame([(*k, at) for at, k in sorted(found.items())], schema)
+
+
+def copy_slices(rows: DataFrame, slices: DataFrame, keys: list[str], path: str, at_once: int = 8, after: Callable[[int], None] | None = None) -> DataFrame:
+    """Copy rows slice by slice into path, and return the copy; a run that stopped is gone on with.
+
+    slices: slice, begin and end as structs of the keys (null: open). Some slices at a time are written by one job, each to
+    its own folder, and then their checkpoint rows (slice, rows). What has a checkpoint is not read again; what a stopped
+    run left without one is written anew, so no row comes twice. The slices' bounds reach the scan.
+    """
+    spark, checkpoints, data = rows.sparkSession, f"{path}/checkpoints", f"{path}/data"
+    done = {r["slice"] for r in _checkpoints(spark, path).collect()}
+    plan = sorted((r for r in slices.select("slice", "begin", "end").collect() if r["slice"] not in done), key=lambda r: r["slice"])  # a row for each slice
+    columns = [F.col(k) for k in keys]
+    for at in range(0, len(plan), at_once):
+        group = plan[at : at + at_once]
+        inside = lambda r: (tuple_compare(columns, list(r["begin"]), "ge") if r["begin"] is not None else F.lit(True)) & (tuple_compare(columns, list(r["end"]), "lt") if r["end"] is not None else F.lit(True))
+        number = reduce(lambda x, r: F.when(inside(r), r["slice"]).otherwise(x), reversed(group), F.lit(None).cast("int"))
+        part = rows.where(reduce(lambda x, y: x | y, [inside(r) for r in group])).withColumn("_slice", number)
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_slice").parquet(data)
+        named = [f"{data}/_slice={r['slice']}" for r in group]
+        sizes = {}
+        for r, folder in zip(group, named, strict=True):
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+            sizes[r["slice"]] = spark.read.schema(rows.schema).parquet(folder).count() if there else 0
+        spark.createDataFrame(list(sizes.items()), CHECKPOINT).coalesce(1).write.mode("overwrite").parquet(f"{checkpoints}/group={group[0]['slice']}")
+        if after:
+            after(group[-1]["slice"])
+    return spark.read.schema(rows.schema).parquet(*[f"{data}/_slice={r['slice']}" for r in _checkpoints(spark, path).where("rows > 0").collect()] or [data])
+
+
+CHECKPOINT = "slice int, rows long"
+
+
+def _checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/checkpoints")
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(CHECKPOINT).parquet(f"{path}/checkpoints") if there else spark.createDataFrame([], CHECKPOINT)
 
 
 def slice_bounds(boundaries: DataFrame, keys: list[str]) -> DataFrame:

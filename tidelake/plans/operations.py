@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import drift as d
 from ..operators import health as h
 from ..operators import load as ld
+from ..sources.scratch import scratch_path
 from .registry import AS_OF, derive, query
 
 STICKY = "status IN ('quarantined', 'failed', 'gap_detected')"
@@ -211,6 +212,21 @@ def _(t):
     return ld.resume(t.orders.select("o_orderkey"), s, "o_orderkey", a, b)
 
 
+@query("load_copy_resume", "SELECT o_orderkey, o_custkey FROM orders")
+def _(t):
+    """A copy that stops behind some slices and is gone on with."""
+    path, rows = scratch_path(t.spark, "copy"), t.orders.select("o_orderkey", "o_custkey")
+
+    def stop(_):
+        raise InterruptedError
+
+    try:
+        ld.copy_slices(rows, order_slices(t), ["o_orderkey"], path, at_once=3, after=stop)
+    except InterruptedError:
+        pass
+    return ld.copy_slices(rows, order_slices(t), ["o_orderkey"], path, at_once=3)
+
+
 @query("load_copy", "SELECT count(*) FILTER (o_orderkey % 17 = 0) AS skipped, count(*) FILTER (o_orderkey % 17 <> 0) AS copied FROM orders")
 def _(t):
     return ld.copy_rows(t.orders.withColumn("k", F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderkey"))), "k")[1]
