@@ -7,10 +7,9 @@ finds done what is done, and writes what is missing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,34 +82,8 @@ def stream_counts(changes: DataFrame, time: str, delay: str, width: str = "1 hou
     return changes.withWatermark(time, delay).groupBy(F.window(time, width), "catalog_id").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "catalog_id", "events")
 
 
-TX_OUT = "tx long, events long, first_ms long, last_ms long"
-TX_STATE = "events long, first_ms long, last_ms long"
-
-
-def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    n, first, last = state.get if state.exists else (0, None, None)
-    done = False
-    for b in batches:
-        rows = b[b.kind == "data"]
-        n += len(rows)
-        if len(b):
-            lo, hi = int(b.ts_ms.min()), int(b.ts_ms.max())
-            first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
-        done = done or bool((b.kind == "commit").any())
-    if done:
-        state.remove()
-        yield pd.DataFrame({"tx": [key[0]], "events": [n], "first_ms": [first], "last_ms": [last]})
-    else:
-        state.update((n, first, last))
-
-
-def stream_transactions(markers: DataFrame) -> DataFrame:
-    """Whole transactions from their begin, data and commit records (tx, kind, ts_ms): counts, not rows, are kept."""
-    return markers.groupBy("tx").applyInPandasWithState(_assemble, TX_OUT, TX_STATE, "append", "NoTimeout")
-
-
 def transactions(markers: DataFrame) -> DataFrame:
-    """The same over a finished log."""
+    """Whole transactions of a finished log, from their begin, data and commit records (tx, kind, ts_ms); see transactions.assemble."""
     return markers.groupBy("tx").agg(F.count_if(F.col("kind") == "data").alias("events"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.bool_or(F.col("kind") == "commit").alias("done")).where("done").drop("done")
 
 
