@@ -14,6 +14,7 @@ from .lm_score import deleted_interpolation_scores
 from .mixing import mix_sources
 from .packing import pack_documents
 from .perplexity_rules import quality_rules
+from .ranked_search import ORACLE as RANKED_SQL
 from .ranked_search import ranked_search
 from .revisits import ORACLE as REVISITS_SQL
 from .revisits import captures_of_pages, header_text, resolve_revisits
@@ -103,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_spelling": op13_spelling,
 }
 
-ORACLES: dict[str, str] = {"op8_revisits": REVISITS_SQL}
+ORACLES: dict[str, str] = {"op8_revisits": REVISITS_SQL, "op11_ranked_search": RANKED_SQL}
