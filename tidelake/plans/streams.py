@@ -210,6 +210,22 @@ def _(t):
     return reduce(lambda x, y: x.unionByName(y), out)
 
 
+@query("stream_release", f"SELECT tid, user_id AS id, c, event_type AS kind FROM {_GOOD} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY part DESC, pos DESC) = 1 AND op <> 'd'")
+def _(t):
+    """A table fails in the first half of a log and is held; released in the second, its mirror is that of a run without the failure."""
+    at = F.col("pos") % 10_000_000
+    log = t.bus_log.where(at % 17 != 0)
+    middle = log.agg(F.max(at)).first()[0] // 2
+    # copies of messages come with the second half
+    first, second = log.where(F.col("pos") <= middle), log.where(F.col("pos") > middle)
+    p = Pipeline(t.spark, scratch(t, "lake"), bus_catalog(t), limit=5, rules={"other_table": (F.col("catalog_id") != 2, "23514")})
+    p.run(first, 0)
+    p.rules = {}
+    p.release([2])
+    p.run(second, 1)
+    return reduce(lambda x, y: x.unionByName(y), [p.mirror(i, ["id"]).read().select(F.lit(i).cast("long").alias("tid"), "id", F.col("c").cast("long").alias("c"), "kind") for i in range(4)])
+
+
 @query("stream_retry", MIRROR)
 def _(t):
     """A batch that fails twice and is then applied, and once more, which changes nothing."""
