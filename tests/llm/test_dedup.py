@@ -221,3 +221,14 @@ def test_components(spark, seed):
     got = connected_components(spark.createDataFrame(links, "u long, v long"))
     assert {r[0]: r[1] for r in got.collect()} == {x: root(x) for x in list(parent) if root(x) != x}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_of_each_group_keeps_a_stated_row(spark):
+    """Of rows equal in id and text the one with the smallest other columns, however the rows are dealt out."""
+    from tidelake.llm.jaccard_join import one_of_each_group
+
+    rows = [(1, "a b c d e f g", s, n) for s, n in (("y", 1), ("x", 9), ("x", 2), (None, 5))] + [(2, "a b c d e f g", "a", 0), (3, "", "q", 1), (3, "", "b", 1)]
+    for parts in (1, 4):
+        d = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(parts)
+        got = sorted(tuple(r) for r in one_of_each_group(d, words=5, num=80, den=100).collect())
+        assert got == [(1, "a b c d e f g", "x", 2), (3, "", "b", 1)]

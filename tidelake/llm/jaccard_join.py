@@ -432,4 +432,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = jaccard_components(docs, id_col, text_col, words, num, den)
     stay = found.groupBy("group_id").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "row_key")).alias("m")).select(F.col("m.row_key").alias("k"))
     keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), whole_row(docs).alias("row"))
-    return keyed.join(stay, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+    # of rows equal in id and text the one whose other columns are the smallest as JSON
+    rest = [F.col("row")[c].alias(str(i)) for i, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    return keyed.join(stay, "k", "left_semi").groupBy("k").agg(F.min_by("row", order).alias("row")).select("row.*")
