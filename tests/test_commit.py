@@ -6,7 +6,6 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.sources.lake import LakeTable
 from tidelake.sources.ledger import Ledger
 from tidelake.streaming.commit import DLQ, STATS, Pipeline, columns_of
 
@@ -32,7 +31,7 @@ def content(p):
     """All that a run leaves, without the numbers of batches."""
     rows = lambda df: sorted((json.dumps(r.asDict(), sort_keys=True, default=str) for r in df.collect()))
     out = {f"mirror {i}": rows(p.mirror(i, ["id"]).read()) for i in (1, 2)}
-    out["history"] = rows(LakeTable(p.spark, p.path("history/1"), ["id"], "id long").read())
+    out["history"] = rows(p.history_table(1, ["id"]).read())
     out["ledger"] = rows(p.ledger().read().drop("h"))
     for name, schema in (("dlq", DLQ), ("stats", STATS), ("positions", "catalog_id long, pos long"), ("offsets", "topic string, part int, pos long"), ("held", "catalog_id long, pos long")):
         out[name] = rows(p.table(name, schema))

@@ -60,19 +60,6 @@ def test_held_tables_stay_held(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(held).select("event_id").collect()) == ["b", "c"]
 
 
-def test_history_reads_touched_buckets(spark, tmp_path):
-    """A later batch leaves the folders of other buckets where they were."""
-    from tidelake.operators import history as h
-
-    lake = LakeTable(spark, f"{tmp_path}/history", KEYS, "k long, x long, valid_from long, valid_to long, is_current boolean, is_deleted boolean", buckets=64)
-    stream = log(spark, tmp_path, [(i, f"e{i}", "c", 1, i, i) for i in range(1, 40)], [(50, "f", "u", 1, 3, 9)])
-    jobs.stream_history(stream, f"{tmp_path}/changes", lake, lambda r: h.record(r, KEYS, DATA), f"{tmp_path}/checkpoint").awaitTermination()
-    _, _, folders = lake.manifest()
-    assert sorted(folders.values()).count(1) == 1
-    whole = h.record(spark.createDataFrame([("t", 0, i, "", "c", 1, i, i, i) for i in range(1, 40)] + [("t", 0, 50, "", "u", 1, 3, 9, 50)], CHANGES), KEYS, DATA)
-    assert rows(lake.read().select(*whole.columns).fillna(-1)) == rows(whole.fillna(-1))
-
-
 def test_dedup_keeps_changes_under_one_id(spark):
     """Sent or delivered again: once. Another change under the same id: both, also in a later batch."""
     data = [("t", 0, 1, "f:4", "c", 1, 7, 1, 0), ("t", 0, 1, "f:4", "c", 1, 7, 1, 0), ("t", 0, 2, "f:4", "u", 1, 7, 2, 0), ("t", 0, 9, "f:4", "c", 1, 7, 1, 5)]

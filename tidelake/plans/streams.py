@@ -10,6 +10,7 @@ from ..sources.lake import LakeTable
 from ..sources.scratch import scratch_path
 from ..streaming import jobs
 from ..streaming.commit import DLQ, STATS, Pipeline
+from ..streaming.history import HistoryTable
 from ..streaming.transactions import assemble, rocksdb
 from .applying import DATA, KEY, MIRROR
 from .registry import derive, query
@@ -205,7 +206,7 @@ def _(t):
     out.append(row(p.table("stats", STATS).groupBy(unknown).agg(F.sum("seen").alias("seen"), F.sum("parse_skipped").alias("lost")), "stats", F.col("id"), F.col("seen"), F.col("lost")))
     out.append(row(p.table("positions", "catalog_id long, pos long").groupBy("catalog_id").agg(F.max("pos").alias("pos")), "position", F.col("catalog_id"), F.col("pos")))
     out.append(row(p.table("offsets", "topic string, part int, pos long").groupBy("topic", "part").agg(F.max("pos").alias("pos")), "offset", F.col("part"), F.col("pos"), x=F.col("topic")))
-    versions = LakeTable(t.spark, p.path("history/0"), ["id"], "id bigint").read()
+    versions = p.history_table(0, ["id"]).read()
     out.append(row(versions.agg(F.count("*").alias("n"), F.countDistinct("id").alias("k")), "history", F.col("n"), F.col("k")))
     return reduce(lambda x, y: x.unionByName(y), out)
 
@@ -304,13 +305,11 @@ def _(t):
 
 @query("stream_scd2", "SELECT * FROM hist")
 def _(t):
-    from ..operators import history as h
     from .applying import HDATA
 
-    path = scratch(t, "history")
-    record = lambda rows: h.record(rows.withColumn("band", F.col("cents") % 3), KEY, HDATA)
-    table = LakeTable(t.spark, path, KEY, "user_id long, event_type string, band long, valid_from long, valid_to long, is_current boolean, is_deleted boolean", buckets=4)
-    finish(jobs.stream_history(log_stream(t, t.changes, 12), scratch(t, "changelog"), table, record, scratch(t, "checkpoint")))
+    table = HistoryTable(t.spark, scratch(t, "history"), KEY, HDATA, "user_id long, event_type string, band long", buckets=4)
+    changes = log_stream(t, t.changes, 12).withColumn("band", F.col("cents") % 3)
+    finish(table.start(changes, scratch(t, "checkpoint")))
     return table.read()
 
 

@@ -43,8 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The size of df as Spark's optimizer estimates it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it is so small that a scan makes one task of it. For costly work on few rows."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimated_bytes(df) <= SMALL_BYTES else df

@@ -21,10 +21,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.envelope import parse
 from ..operators import apply as a
-from ..operators.history import record
 from ..sources.lake import LakeTable
 from ..sources.ledger import Ledger
-from .jobs import once_read, record_history
+from .history import HistoryTable
+from .jobs import once_read
 
 CHANGE = "topic string, part int, pos long, op string, engine string, catalog_id long, schema_name string, table_name string, gtid string, event_id string, ts_ms long, row string"
 #: Tables of a batch that are merged at the same time.
@@ -72,6 +72,11 @@ class Pipeline:
     def mirror(self, catalog_id: int, keys: list[str]) -> LakeTable:
         return LakeTable(self.spark, self.path(f"mirror/{catalog_id}"), keys, ", ".join(f"`{k}` {self.key_type}" for k in keys))
 
+    def history_table(self, catalog_id: int, keys: list[str]) -> HistoryTable:
+        data = self.history[catalog_id]
+        types = [*[(k, self.key_type) for k in keys], *[(c, "string") for c in data]]
+        return HistoryTable(self.spark, self.path(f"history/{catalog_id}"), keys, data, ", ".join(f"`{c}` {t}" for c, t in types))
+
     def ledger(self) -> Ledger:
         return Ledger(self.spark, self.path("ledger"))
 
@@ -182,10 +187,8 @@ class Pipeline:
         self.after_step(f"mirror {catalog_id}")
         if catalog_id in self.history:
             data = self.history[catalog_id]
-            columns = [*[(k, self.key_type) for k in keys], *[(c, "string") for c in data], ("valid_from", "bigint"), ("valid_to", "bigint"), ("is_current", "boolean"), ("is_deleted", "boolean")]
-            table = LakeTable(self.spark, self.path(f"history/{catalog_id}"), keys, ", ".join(f"`{c}` {t}" for c, t in columns))
             own = mine.select(*place, *[cell(k, self.key_type) for k in keys], *[cell(c, "string") for c in data])
-            record_history(own, self.path(f"history_log/{catalog_id}"), table, lambda rows: record(rows, keys, data), number)
+            self.history_table(catalog_id, keys).add(own, number)
             self.after_step(f"history {catalog_id}")
 
     def _stats(self, rows: DataFrame, opened: DataFrame, parked: DataFrame, new: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import apply as a
@@ -87,37 +86,6 @@ def transactions(markers: DataFrame) -> DataFrame:
     return markers.groupBy("tx").agg(F.count_if(F.col("kind") == "data").alias("events"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.bool_or(F.col("kind") == "commit").alias("done")).where("done").drop("done")
 
 
-def record_history(new: DataFrame, path: str, history: LakeTable, record: Callable[[DataFrame], DataFrame], number: int) -> None:
-    """Add a batch to the change log at path, by buckets of the key, and lay out anew the history of the keys that it touches."""
-    buckets, touched = history.touched(new)
-    if not touched:
-        return
-    first = history.state().first or buckets
-    new.withColumn("_bucket", history.bucket(buckets, first)).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/batch={number}")
-    if number <= history.version():
-        return
-    keys = new.select(*history.keys).distinct()
-    schema = T.StructType([*new.schema.fields, T.StructField("batch", T.LongType()), T.StructField("_bucket", T.IntegerType())])
-    log = new.sparkSession.read.schema(schema).parquet(path).where(F.col("_bucket").isin(touched) & (F.col("batch") <= number)).drop("batch", "_bucket")
-    fresh = record(log.join(keys, history.keys, "left_semi"))
-    others = history.read(touched).join(keys, history.keys, "left_anti")
-    history.replace(others.unionByName(fresh.select(*others.columns)), buckets, touched, number)
-
-
-def stream_history(changes: DataFrame, path: str, history: LakeTable, record: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Keep a change log at path and the history of its keys.
-
-    Only the log and the history of touched buckets are read, and of those only touched keys are laid out; versions of a
-    key never depend on where batches end.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        with once_read(batch) as new:
-            record_history(new, path, history, record, number)
-
-    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
-
-
 def stream_quarantine(changes: DataFrame, table: LakeTable, data: list[str], bad: Callable[[DataFrame], DataFrame], held: str, checkpoint: str) -> StreamingQuery:
     """Apply a stream, but keep back the changes of failing tables: bad gives the tables that a batch fails for.
 
