@@ -75,3 +75,11 @@ def test_copy_goes_on_after_any_slice(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [(k, k * 2) for k in range(60)] and len(seen) == 3
     assert {r["slice"]: r["rows"] for r in spark.read.parquet(f"{path}/checkpoints").select("slice", "rows").collect()} == {0: 10, 1: 15, 2: 1, 3: 24, 4: 10, 5: 0}
     assert ld.copy_slices(rows.limit(0), plan, ["k"], f"{tmp_path}/none").count() == 0
+
+
+def test_rows_dont_carry_the_plan(spark):
+    """A plan of 20,000 slices is no column of the rows, which a row would pay for by its size."""
+    plan = ld.slice_bounds(spark.range(0, 200_000, 10).select(F.col("id").alias("k")), ["k"])
+    found = ld.assign(spark.range(200_000).withColumnRenamed("id", "k"), plan, ["k"])
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("slice <> k div 10 + 1").count() == 0 and found.count() == 200_000

@@ -143,18 +143,26 @@ def tuple_compare(columns: list[Column], values: list, op: str) -> Column:
 def _within(rows: DataFrame, slices: DataFrame, k: Column) -> DataFrame:
     """rows with `_slice`, the struct of the half-open slice that k lies in; rows outside all slices are dropped.
 
-    The plan, a row per slice, travels as one sorted array that each row searches by halves, so a row costs as many
-    comparisons as the number of slices has bits, not one with every slice.
+    The plan, a row per slice, is one sorted array that each row searches by halves, so a row costs as many comparisons as
+    the number of slices has bits. The array is a scalar subquery: a column that rows carry would be copied for each row.
     """
     rest = [c for c in slices.columns if c not in ("begin", "end")]
     plan = slices.agg(F.sort_array(F.collect_list(F.struct("begin", "end", *rest))).alias("_plan"))  # one row; an open begin comes first
-    halves = F.when(F.size("_plan") > 0, F.transform(F.sequence(F.floor(F.log2(F.size("_plan"))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int")))
-    plan = F.broadcast(plan.withColumn("_halves", halves))
-    begins = lambda i: F.get("_plan", i - 1)["begin"]
-    starts = lambda i: (i <= F.size("_plan")) & (begins(i).isNull() | (begins(i) <= k))
-    last = F.aggregate("_halves", F.lit(0), lambda at, half: F.when(starts(at + half), at + half).otherwise(at))
-    here = F.filter(F.transform(F.array(last), lambda i: F.when(i > 0, F.get("_plan", i - 1))), lambda x: x.isNotNull() & (x["end"].isNull() | (k < x["end"])))
-    return rows.crossJoin(plan).select(*rows.columns, F.explode(here).alias("_slice"))
+    n = F.size("p")
+    halves = F.when(n > 0, F.transform(F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int")))
+    whole = plan.select(F.col("_plan").alias("p")).select(F.struct("p", halves.alias("halves"), n.alias("n"))).scalar()
+
+    def search(w: Column) -> Column:
+        begins = lambda i: F.get(w["p"], i - 1)["begin"]
+        starts = lambda i: (i <= w["n"]) & (begins(i).isNull() | (begins(i) <= k))
+        last = F.aggregate(w["halves"], F.lit(0), lambda at, half: F.when(starts(at + half), at + half).otherwise(at))
+        return F.get(F.transform(F.array(last), lambda i: F.when(i > 0, F.get(w["p"], i - 1))), F.lit(0))
+
+    # the subquery's column is used once, so it is no column of rows but a value beside them; of an inner explode Spark would
+    # infer a filter, which searches again
+    here = F.get(F.transform(F.array("_whole"), search), F.lit(0))
+    found = F.filter(F.array(here), lambda x: x.isNotNull() & (x["end"].isNull() | (k < x["end"])))
+    return rows.withColumn("_whole", whole).select(*rows.columns, found.alias("_found")).select(*rows.columns, F.explode_outer("_found").alias("_slice")).where("_slice is not null")
 
 
 def assign(rows: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
