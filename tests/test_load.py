@@ -83,3 +83,24 @@ def test_rows_dont_carry_the_plan(spark):
     found = ld.assign(spark.range(200_000).withColumnRenamed("id", "k"), plan, ["k"])
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.where("slice <> k div 10 + 1").count() == 0 and found.count() == 200_000
+
+
+def test_copy_of_many_slices_takes_few_jobs(spark, tmp_path):
+    """However many slices there are; a run that stopped goes on, and null keys lie in the open begin."""
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id").alias("x")).repartition(2)
+    plan = ld.slice_bounds(spark.range(7, 3000, 3).select(F.col("id").alias("k")), ["k"])
+    ends = []
+
+    def stop(slice_):
+        ends.append(slice_)
+        if len(ends) == 2:
+            raise OSError("stopped")
+
+    try:
+        ld.copy_slices(rows, plan, ["k"], f"{tmp_path}/copy", at_once=2, after=stop)
+    except OSError:
+        pass
+    got = ld.copy_slices(rows, plan, ["k"], f"{tmp_path}/copy", at_once=2, after=stop)
+    assert len(ends) <= 2 + 16 and ends[-1] == 998
+    assert sorted(got.collect(), key=lambda r: r.x) == sorted(rows.collect(), key=lambda r: r.x)
+    assert {r["slice"]: r["rows"] for r in spark.read.parquet(f"{tmp_path}/copy/checkpoints").collect()} == {0: 7, **{i: 3 for i in range(1, 998)}, 998: 2}

@@ -79,36 +79,41 @@ def sampled_boundaries(rows: DataFrame, keys: list[str], workers: int, least: in
     return spark.createDataFrame([(*k, at) for at, k in sorted(found.items())], schema)
 
 
+#: Jobs of a copy at most; a plan of many slices gives each job more of them.
+MOST_JOBS = 16
+
+
 def copy_slices(rows: DataFrame, slices: DataFrame, keys: list[str], path: str, at_once: int = 8, after: Callable[[int], None] | None = None) -> DataFrame:
     """Copy rows slice by slice into path, and return the copy; a run that stopped is gone on with.
 
-    slices: slice, begin and end as structs of the keys (null: open). Some slices at a time are written by one job, each to
-    its own folder, and then their checkpoint rows (slice, rows). What has a checkpoint is not read again; what a stopped
-    run left without one is written anew, so no row comes twice. The slices' bounds reach the scan.
+    slices: slice, begin and end as structs of the keys (null: open). A job writes a run of slices, at_once of them or, of
+    a plan with more than 16 times as many, a sixteenth, to a folder of its own, and then their checkpoint rows (slice, rows). What
+    has a checkpoint is not read again; what a stopped run left without one is written anew, so no row comes twice. The
+    runs' bounds reach the scan, so the number of jobs and of scans doesn't grow with the plan. Null keys lie in an open begin.
     """
     spark, checkpoints, data = rows.sparkSession, f"{path}/checkpoints", f"{path}/data"
     done = {r["slice"] for r in _checkpoints(spark, path).collect()}
-    plan = sorted((r for r in slices.select("slice", "begin", "end").collect() if r["slice"] not in done), key=lambda r: r["slice"])  # a row for each slice
+    plan = [r for r in slices.select("slice", "begin", "end").orderBy("begin").collect() if r["slice"] not in done]  # a row for each slice
     columns = [F.col(k) for k in keys]
-    for at in range(0, len(plan), at_once):
-        group = plan[at : at + at_once]
-        inside = lambda r: (tuple_compare(columns, list(r["begin"]), "ge") if r["begin"] is not None else F.lit(True)) & (tuple_compare(columns, list(r["end"]), "lt") if r["end"] is not None else F.lit(True))
-        number = reduce(lambda x, r: F.when(inside(r), r["slice"]).otherwise(x), reversed(group), F.lit(None).cast("int"))
-        part = rows.where(reduce(lambda x, y: x | y, [inside(r) for r in group])).withColumn("_slice", number)
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_slice").parquet(data)
-        named = [f"{data}/_slice={r['slice']}" for r in group]
-        sizes = {}
-        for r, folder in zip(group, named, strict=True):
-            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-            sizes[r["slice"]] = spark.read.schema(rows.schema).parquet(folder).count() if there else 0
-        spark.createDataFrame(list(sizes.items()), CHECKPOINT).coalesce(1).write.mode("overwrite").parquet(f"{checkpoints}/group={group[0]['slice']}")
+    size = max(at_once, -(-len(plan) // MOST_JOBS))
+    for at in range(0, len(plan), size):
+        group = plan[at : at + size]
+        low, high = group[0]["begin"], group[-1]["end"]
+        bounds = [tuple_compare(columns, list(x), op) for x, op in ((low, "ge"), (high, "lt")) if x is not None]
+        near = reduce(lambda x, y: x | y, [c.isNull() for c in columns], reduce(lambda x, y: x & y, bounds, F.lit(True)))
+        own = spark.createDataFrame(group, slices.select("slice", "begin", "end").schema).withColumnRenamed("slice", "_number")
+        folder = f"{data}/group={group[0]['slice']}"
+        assign(rows.where(near), own, keys).write.mode("overwrite").parquet(folder)
+        sizes = spark.read.schema("_number int").parquet(folder).groupBy("_number").agg(F.count("*").alias("rows"))
+        counted = own.select("_number").join(sizes, "_number", "left").select(F.col("_number").cast("int").alias("slice"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{checkpoints}/group={group[0]['slice']}")  # a row for each slice
         if after:
             after(group[-1]["slice"])
-    return spark.read.schema(rows.schema).parquet(*[f"{data}/_slice={r['slice']}" for r in _checkpoints(spark, path).where("rows > 0").collect()] or [data])
+    folders = [f"{data}/group={r['group']}" for r in _checkpoints(spark, path).where("rows > 0").select("group").distinct().collect()]
+    return spark.read.schema(rows.schema).parquet(*folders) if folders else spark.createDataFrame([], rows.schema)
 
 
-CHECKPOINT = "slice int, rows long"
+CHECKPOINT = "slice int, rows long, group int"
 
 
 def _checkpoints(spark: SparkSession, path: str) -> DataFrame:
