@@ -30,3 +30,24 @@ def test_transactions_across_batches(spark, tmp_path):
     assert {(r[0], r[6], r[7]) for r in rows if r[1] == 0 and r[5] != "late"} == {(1, 1000, 1090), (2, 1020, 1070), (3, 1040, 1080)}
     # only the open transaction is left
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_whole_transaction_of_one_batch_is_not_kept():
+    """Begin, data and commit in one batch leave in order without a call of the list state."""
+    from types import SimpleNamespace
+    from unittest.mock import Mock
+
+    from pyspark.sql import Row
+
+    from tidelake.streaming.transactions import Assembler
+
+    a = Assembler(1000)
+    a.handle, a.data, a.facts = Mock(), Mock(), Mock()
+    a.facts.get.return_value = None
+    record = Row("kind", "pos", "ts_ms", "payload")
+    rows = [record("commit", 4, 40, None), record("data", 3, 30, "b"), record("begin", 1, 10, None), record("data", 2, 20, "a"), record("data", 5, 50, "late")]
+    got = [tuple(r) for r in a.handleInputRows((7,), iter(rows), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))]
+    assert got[1:] == [(7, 1, 2, 20, "a", "complete", 10, 50), (7, 2, 3, 30, "b", "complete", 10, 50), (7, 0, None, None, None, "complete", 10, 50)]
+    assert got[0][3:6] == (50, "late", "late")
+    assert not a.data.method_calls and not a.facts.exists.called
+    a.facts.update.assert_called_once_with((2, 10, 50, 1050, True))
