@@ -101,3 +101,12 @@ def test_skipped_messages_are_counted(spark):
     parsed = envelope.parse(spark.createDataFrame(rows, "topic string, part int, pos long, value string"), with_skipped=True)
     assert [r["skipped"] for r in sorted(parsed.collect(), key=lambda r: r["pos"])] == [None, "tombstone", "no_envelope", "no_table", None]
     assert [tuple(r) for r in envelope.skip_counts(parsed).collect()] == [("b", 0, 5, 1, 1, 1, 3)]
+
+
+def test_work_on_a_few_splits_is_spread(spark):
+    """Rows of more bytes than one split holds, in one partition, come over all cores."""
+    from tidelake.sources.scratch import SMALL_BYTES, estimated_bytes, spread
+
+    rows = spark.range(0, 20_000_000, 1, 1)
+    assert SMALL_BYTES < estimated_bytes(rows) < SMALL_BYTES * spark.sparkContext.defaultParallelism
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
