@@ -110,3 +110,20 @@ def test_work_on_a_few_splits_is_spread(spark):
     rows = spark.range(0, 20_000_000, 1, 1)
     assert SMALL_BYTES < estimated_bytes(rows) < SMALL_BYTES * spark.sparkContext.defaultParallelism
     assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_parse_is_dealt_out_by_size(spark):
+    """Messages of some 30 MB in one partition are more tasks than cores."""
+    rows = spark.range(0, 1_000_000, 1, 1).select(F.lit("b").alias("topic"), F.lit(0).alias("part"), F.col("id").alias("pos"), F.lit("x").alias("value"))
+    assert envelope.parse(rows, ("id",)).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_images_that_are_their_own_text(spark):
+    """An image that nothing changes and one that is opened to a map give the same text and event id."""
+    images = ['{"id":5,"b":[1,{"x":null}],"a":"q\\"\\n/","Z":1.50,"n":null}', '{"id":"007","a":1}', '{"id":"x7"}', '{"id":5,"é":"ü","a":1}', '{"mongo_id":{"$oid":"o1"},"id":1}', '{"a":1}', "{}", "null", "[1]"]
+    rows = [("b", 0, i, '{"op":"c","source_schema":"s","source_table":"t","source":{"gtid":"g"},"after":' + x + "}") for i, x in enumerate(images)]
+    rows += [("b", 0, 9, '{"op":"u","source_schema":"s","source_table":"t","source":{"gtid":"g"},"before":{"id":4,"c":2},"after":{"a":1}}'), ("b", 0, 10, '{"op":"d","source_schema":"s","source_table":"t","source":{"gtid":"g"},"before":{"id":4}}')]
+    got = {r["pos"]: r for r in envelope.parse(spark.createDataFrame(rows, "topic string, part int, pos long, value string"), ("id",)).collect()}
+    want = ['{"Z":1.5,"a":"q\\"\\n/","b":[1,{"x":null}],"id":5,"n":null}', '{"a":1,"id":7}', '{"id":"x7"}', '{"a":1,"id":5,"é":"ü"}', '{"id":1,"mongo_id":"o1"}', '{"a":1}', "{}", "{}", "{}", '{"a":1,"c":2,"id":4}', '{"id":4}']
+    assert [got[i]["row"] for i in range(11)] == want
+    assert [got[i]["event_id"].split("|", 3)[3] for i in (0, 1, 2, 3, 4, 9, 10)] == ["id=5", "id=7", 'id="x7"', "id=5", "id=1", "id=4", "id=4"]

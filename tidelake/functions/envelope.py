@@ -10,11 +10,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import spread
+from ..sources.scratch import TASK_BYTES, spread
 
 #: Bytes that a decoder may skip in front of an envelope.
 MOST_SKIPPED = 32
 ENGINES = ("mariadb", "mssql", "mongodb")
+#: Fields that are read of an envelope, all in one walk over its VARIANT.
+ENVELOPE = (
+    "op string, db_engine string, source_database string, gtid string, source_schema string, source_table string, schema string, table string, catalog_id bigint, ts_ms bigint, before variant, after variant, "
+    "source struct<db_engine string, database string, db string, gtid string, lsn string, table string, collection string, file string, pos bigint, ts_ms bigint, seqval string, resume_token variant>"
+)
 
 
 def get(v: Column, path: str, kind: str = "string") -> Column:
@@ -218,48 +223,56 @@ def parse(messages: DataFrame, keys: tuple[str, ...] = (), default_engine: str =
     a column `skipped` says `tombstone`, `no_envelope` or `no_table` (null for a change). An event that came wrapped
     keeps its id.
     """
-    messages = messages if messages.isStreaming else spread(messages)
+    messages = messages if messages.isStreaming else spread(messages, TASK_BYTES)
     if with_skipped:
         decoded = messages.select("*", F.explode(F.array(decode(F.col("value")))).alias("d"))
     else:
         decoded = messages.where("value is not null").select("*", F.explode(F.filter(F.array(decode(F.col("value"))), lambda d: d.isNotNull())).alias("d"))
-    e = lambda path, kind="string": get(F.col("d.v"), path, kind)
     filled = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
-    raw = lambda path: F.nullif(F.to_json(F.try_variant_get(F.col("d.v"), path, "variant")), F.lit("null"))
-    source = lambda name: e(f"$.source.{name}")
+    e, source = lambda name: F.col(f"x.{name}"), lambda name: F.col(f"x.source.{name}")
     read = decoded.select(
-        "topic", "part", "pos", *(["time"] if "time" in messages.columns else []), "d", F.col("value").isNull().alias("empty"),
-        op_normalize(e("$.op")).alias("op"), F.coalesce(e("$.db_engine"), source("db_engine"), F.lit(default_engine)).alias("engine"), F.coalesce(e("$.source_database"), source("database"), F.lit("")).alias("db"),
-        F.coalesce(source("gtid"), e("$.gtid")).alias("gtid"), e("$.source_schema").alias("source_schema"), e("$.source_table").alias("source_table"), source("db").alias("source_db"), source("table").alias("source_t"), source("lsn").alias("lsn"),
-        json_map(F.col("d.v"), "$.before").alias("before"),
+        "topic", "part", "pos", *(["time"] if "time" in messages.columns else []), F.col("value").isNull().alias("empty"), F.col("d").isNull().alias("strange"),
+        F.col("d.v").alias("v"), F.col("d.event_id").alias("wrapped_id"), F.try_variant_get("d.v", "$", f"struct<{ENVELOPE}>").alias("x"),
     )
+    read = read.withColumns({"op": op_normalize(e("op")), "engine": F.coalesce(e("db_engine"), source("db_engine"), F.lit(default_engine)), "db": F.coalesce(e("source_database"), source("database"), F.lit(""))})
     mssql, mongo = F.col("engine") == "mssql", F.col("engine") == "mongodb"
-    own_schema, own_table, gtid = F.col("source_schema"), F.col("source_table"), F.col("gtid")
-    token = F.when(mongo, raw("$.source.resume_token"))
+    own_schema, own_table, gtid = e("source_schema"), e("source_table"), F.coalesce(source("gtid"), e("gtid"))
+    token = F.when(mongo, F.nullif(F.to_json(source("resume_token")), F.lit("null")))
     facts = read.select(
-        "topic", "part", "pos", "op", "engine", "db", "before", "empty", F.col("d").isNull().alias("strange"), F.col("d.v").alias("v"), F.col("d.event_id").alias("wrapped_id"), F.coalesce(e("$.catalog_id", "long"), F.lit(0)).alias("catalog_id"),
-        F.when(mssql, filled(own_schema, F.col("source_db"))).when(mongo, F.col("db")).otherwise(filled(own_schema, e("$.schema"), F.col("source_db"))).alias("s"),
-        F.when(mssql, filled(own_table, F.col("source_t"))).when(mongo, filled(own_table, source("collection"))).otherwise(filled(own_table, e("$.table"), F.col("source_t"))).alias("t"),
-        F.when(mssql, F.coalesce("lsn", gtid)).when(mongo, F.coalesce(token, gtid)).otherwise(gtid).alias("gtid"),
-        F.when(mssql, F.coalesce("lsn", gtid)).when(mongo, F.coalesce(source("gtid"), token, e("$.gtid"))).otherwise(gtid).alias("at"),
-        source("file").alias("file"), e("$.source.pos", "long").alias("file_pos"), source("seqval").alias("seq"),
-        F.coalesce(own_schema, F.col("source_db"), F.lit("")).alias("own_s"), F.coalesce(own_table, F.col("source_t"), F.lit("")).alias("own_t"),
-        F.coalesce(e("$.ts_ms", "long"), e("$.source.ts_ms", "long"), F.col("time").cast("long") if "time" in messages.columns else F.lit(None).cast("long")).alias("ts_ms"),
-        F.coalesce(F.when(F.col("op") == "d", F.col("before")).otherwise(json_map(F.col("d.v"), "$.after")), F.from_json(F.lit("{}"), "map<string,string>")).alias("row"),
+        "topic", "part", "pos", "op", "engine", "db", "empty", "strange", "v", "wrapped_id", F.coalesce(e("catalog_id"), F.lit(0)).alias("catalog_id"),
+        F.when(mssql, filled(own_schema, source("db"))).when(mongo, F.col("db")).otherwise(filled(own_schema, e("schema"), source("db"))).alias("s"),
+        F.when(mssql, filled(own_table, source("table"))).when(mongo, filled(own_table, source("collection"))).otherwise(filled(own_table, e("table"), source("table"))).alias("t"),
+        F.when(mssql, F.coalesce(source("lsn"), gtid)).when(mongo, F.coalesce(token, gtid)).otherwise(gtid).alias("gtid"),
+        F.when(mssql, F.coalesce(source("lsn"), gtid)).when(mongo, F.coalesce(source("gtid"), token, e("gtid"))).otherwise(gtid).alias("at"),
+        source("file").alias("file"), source("pos").alias("file_pos"), source("seqval").alias("seq"),
+        F.coalesce(own_schema, source("db"), F.lit("")).alias("own_s"), F.coalesce(own_table, source("table"), F.lit("")).alias("own_t"),
+        F.coalesce(e("ts_ms"), source("ts_ms"), F.col("time").cast("long") if "time" in messages.columns else F.lit(None).cast("long")).alias("ts_ms"),
+        e("before").alias("before"), F.when(F.col("op") == "d", e("before")).otherwise(e("after")).alias("image"),
     )
+    # an image that nothing changes is its own text; the others are opened to maps
+    paths = {k: f"$['{k}']" for k in keys if "'" not in k}
+    cells = {f"cell_{i}": F.to_json(F.try_variant_get("image", paths[k], "variant")) for i, k in enumerate(keys) if k in paths}
+    facts = facts.withColumns({"text": F.to_json("image"), **cells})
+    filled_in = (F.col("op") == "u") & F.to_json("before").startswith("{")
+    same = F.col("text").startswith("{") & (F.length("text") == F.octet_length("text")) & ~F.coalesce(filled_in, F.lit(False)) & F.try_variant_get("image", "$.mongo_id", "variant").isNull()
+    for c in cells:
+        same &= ~F.coalesce(F.col(c).startswith('"'), F.lit(False))
+    facts = facts.withColumn("same", F.coalesce(same, F.lit(False)) if len(cells) == len(keys) else F.lit(False))
     none = lambda m: F.transform_values(m, lambda _, x: F.nullif(x, F.lit("null")))
-    facts = facts.withColumns({"row": none(F.col("row")), "before": none(F.col("before"))})
+    image = F.coalesce(json_map(F.col("image"), "$"), F.from_json(F.lit("{}"), "map<string,string>"))
+    facts = facts.withColumns({"row": F.when(~F.col("same"), none(image)), "before": F.when(~F.col("same"), none(json_map(F.col("before"), "$")))})
     facts = facts.withColumn("row", fill_before(F.col("op"), F.col("row"), F.col("before"), fill_nulls)).drop("before")
     ids = F.transform_values(F.col("row"), lambda k, x: F.when((k == "mongo_id") & x.isNotNull(), object_id_json(x)).otherwise(x))
     facts = facts.withColumn("row", F.transform_values(ids, lambda k, x: F.when(k.isin(*keys), key_json(x)).otherwise(x)) if keys else ids)
-    pairs = [(k, F.when(F.array_contains(F.map_keys("row"), k), F.coalesce(F.col("row")[k], F.lit("null")))) for k in keys]
+    opened = lambda k: F.when(F.array_contains(F.map_keys("row"), k), F.coalesce(F.col("row")[k], F.lit("null")))
+    pairs = [(k, F.when(F.col("same"), F.col(f"cell_{i}")).otherwise(opened(k)) if k in paths else opened(k)) for i, k in enumerate(keys)]
     built = event_id(F.col("engine"), F.col("db"), F.col("at"), F.col("file"), F.col("file_pos"), F.col("seq"), F.col("own_s"), F.col("own_t"), F.col("op"), pairs, F.to_json("v"))
     known = (F.col("s") != "") & (F.col("t") != "")
     named = facts.withColumn("event_id", F.coalesce("wrapped_id", built))
     named = computed(named, n=F.when(known, lake_name(F.col("engine"), F.col("db"), F.col("s"), F.col("t"))).otherwise(names_from_event_id(F.col("event_id"), F.col("engine"))))
     unknown = F.coalesce((F.col("n.lake_schema") == "") | (F.col("n.lake_table") == ""), F.lit(True))
     skipped = F.when(F.col("empty"), "tombstone").when(F.col("strange"), "no_envelope").when(unknown, "no_table").alias("skipped")
-    out = named.select("topic", "part", "pos", "op", "engine", "catalog_id", F.col("n.lake_schema").alias("schema_name"), F.col("n.lake_table").alias("table_name"), "gtid", "event_id", "ts_ms", json_object(F.col("row")).alias("row"), *([skipped] if with_skipped else []))
+    out = named.select("topic", "part", "pos", "op", "engine", "catalog_id", F.col("n.lake_schema").alias("schema_name"), F.col("n.lake_table").alias("table_name"), "gtid", "event_id", "ts_ms", F.when(F.col("same"), F.col("text")).otherwise(json_object(F.col("row"))).alias("row"), *([skipped] if with_skipped else []))
     return out if with_skipped else out.where((F.col("schema_name") != "") & (F.col("table_name") != ""))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.envelope import sanitize
-from ..sources.scratch import materialize, spread
+from ..sources.scratch import TASK_BYTES, materialize, spread
 
 
 #: Stands in front of each key of a path.
@@ -75,7 +75,7 @@ def flatten(docs: DataFrame, id_col: str, doc: str, name_col: str = "name", valu
     and documents that are no objects have no leaves. The id column may have any name; its rows keep their number of leaves
     if they repeat.
     """
-    rows = spread(docs.select(F.struct(F.col(id_col).alias("id")).alias("key"), F.col(doc).alias("doc"))).select("key", F.explode(leaves(F.col("doc"))).alias("leaf"))
+    rows = spread(docs.select(F.struct(F.col(id_col).alias("id")).alias("key"), F.col(doc).alias("doc")), TASK_BYTES).select("key", F.explode(leaves(F.col("doc"))).alias("leaf"))
     held = materialize(rows.select("key", "leaf.path", "leaf.value"), "leaves")
     # as many rows as there are different paths
     paths = materialize(held.select("path").distinct().withColumn("name", leaf_name(F.col("path"))), "paths")

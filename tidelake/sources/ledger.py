@@ -87,7 +87,8 @@ class Ledger:
         dealt = rows.withColumns({"bucket": F.pmod("h", F.lit(BUCKETS)).cast("int"), "cut": F.pmod(F.shiftright("h", 8), F.lit(cuts)).cast("int")})
         out = f"{self.path}/{name}"
         dealt.hint("rebalance", "bucket", "cut").write.mode("overwrite").partitionBy("bucket", "cut").parquet(f"{out}/rows")
-        dealt.select("bucket", "cut", "h").groupBy("bucket", "cut").applyInArrow(_filter, FILTERS).coalesce(1 if cuts == 1 else cuts).write.mode("overwrite").parquet(f"{out}/filters")
+        # a task for a cut at most; what they give is small, and then dealt to few files
+        dealt.select("bucket", "cut", "h").groupBy("bucket", "cut").applyInArrow(_filter, FILTERS).repartition(cuts).write.mode("overwrite").parquet(f"{out}/filters")
 
     def add(self, changes: DataFrame, batch: int) -> None:
         """Write a batch's identities (again, if they are there), then merge older segments where eight are of one size."""

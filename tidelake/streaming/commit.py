@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.envelope import parse
+from ..functions.envelope import computed, parse
 from ..operators import apply as a
 from ..sources.lake import LakeTable
 from ..sources.ledger import Ledger
@@ -134,9 +135,10 @@ class Pipeline:
         # a row for each table
         names = self.catalog.select("catalog_id", "schema_name", "table_name", "pk")
         rows = parsed.join(F.broadcast(names) if names.count() <= 100_000 else names, ["schema_name", "table_name"], "left")
-        value = F.try_parse_json("row")
-        lacks = F.exists("pk", lambda k: F.try_variant_get(value, F.concat(F.lit("$['"), k, F.lit("']")), "string").isNull())
-        return rows.withColumns({"keyless": F.coalesce(lacks, F.lit(False)), "v": value})
+        rows = computed(rows, v=F.try_parse_json("row"))
+        cell = lambda k: F.try_variant_get("v", f"$['{k}']", "variant")
+        lacks = reduce(lambda x, y: x | y, [F.array_contains("pk", k) & (cell(k).isNull() | F.is_variant_null(cell(k))) for k in keys], F.lit(False))
+        return rows.withColumn("keyless", F.coalesce(lacks, F.lit(False)))
 
     def run(self, batch: DataFrame, number: int) -> None:
         if self._there(f"offsets/batch={number}/_SUCCESS"):
