@@ -104,3 +104,20 @@ def test_failed_merge_leaves_no_trace(spark, tmp_path, monkeypatch):
     fs.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{tmp_path}/half"), p)
     assert t.version() == 0
     assert t.merge(spark.createDataFrame([(0, 2, "u", 1, 2)], CHANGES), DATA, 1) and rows(t.read()) == [(1, 2)]
+
+
+def test_a_batch_is_reduced_once(spark, tmp_path, monkeypatch):
+    """Rows and deleted keys of a batch come from one pass over it."""
+    t = LakeTable(spark, f"{tmp_path}/once", ["k"], "k long, x long", buckets=2)
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, x long, op string, part int, pos long")
+    t.merge(rows((1, 1, "c", 0, 1), (2, 2, "c", 0, 2), (3, 3, "c", 0, 3)), ["x"], 0)
+    write, plans = t._write, []
+
+    def watched(found, *more):
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return write(found, *more)
+
+    monkeypatch.setattr(t, "_write", watched)
+    t.merge(rows((1, 9, "u", 0, 4), (1, None, "d", 0, 5), (2, None, "d", 0, 6), (2, 7, "c", 0, 7), (4, None, "u", 0, 8), (None, 1, "c", 0, 9), (3, 5, None, 0, 10)), ["x"], 1)
+    assert plans[0].count("Aggregate") == 1
+    assert sorted(map(tuple, t.read().collect())) == [(2, 7), (3, 3), (4, None)]

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import apply
+from .scratch import empty
 
 #: Rows of a bucket, and the fewest buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 16
@@ -175,7 +176,7 @@ class LakeTable:
             found.append(self.spark.read.schema(s.schema).parquet(*bases).withColumns({"_deleted": F.lit(False), "_version": F.lit(-1).cast("long")}))
         if deltas:
             found.append(self.spark.read.schema(T.StructType([*s.schema.fields, *OWN])).parquet(*deltas))
-        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], T.StructType([*s.schema.fields, *OWN]))
+        return reduce(DataFrame.unionByName, found) if found else empty(self.spark, T.StructType([*s.schema.fields, *OWN]))
 
     def _newest(self, versions: DataFrame) -> DataFrame:
         rest = [c for c in versions.columns if c not in self.keys]
@@ -201,7 +202,7 @@ class LakeTable:
         rows.withColumn("_bucket", self.bucket(s.buckets, s.first)).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
         if not any(n.startswith("_bucket=") for n in self._names(path)):
             return {}
-        return {int(r["_bucket"]): r["n"] for r in self.spark.read.parquet(path).groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+        return {int(r["_bucket"]): r["n"] for r in self.spark.read.schema("_bucket int").parquet(path).groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
 
     def replace(self, rows: DataFrame, buckets: int, touched: list[int], version: int) -> None:
         """Write rows as the whole new content of the touched buckets, then the manifest. Large buckets are several files."""
@@ -246,26 +247,26 @@ class LakeTable:
         s = self.state()
         if version <= s.version:
             return False
-        empty = not s.buckets
-        if empty:
+        fresh_table = not s.buckets
+        if fresh_table:
             s.first = s.buckets = self._first(changes)
         good, _ = apply.missing_key(changes, self.keys)
-        upserts, removed = apply.survivors(good, self.keys, order)
-        if order != "last_wins":
-            removed = removed.join(upserts.select(*self.keys), self.keys, "left_anti")
-        s.schema = self._grown(s, upserts, data)
-        named = set(self.keys) | set(data)
-        whole = lambda rows, have: rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in s.schema.fields])
-        rows = whole(upserts, named)
-        if not empty:
-            gone = whole(removed, set(self.keys)).withColumn("_deleted", F.lit(True))
-            rows = rows.withColumn("_deleted", F.lit(False)).unionByName(gone).withColumn("_version", F.lit(version).cast("long"))
+        if order == "last_wins":
+            last = apply.latest_per_key(good, self.keys).where("op is not null")  # one pass for rows and for deleted keys
+        else:
+            upserts, removed = apply.survivors(good, self.keys, order)
+            last = upserts.unionByName(removed.join(upserts.select(*self.keys), self.keys, "left_anti").withColumn("op", F.lit("d")), allowMissingColumns=True)
+        s.schema = self._grown(s, last, data)
+        gone = F.col("op") == "d"
+        cell = lambda f: (F.col(f.name) if f.name in self.keys else F.when(~gone, F.col(f.name)) if f.name in data else F.lit(None)).cast(f.dataType).alias(f.name)
+        cells = [cell(f) for f in s.schema.fields]
+        rows = last.where(~gone).select(*cells) if fresh_table else last.select(*cells, gone.alias("_deleted"), F.lit(version).cast("long").alias("_version"))
         # as many splits as the table's rows ask for, but no more than keep up with batches that add to it
         behind = -(-s.rows() // BUCKET_ROWS) - s.buckets
         splits = max(0, min(behind, self._level(s) - self._line(s), 2 + 2 * s.rows() // (BUCKET_ROWS * max(1, s.buckets))))
         folders, folded = self._due(s, version, splits)
         s.version, s.buckets = version, s.buckets + splits
-        kind = "base" if empty else "delta"
+        kind = "base" if fresh_table else "delta"
         fresh = self._write(rows, f"v{version}/{kind}", s)
         if folders:
             self._fold(s, folders, folded)

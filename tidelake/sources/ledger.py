@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import apply as a
+from .scratch import empty
 
 ROWS = "catalog_id long, event_id string, digest long, h long"
 FILTERS = "bucket int, cut int, lo long, hi long, n long, bits binary"
@@ -113,7 +114,7 @@ class Ledger:
         return len(gone)
 
     def _rows(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(ROWS).option("recursiveFileLookup", "true").parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
+        return self.spark.read.schema(ROWS).option("recursiveFileLookup", "true").parquet(*paths) if paths else empty(self.spark, ROWS)
 
     def read(self, before: int | None = None) -> DataFrame:
         return self._rows([f"{self.path}/{n}/rows" for n in self.segments(before)])

@@ -24,6 +24,7 @@ from ..functions.envelope import computed, parse
 from ..operators import apply as a
 from ..sources.lake import LakeTable
 from ..sources.ledger import Ledger
+from ..sources.scratch import empty
 from .history import HistoryTable
 from .jobs import once_read
 
@@ -85,7 +86,7 @@ class Pipeline:
         """What batches have written to a table of bookkeeping, with the column batch."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-        rows = self.spark.read.schema(schema + ", batch long").parquet(self.path(name)) if there else self.spark.createDataFrame([], schema + ", batch long")
+        rows = self.spark.read.schema(schema + ", batch long").parquet(self.path(name)) if there else empty(self.spark, schema + ", batch long")
         return rows.where(F.col("batch") < before) if before is not None else rows
 
     def _put(self, rows: DataFrame, name: str, number: int) -> None:
@@ -100,7 +101,7 @@ class Pipeline:
 
     def _released(self, number: int) -> DataFrame:
         """Tables that this batch releases: asked for, and held when it begins. Fixed by the batch's first run."""
-        asked = self.spark.read.schema("catalog_id long").parquet(self.path("requests")).distinct() if self._there("requests") else self.spark.createDataFrame([], "catalog_id long")
+        asked = self.spark.read.schema("catalog_id long").parquet(self.path("requests")).distinct() if self._there("requests") else empty(self.spark, "catalog_id long")
         if not self._there(f"released/batch={number}"):
             done = self.table("released", "catalog_id long, asked long", number).groupBy("catalog_id").agg(F.max("asked").alias("done"))
             times = self.spark.read.schema("catalog_id long").parquet(self.path("requests")).groupBy("catalog_id").agg(F.count("*").alias("asked")) if self._there("requests") else asked.withColumn("asked", F.lit(0).cast("long"))

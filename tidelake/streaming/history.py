@@ -6,15 +6,16 @@ come behind the key's last event needs that key's open state alone: the state is
 Only a key with a late change is laid out anew, from the log's buckets of such keys. So what a batch reads grows with the
 batch and with what comes late, not with the log or with the history.
 
-The log is written first and the open states last; a batch that stops in between finds the same states again and writes
+The log is written before it is looked at and before the open states, which come last; a batch that stops in between finds the same states again and writes
 what is missing.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -68,7 +69,13 @@ class HistoryTable:
             return
         first = self.open.state().first or buckets
         log_bucket = self.open.bucket(first, first)
-        rows.withColumn("_bucket", log_bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/log/batch={number}")
+        # written beside what follows, which looks at the log only for late changes
+        with ThreadPoolExecutor(1) as pool:
+            logged = pool.submit(rows.withColumn("_bucket", log_bucket).write.mode("overwrite").partitionBy("_bucket").parquet, f"{self.path}/log/batch={number}")
+            self._lay(rows, touched, log_bucket, logged, number)
+
+    def _lay(self, rows: DataFrame, touched: list[int], log_bucket: Column, logged: Future, number: int) -> None:
+        """Lay out a batch's keys and write versions, then open states; the log is there before it is read and before the states."""
         place = F.struct("valid_from", *EVENT)
         span = rows.groupBy(*self.keys).agg(F.min(place).alias("_least"), F.max(place).alias("_most"))
         last = F.struct(*[F.col(c).alias(n) for c, n in zip(("_last_at", "_last_part", "_last_pos"), ("valid_from", *EVENT), strict=True)])
@@ -82,6 +89,7 @@ class HistoryTable:
             heads = keyed.where("not _late and _last_pos is not null").select(*names)
             todo = rows.join(keyed.where("not _late").select(*self.keys), self.keys, "left_semi").select(*names).unionByName(heads)
             if behind:
+                logged.result()
                 todo = todo.unionByName(self._log(behind, number).join(late, self.keys, "left_semi").select(*names))
             with once_read(h.steps(todo, self.keys, self.data, tuple(EVENT))) as laid:
                 found = self._placed(h.versions(laid, self.keys, self.data, *EVENT), "u")
@@ -93,6 +101,7 @@ class HistoryTable:
                 ends = keyed.select(*self.keys, F.col("_end.valid_from").alias("_last_at"), F.col("_end._part").alias("_last_part"), F.col("_end._pos").alias("_last_pos"))
                 state = laid.where("_next is null").drop("_next").join(ends, self.keys)
                 own = [c for c in state.columns if c not in self.keys]
+                logged.result()
                 self.open.merge(self._placed(state, "u"), own, number)
 
     @staticmethod

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import apply as a
 from ..sources.lake import LakeTable
+from ..sources.scratch import empty
 
 
 LEDGER = "catalog_id long, event_id string, digest long, batch long"
@@ -34,7 +35,7 @@ def once_read(batch: DataFrame):
 def _before(table: LakeTable, path: str, schema: str, number: int) -> DataFrame:
     """What batches before this one have written."""
     spark = table.spark
-    rows = spark.read.schema(schema).parquet(path) if table.exists(path) else spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path) if table.exists(path) else empty(spark, schema)
     return rows.where(F.col("batch") < number)
 
 
