@@ -223,6 +223,45 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 40, 100_000])
+def test_components_by_rounds_and_in_a_task(spark, monkeypatch, few):
+    """By rounds alone, by rounds and then a task, and in a task alone: the smallest node of each component."""
+    from tidelake.llm import components
+
+    monkeypatch.setattr(components, "FEW", few)
+    order = list(range(200))
+    random.Random(3).shuffle(order)
+    path = [(order[i], order[i + 1]) for i in range(120)]
+    links = path + path[:9] + [(9000, 1000 + i) for i in range(50)] + [(-5, 2**62), (2**62, -(2**62)), (4, 4), (None, 3), (3, None)]
+    got = components.connected_components(spark.createDataFrame(links, "u long, v long"))
+    least = min(order[:121])
+    want = {n: least for n in order[:121] if n != least} | {n: 1000 for n in [9000, *range(1001, 1050)]} | {-5: -(2**62), 2**62: -(2**62)}
+    rows = got.collect()
+    assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """Rounds of joins over few links cost the driver a task for each shuffle partition again and again."""
+    from tidelake.llm.components import connected_components
+
+    conf = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    context, group = spark.sparkContext, "components-of-few-links"
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        got = connected_components(spark.range(40).selectExpr("id as u", "id + 1 as v"))
+        assert {(r[0], r[1]) for r in got.collect()} == {(i, 0) for i in range(1, 41)}
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        assert stages and sum(s.numTasks for s in stages if s) < 50
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_one_of_each_group_keeps_a_stated_row(spark):
     """Of rows equal in id and text the one with the smallest other columns, however the rows are dealt out."""
     from tidelake.llm.jaccard_join import one_of_each_group

@@ -365,12 +365,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"))
     members = materialize(rows.mapInArrow(_classes(words), f"k long, id {id_type}, n long, c long"), "sets")
-    by_size = members.where("n > 0").groupBy("n").agg(F.approx_count_distinct("c").alias("sets"))
-    largest = by_size.agg(F.max("n")).first()[0] or 1
+    sized = members.where("n > 0")
+    largest = sized.agg(F.max("n")).first()[0] or 1
     outline = Bands(num, den, largest)
     edges = [int(x) for x in outline.low]
     # one row for each band: as many as the logarithm of the largest set
-    per_band = by_size.groupBy(F.expr(f"size(filter(array({','.join(map(str, edges))}), x -> x <= n)) - 1").cast("int").alias("band")).agg(F.sum("sets").alias("sets"))
+    per_band = sized.groupBy(F.expr(f"size(filter(array({','.join(map(str, edges))}), x -> x <= n)) - 1").cast("int").alias("band")).agg(F.approx_count_distinct("c").alias("sets"))
     bands = Bands(num, den, largest, {r["band"]: r["sets"] for r in per_band.collect()})
 
     index = rows.select("text").mapInArrow(_index(words, bands, 0), "c long, b long")
