@@ -76,6 +76,31 @@ def test_suffix_dedup_equal_rows(spark, monkeypatch):
         assert got == sorted(want[:1] * 2998 + want, key=repr)
 
 
+def stages_of(spark, group, action):
+    """What the action gives, and the figures of the stages that it ran."""
+    context = spark.sparkContext
+    try:
+        context.setJobGroup(group, group)
+        got = action()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    ran = {k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds}
+    return got, [x for x in (store.lastStageAttempt(k) for k in sorted(ran)) if x.status().toString() == "COMPLETE"]
+
+
+def test_suffix_dedup_shuffles_texts_once(spark):
+    """The bytes that shuffles write stay under 1.9 times texts that don't compress; each shuffle of the texts adds 1."""
+    rng = random.Random(6)
+    texts = [rng.randbytes(2000).decode("latin-1").translate({i: 33 + i % 94 for i in range(256)}) for _ in range(1500)]
+    texts[1] = texts[0][:700] + texts[1][700:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, stages = stages_of(spark, "texts-once", lambda: suffix_dedup.suffix_dedup(docs).select("doc_id", "n_removed", "kept_sha256").collect())
+    assert sorted((r[0], r[1]) for r in got if r[1]) == [(0, 700), (1, 700)]
+    assert 0 < sum(x.shuffleWriteBytes() for x in stages) < 1.9 * sum(map(len, texts))
+
+
 def test_suffix_dedup_odd(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     want = sorted(repeats([(t or "").encode() for _, t in rows], 400))
