@@ -2,12 +2,16 @@
 
 import uuid
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidelake.operators import apply as a
+from tidelake.plans import ORACLES, QUERIES
 from tidelake.sources.lake import LakeTable
 from tidelake.streaming import jobs
 
+from .conftest import rows_of, rows_of_sql
+
 KEYS, DATA = ["k"], ["x"]
 CHANGES = "topic string, part int, pos long, event_id string, op string, catalog_id long, k long, x long, ts_ms long"
 
@@ -83,3 +87,13 @@ def test_bucket_number_follows_the_first_batch(spark, tmp_path, monkeypatch):
     batch = spark.range(400).select(F.lit(0).alias("part"), F.col("id").alias("pos"), F.lit("c").alias("op"), F.col("id").alias("k"), F.lit(1).cast("long").alias("x"))
     assert t.merge(batch, DATA, 0) and not t.merge(batch, DATA, 0)
     assert t.manifest()[1] == 40 and t.read().count() == 400
+
+
+def test_release_beyond_ten_million_positions(spark, tmp_path):
+    """Copies of messages lie 10,000,000 positions on; beyond that a position is a copy's or a first message's."""
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT 6007 * e AS event_id, TIMESTAMP '2024-01-01' + to_seconds(e) AS ts, e % 45 AS user_id, ['view', 'signup', 'error', 'click'][1 + e % 4] AS event_type, e / 8 AS value, '{{}}' AS props FROM range(3000) r(e)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    got = rows_of(QUERIES["stream_release"](spark, str(tmp_path)))
+    assert got == rows_of_sql(duck, ORACLES["stream_release"])
+    assert got[1]
