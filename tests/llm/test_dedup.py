@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
 from ..conftest import SF
 
 from tidelake.llm import jaccard_join, suffix_dedup
@@ -296,3 +299,42 @@ def test_one_of_each_group_keeps_a_stated_row(spark):
         d = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(parts)
         got = sorted(tuple(r) for r in one_of_each_group(d, words=5, num=80, den=100).collect())
         assert got == [(1, "a b c d e f g", "x", 2), (3, "", "b", 1)]
+
+
+def test_jaccard_in_turns(spark, monkeypatch):
+    """Buckets that a shuffle can't hold at once, in the index, in crowded buckets and with sketches, go in shares."""
+    for name, value in (("LEAST_ROWS", 1), ("LEAST_BYTES", 1), ("ROWS_A_TOKEN", 0.3), ("BYTES_A_TOKEN", 120), ("CROWD", 6), ("NEAREST", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    parts = defaultdict(list)
+    written = jaccard_join.materialize_in_turn
+
+    def counted(frames, tag):
+        frames = list(frames)
+        parts[tag].append(len(frames))
+        return written(frames, tag)
+
+    monkeypatch.setattr(jaccard_join, "materialize_in_turn", counted)
+    rows = made_up(5)[:120]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=2, num=80, den=100)
+    assert sorted((r[0], r[1], r[2]) for r in got.collect()) == sorted(linked(rows, 2, 80, 100))
+    assert parts["buckets"][0] > 1 and max(parts["pairs"]) > 1
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    """Else a chain of tables takes the disk of all its shuffles until the driver collects its garbage."""
+    from tidelake.llm.common import REMOVE_SHUFFLES, materialize
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {x for x in names if x.startswith("shuffle_")}
+
+    own, before = spark.conf.get(REMOVE_SHUFFLES, None), shuffles()
+    rows = spark.range(1000).withColumn("g", F.col("id") % 7)
+    assert materialize(rows.repartition(5, "g").groupBy("id").agg(F.max("g")), "left").count() == 1000
+    deadline = time.time() + 20
+    while (left := {x for x in shuffles() if x.endswith(".data")} - before) and time.time() < deadline:
+        time.sleep(0.2)
+    # the count's own row for each task may be there
+    assert sum(1 for _ in left) <= 1
+    assert spark.conf.get(REMOVE_SHUFFLES, None) == own

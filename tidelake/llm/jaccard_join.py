@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_chunks, lower_ascii, materialize, mix64, prefix_sums, span_hash, whole_row, word_spans
+from .common import byte_column, doc_chunks, lower_ascii, materialize, materialize_in_turn, mix64, prefix_sums, shuffles_removed, span_hash, whole_row, word_spans
 from .components import connected_components
 
 #: Costs in index rows: of a row in a bucket where sets meet by chance, and of a comparison of two such sets' sketches.
@@ -38,6 +38,9 @@ KEY_MASK = np.uint64((1 << 48) - 1)
 #: A bucket with more classes that are still apart is dealt out again by independent partitions, DEALS - 1 times at most;
 #: what is crowded then, as its sets are alike throughout, is cut into blocks, and each pair of blocks is a bucket.
 CROWD, DEALS = 2048, 4
+#: What a shuffle by buckets may hold, in rows and bytes for each token of all sets (a token is some 4 bytes of packed input),
+#: and in rows and bytes at least; what is more goes in several turns, each with a share of the buckets.
+ROWS_A_TOKEN, BYTES_A_TOKEN, LEAST_ROWS, LEAST_BYTES = 0.6, 4, 1 << 24, 1 << 28
 
 
 # ---------------------------------------------------------------- sets
@@ -116,6 +119,11 @@ class Bands:
         s = self.low[k + 1] - 1
         return (self.den - self.num) * (s + self.partners(k)) // (self.den + self.num)
 
+    def rows(self, k: int, size: float) -> float:
+        """Index rows in band k of a set of that size, on average."""
+        exact, one = self.plan[k]
+        return exact + one + size * one / (exact + one)
+
     def _allocate(self, k: int, sets: int) -> tuple[int, int]:
         """Exact and one-deletion segments, the cheapest mix that covers the difference."""
         need, size = self.difference(k) + 1, (self.low[k] + self.low[k + 1]) / 2
@@ -159,8 +167,8 @@ def signatures(x: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _index(n: int, bands: Bands, seed: int):
-    """(key, class) of each set; copies of a set within a task are indexed once."""
+def _index(n: int, bands: Bands, seed: int, turn: int = 0, turns: int = 1):
+    """(key, class) of each set, of keys whose turn it is; copies of a set within a task are indexed once."""
 
     def run(batches):
         seen: set[int] = set()
@@ -174,6 +182,8 @@ def _index(n: int, bands: Bands, seed: int):
                     seen.clear()
                 seen.add(c)
                 sig = signatures(x, bands, seed) & KEY_MASK
+                if turns > 1:
+                    sig = sig[sig % np.uint64(turns) == np.uint64(turn)]
                 keys.append(sig)
                 classes.append(np.full(len(sig), c, np.int64))
                 held += len(sig)
@@ -370,15 +380,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     outline = Bands(num, den, largest)
     edges = [int(x) for x in outline.low]
     # one row for each band: as many as the logarithm of the largest set
-    per_band = sized.groupBy(F.expr(f"size(filter(array({','.join(map(str, edges))}), x -> x <= n)) - 1").cast("int").alias("band")).agg(F.approx_count_distinct("c").alias("sets"))
-    bands = Bands(num, den, largest, {r["band"]: r["sets"] for r in per_band.collect()})
+    per_band = sized.groupBy(F.expr(f"size(filter(array({','.join(map(str, edges))}), x -> x <= n)) - 1").cast("int").alias("band")).agg(F.approx_count_distinct("c").alias("sets"), F.count("*").alias("rows"), F.sum("n").alias("tokens")).collect()
+    bands = Bands(num, den, largest, {r["band"]: r["sets"] for r in per_band})
 
-    index = rows.select("text").mapInArrow(_index(words, bands, 0), "c long, b long")
     meet = "b long, c long, lead long"
-    buckets = materialize(index.select("b", "c").repartition("b").sortWithinPartitions("b", "c").mapInArrow(_meetings, meet), "buckets")
+    tokens = sum(r["tokens"] for r in per_band)
+    most_rows, most_bytes = max(LEAST_ROWS, ROWS_A_TOKEN * tokens), max(LEAST_BYTES, BYTES_A_TOKEN * tokens)
+    # a set is in its own band and, as nearly all may be the larger partner, in the one below
+    indexed = sum(r["rows"] * bands.rows(k, r["tokens"] / r["rows"]) for r in per_band for k in (r["band"], r["band"] - 1) if k >= 0)
+    turns = max(1, math.ceil(indexed / most_rows))
+
+    def meetings(index: DataFrame) -> DataFrame:
+        return index.select("b", "c").repartition("b").sortWithinPartitions("b", "c").mapInArrow(_meetings, meet)
+
+    def shares(still: DataFrame, n: int) -> list[DataFrame]:
+        """Rows of buckets in n parts, each with whole buckets."""
+        return [still.where(F.pmod(F.xxhash64("b"), F.lit(n)) == i) for i in range(n)] if n > 1 else [still]
+
+    buckets = materialize_in_turn((meetings(rows.select("text").mapInArrow(_index(words, bands, 0, i, turns), "c long, b long")) for i in range(turns)), "buckets")
     met = buckets.select("c").distinct()
     reps = members.groupBy("c").agg(F.min("k").alias("k")).join(met, "c")
-    texts = materialize(rows.select("k", "text").join(reps, "k").select("c", "text").dropDuplicates(["c"]), "texts")
+    # repeated rows lie in one task by k, so they go without another shuffle of the texts
+    texts = materialize(rows.select("k", "text").join(reps, "k").dropDuplicates(["k", "c"]).select("c", "text"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.toDF("u", "ut"), "u").join(texts.toDF("v", "vt"), "v").select("u", "v", "ut", "vt")
@@ -399,19 +422,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         crowded = still.where(F.col("size") > CROWD)
         if deals <= DEALS and not crowded.isEmpty():
             if deals < DEALS:
-                again = crowded.select("b", "c").join(texts, "c").select("b", "c", "text").mapInArrow(_reindex(words, bands, deals), "b long, c long")
-                again = again.repartition("b").sortWithinPartitions("b", "c").mapInArrow(_meetings, meet)
+                # each of its sets is indexed anew for a row of a bucket
+                n = max(1, math.ceil(crowded.count() * indexed / sum(r["rows"] for r in per_band) / most_rows))
+                again = [x.join(texts, "c").select("b", "c", "text").mapInArrow(_reindex(words, bands, deals), "b long, c long") for x in shares(crowded.select("b", "c"), n)]
+                again = [meetings(x) for x in again]
             else:
-                again = _block_pairs(crowded)
+                again = [_block_pairs(crowded)]
             deals += 1
-            still = materialize(still.where(F.col("size") <= CROWD).select("b", "c", "far", "last").unionByName(again.select("b", "c", *start)), "buckets")
+            kept = still.where(F.col("size") <= CROWD).select("b", "c", "far", "last")
+            still = materialize_in_turn([kept, *[x.select("b", "c", *start) for x in again]], "buckets")
             continue
         if still.isEmpty():
             break
         if sketches is None:
             sketches = materialize(texts.join(still.select("c").distinct(), "c").select("c", "text").mapInArrow(_sketches(words), "c long, n long, sketch binary"), "sketches")
-        rich = still.join(sketches, "c").select("b", "c", "comp", "n", "sketch", "far", "last")
-        found = materialize(rich.repartition("b").sortWithinPartitions("b").mapInArrow(_plausible(num, den, nearest), "u long, v long, b long, far long"), "pairs")
+        # as bytes before compression: the more shuffle partitions, the less of a class's rows lie together
+        with shuffles_removed(docs.sparkSession):
+            held = still.join(sketches.select("c", F.octet_length("sketch").alias("bytes")), "c").agg(F.sum(F.col("bytes") + 48)).first()[0] or 0
+        rich = [x.join(sketches, "c").select("b", "c", "comp", "n", "sketch", "far", "last") for x in shares(still, max(1, math.ceil(held / most_bytes)))]
+        found = materialize_in_turn((x.repartition("b").sortWithinPartitions("b").mapInArrow(_plausible(num, den, nearest), "u long, v long, b long, far long") for x in rich), "pairs")
         nearest *= 4
         pairs = found.where("b is null").select("u", "v").distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti")
         tested = tested.unionByName(verified(pairs))
