@@ -2,10 +2,12 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from ..conftest import SF
 from pyspark.sql import functions as F
@@ -358,3 +360,26 @@ def test_em_recovers_weights():
     assert all(abs(x.sum() - 1) < 1e-9 for x in w.values())
     assert abs(w[0][1] - 0.3) < 0.05
     assert em_weights(np.zeros((3, 0), int), np.zeros(0), 9)[-1].tolist() == [1 / 3] * 3
+
+
+def test_a_block_is_scored_in_bounded_memory():
+    """Beside the text some bytes for each token: columns of probabilities of all of a block's tokens would add half as many."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    texts = pa.array([" ".join(rng.choices(vocabulary, k=2000)).encode() for _ in range(150)])
+    block = pa.table({"block": [7], "kind": pa.array([lm_score.TRAIN], pa.int32()), "ids": [list(range(150))], "texts": pa.array([texts.to_pylist()], pa.list_(pa.binary()))})
+    asked = pa.Table.from_batches(list(lm_score._requests(2, 3)(block.select(["block", "kind", "texts"]).to_batches())))
+    answers = pa.concat_tables([lm_score._answers(None, asked.slice(i, 1)) for i in range(asked.num_rows)])
+    kinds = [("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+    score = lm_score._score(2, 300_150, 20_001, {-1: np.array([0.2, 0.3, 0.5])}, pa.schema(kinds))
+    tracemalloc.start()
+    try:
+        got = score(None, block, answers)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    tokens = sum(got["n_tokens"].to_pylist())
+    assert tokens == 300_150
+    assert most < 100 * tokens
