@@ -101,6 +101,36 @@ def test_signature_never_tells_too_low_a_count():
     assert (bounds >= exact).all() and bounds.sum() < 1.3 * exact.sum()
 
 
+def test_many_short_documents_and_queries_in_bounded_memory():
+    """A slice of thousands of short documents meets a thousand queries in blocks; whole matrices would take 200 MB."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    buf, off = byte_column(pa.array([" ".join(rng.choices(vocabulary, k=8)) for _ in range(4000)]))
+    row = ranked_search.index_slice(buf, off, pa.array(range(4000)))
+    queries = ranked_search.Queries.of_texts([" ".join(rng.choices(vocabulary, k=8)) for _ in range(999)] + [None])
+    weights, floor = np.arange(1, len(queries.terms) + 1), np.ones(1000, np.int64)
+    exact = ranked_search.SliceReader(row, queries, weights, row["with_terms"], row["terms"]).scores(np.arange(4000))
+    docs = np.frombuffer(row["docs"], "<i8")
+    want = []
+    for q in range(1000):
+        best = sorted((-exact[q, i], docs[i]) for i in np.flatnonzero(exact[q]))[:5]
+        want += [(q, d, -s) for s, d in best]
+    schema = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in ranked_search._SLICE.split(", ")])
+    index = pa.RecordBatch.from_pylist([row], schema=schema)
+    for tried in (3, None):
+        tracemalloc.start()
+        try:
+            (got,) = ranked_search._search(queries, weights, row["with_terms"], row["terms"], 5, floor, tried)(iter([index]))
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        rows = [tuple(r.values()) for r in got.to_pylist()]
+        assert rows == want if tried is None else set(rows) <= {(q, docs[i], exact[q, i]) for q, i in zip(*np.nonzero(exact), strict=True)}
+        assert most < 64 << 20
+
+
 # ---------------------------------------------------------------- token files
 
 
